@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .line_dedup import line_dedup
 from .ngram_join import ngram_jaccard_join
 
 
@@ -13,15 +14,41 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=10)
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"), num=75, den=100, size=5)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_line_dedup": op3_line_dedup,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": r"""
+with split as (select doc_id, text, string_split(text, chr(10)) as ls from documents),
+line as (select doc_id, i, ls[i] as t from split, unnest(range(1, len(ls) + 1)) as u(i)),
+seq as (
+  select doc_id, i, t, row_number() over (partition by doc_id order by i) as k, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) as w
+  from line where regexp_matches(t, '[^\x20\x09-\x0D]')),
+ahead as (
+  select doc_id, k, list(t) over near as ts, list(w) over near as ws
+  from seq window near as (partition by doc_id order by k rows between current row and 9 following)),
+run as (
+  select doc_id, k, l, array_to_string(list_slice(ts, 1, l), chr(10)) as content
+  from ahead, unnest(range(1, len(ws) + 1)) as u(l) where list_sum(list_slice(ws, 1, l)) >= 10),
+later as (
+  select doc_id, k, l, row_number() over (partition by content order by doc_id, k) as copy from run),
+gone as (
+  select distinct s.doc_id, s.i from later r join seq s on s.doc_id = r.doc_id and s.k >= r.k and s.k < r.k + r.l where copy > 1)
+select s.doc_id, coalesce(len(s.ls), 0) as n_lines, count(g.i) as n_deleted,
+  case when s.text is null then null else coalesce(string_agg(l.t, chr(10) order by l.i) filter (g.i is null), '') end as text
+from split s left join line l on l.doc_id = s.doc_id left join gone g on g.doc_id = l.doc_id and g.i = l.i
+group by s.doc_id, s.text, s.ls
+""",
     "op9_ngram_jaccard_join": r"""
 with recursive words as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
