@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .line_dedup import line_dedup
 from .ngram_join import ngram_jaccard_join
+from .topk_search import top_k
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +20,17 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=10)
 
 
+def op8_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"), num=75, den=100, size=5)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
+    "op8_nra_topk": op8_nra_topk,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 
@@ -48,6 +55,18 @@ select s.doc_id, coalesce(len(s.ls), 0) as n_lines, count(g.i) as n_deleted,
   case when s.text is null then null else coalesce(string_agg(l.t, chr(10) order by l.i) filter (g.i is null), '') end as text
 from split s left join line l on l.doc_id = s.doc_id left join gone g on g.doc_id = l.doc_id and g.i = l.i
 group by s.doc_id, s.text, s.ls
+""",
+    "op8_nra_topk": """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as x from embeddings
+  where embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.x, c.x)::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.x) = len(c.x) where q.vec_id % 50 = 0),
+ranked as (
+  select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 5
 """,
     "op9_ngram_jaccard_join": r"""
 with recursive words as (
