@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .language_id import fit_language_id, identify
 from .line_dedup import line_dedup
 from .ngram_join import ngram_jaccard_join
 from .topk_search import top_k
@@ -20,6 +21,13 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=10)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    model = fit_language_id(docs.where(~held_out).select("text", "lang"), sample_per_language=600)
+    return identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep_text=False)
+
+
 def op8_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -30,6 +38,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
+    "op5_language_id": op5_language_id,
     "op8_nra_topk": op8_nra_topk,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
