@@ -11,6 +11,7 @@ from .language_id import fit_language_id, identify
 from .line_dedup import line_dedup
 from .ngram_join import ngram_jaccard_join
 from .topk_search import top_k
+from .url_filter import filter_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,23 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep_text=False)
 
 
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op7_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are those of the document that a url's path names by its number; good is of quality and not toxic."""
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+    key = F.regexp_extract("path", r"/([0-9]{1,18})[^/]*/?$", 1).try_cast("bigint")
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return filter_urls(pages, labels, URL_RULES, label_key=key).drop("url")
+
+
 def op8_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -39,6 +57,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op5_language_id": op5_language_id,
+    "op7_url_templates": op7_url_templates,
     "op8_nra_topk": op8_nra_topk,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
