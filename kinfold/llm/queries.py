@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut
 from .language_id import fit_language_id, identify
 from .line_dedup import line_dedup
+from .media import sniff, store_texts
 from .ngram_join import ngram_jaccard_join
 from .topk_search import top_k
 from .url_filter import filter_urls
@@ -22,6 +24,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=10)
 
 
+def op4_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sniff(cut(store_texts(_table(spark, sf_dir, "documents")), "media"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
@@ -56,6 +62,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
+    "op4_media_sniffing": op4_media_sniffing,
     "op5_language_id": op5_language_id,
     "op7_url_templates": op7_url_templates,
     "op8_nra_topk": op8_nra_topk,
