@@ -12,6 +12,7 @@ from .language_id import fit_language_id, identify
 from .line_dedup import line_dedup
 from .media import sniff, store_texts
 from .ngram_join import ngram_jaccard_join
+from .sharding import shard
 from .topk_search import top_k
 from .url_filter import filter_urls
 
@@ -60,6 +61,14 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"), num=75, den=100, size=5)
 
 
+def op10_consistent_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    placed = shard(rows, 16, tie_cols=("size", "text_crc32"))
+    return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_media_sniffing": op4_media_sniffing,
@@ -67,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_url_templates": op7_url_templates,
     "op8_nra_topk": op8_nra_topk,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_consistent_ring": op10_consistent_ring,
 }
 
 ORACLE_SQL: dict[str, str] = {
