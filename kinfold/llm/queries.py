@@ -11,8 +11,11 @@ from .common import cut
 from .language_id import fit_language_id, identify
 from .line_dedup import line_dedup
 from .media import sniff, store_texts
+from .mixing import poisson_mix
 from .ngram_join import ngram_jaccard_join
+from .packing import pack
 from .sharding import shard
+from .tool_calls import link_tool_calls, parse_message
 from .topk_search import top_k
 from .url_filter import filter_urls
 
@@ -21,6 +24,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Relative weights of the sources in the mixture; the others have 1.
+SOURCE_WEIGHTS = {"src0": 6.0, "src1": 2.0, "src2": 2.0}
+
+
+def op1_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return poisson_mix(docs, SOURCE_WEIGHTS, default_weight=1.0, epochs=1.0, seed=17)
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), sizes=(4096, 8192, 16384, 32768))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=10)
 
@@ -36,6 +52,33 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep_text=False)
 
 
+#: The tool that the conversations table is read as calls of.
+REPLY_SCHEMA = {
+    "type": "object",
+    "required": ["prompt", "turn"],
+    "additionalProperties": False,
+    "properties": {
+        "prompt": {"type": "string", "minLength": 1, "maxLength": 100_000},
+        "turn": {"type": "integer", "minimum": 0},
+        "after": {"type": "object", "required": ["$ref"], "properties": {"$ref": {"type": "string"}}},
+    },
+}
+
+
+def dialogue_events(conv, turn, role: str | None, text: str | None) -> list[tuple]:
+    """A user's turn as a call of ``reply`` that refers to the user's turn before, an assistant's as the result of the turn before it."""
+    if conv is None or turn is None or role not in ("user", "assistant"):
+        return parse_message(conv, turn, role, text)
+    if role == "assistant":
+        return [("result", f"{conv}:{turn - 1}", None, None, text)]
+    args = {"prompt": text, "turn": turn} | ({"after": {"$ref": f"{conv}:{turn - 2}"}} if turn >= 2 else {})
+    return [("call", f"{conv}:{turn}", "reply", args, None)]
+
+
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_tool_calls(_table(spark, sf_dir, "conversations"), {"reply": REPLY_SCHEMA}, parse=dialogue_events)
+
+
 URL_RULES = [
     ("allow", "com", "/"),
     ("block", "example.com", "/en/"),
@@ -70,9 +113,12 @@ def op10_consistent_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_poisson_mixing": op1_poisson_mixing,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_line_dedup": op3_line_dedup,
     "op4_media_sniffing": op4_media_sniffing,
     "op5_language_id": op5_language_id,
+    "op6_tool_calls": op6_tool_calls,
     "op7_url_templates": op7_url_templates,
     "op8_nra_topk": op8_nra_topk,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
@@ -80,6 +126,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_poisson_mixing": """
+with d as (select doc_id, source, text, coalesce('=' || source, '') as key, coalesce(octet_length(encode(text)), 0) as size from documents),
+stats as (
+  select key, sum(size) as size, case key when '=src0' then 6.0 when '=src1' then 2.0 when '=src2' then 2.0 else 1.0 end::double as weight
+  from d group by key),
+rates as (
+  select key, case when size > 0 then weight / (select sum(weight) from stats) * (select sum(size) from stats)::double / size else 1.0 end as rate from stats),
+steps as (
+  select key, rate, unnest(range(0, cast(ceil(rate + 12 * sqrt(rate) + 24) as bigint) + 1)) as k from rates),
+masses as (
+  select key, k, exp(sum(case when k = 0 then -rate else ln(rate / greatest(k, 1)) end) over (partition by key order by k)) as mass from steps),
+cdfs as (select key, k, sum(mass) over (partition by key order by k) as cdf from masses),
+tables as (select key, list(cdf order by k) as cdf from cdfs group by key),
+counted as (
+  select d.doc_id, d.source, d.text, len(list_filter(t.cdf, lambda c: c <= ('0x' || substr(md5('17|' || d.doc_id), 1, 13))::bigint / 4503599627370496.0)) as copies
+  from d join tables t using (key)),
+copied as (select *, unnest(range(1, copies + 1)) as copy from counted where copies > 0)
+select doc_id, source, text, copies::int as copies, copy::int as copy, md5('17|shuffle|' || doc_id || '|' || copy) as shuffle_key from copied
+""",
     "op3_line_dedup": r"""
 with split as (select doc_id, text, string_split(text, chr(10)) as ls from documents),
 line as (select doc_id, i, ls[i] as t from split, unnest(range(1, len(ls) + 1)) as u(i)),
