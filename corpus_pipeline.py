@@ -1,8 +1,71 @@
-"""The corpus pipeline; see STAGES."""
+"""The corpus pipeline: language ID, line dedup, n-gram Jaccard join, mixing to target weights, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), with docs in the columns of ``documents``, works on all of docs
+and returns these columns; the last returns packed pieces. A stage's result is written as Parquet and
+read again as the next one's docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinfold.llm.common import cut, maybe_broadcast
+from kinfold.llm.language_id import fit_language_id, identify
+from kinfold.llm.line_dedup import line_dedup
+from kinfold.llm.mixing import poisson_mix
+from kinfold.llm.ngram_join import ngram_jaccard_join
+from kinfold.llm.packing import pack
+from kinfold.llm.queries import SOURCE_WEIGHTS, held_out
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language go: null texts and texts without letters. A null lang becomes the predicted one."""
+    model = fit_language_id(docs.where(~held_out("doc_id")).select("text", "lang"))
+    named = identify(docs.select(*COLUMNS), model).where("lang_pred <> 'und'")
+    return named.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of line runs go, and documents of which nothing but blank lines is left by that."""
+    done = line_dedup(docs.select(*COLUMNS))
+    left = done.where((F.col("n_deleted") == 0) | F.col("text").rlike(r"\S"))
+    return left.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*COLUMNS)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked at a Jaccard similarity of 0.75, the one with the smallest id stays. Rows with an equal id and text are one."""
+    members = ngram_jaccard_join(docs)
+    first = cut(members.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct(), "first")
+    stay = docs.select(*COLUMNS).join(maybe_broadcast(first, first.count()), F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
+    repeated = docs.groupBy("doc_id").count().where("count > 1")
+    return stay if repeated.isEmpty() else stay.dropDuplicates(["doc_id", "text"])
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return poisson_mix(docs.select(*COLUMNS), SOURCE_WEIGHTS).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs)
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("line_dedup", without_repeated_lines),
+    ("ngram_jaccard_join", one_of_each_group),
+    ("poisson_mixing", mixed),
+    ("best_fit_packing", packed),
+]
+
+#: Linear support vector machines and sequential packing have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

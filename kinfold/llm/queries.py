@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -45,11 +45,15 @@ def op4_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sniff(cut(store_texts(_table(spark, sf_dir, "documents")), "media"))
 
 
+def held_out(doc_id: str) -> Column:
+    """Documents that language models are not learned from."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
-    model = fit_language_id(docs.where(~held_out).select("text", "lang"), sample_per_language=600)
-    return identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep_text=False)
+    model = fit_language_id(docs.where(~held_out("doc_id")).select("text", "lang"), sample_per_language=600)
+    return identify(docs.select("doc_id", held_out("doc_id").alias("held_out"), "text"), model, keep_text=False)
 
 
 #: The tool that the conversations table is read as calls of.
