@@ -79,7 +79,8 @@ class LanguageModel:
         """Languages and scores of rows of feature vectors."""
         if not self.families:
             return ["und"] * len(x), np.zeros(len(x))
-        x = np.hstack((x, np.ones((len(x), 1), x.dtype)))
+        # doubles and rounding: a row's answer doesn't depend on the rows it comes with
+        x = np.hstack((x, np.ones((len(x), 1)))).astype(np.float64)
         if len(self.families) > 1:
             margins = x @ self.family_weights.T
             family = margins.argmax(1)
@@ -102,7 +103,7 @@ class LanguageModel:
             best = np.array([max(range(len(own)), key=lambda k: (votes[r, k], sums[r, k], -k)) for r in range(len(mine))], int)
             names[mine] = [own[k] for k in best]
             margin[mine] = np.minimum(margin[mine], least[np.arange(len(mine)), best])
-        return list(names), 1 / (1 + np.exp(-self.slope * np.clip(margin, -50, 50)))
+        return list(names), np.round(1 / (1 + np.exp(-self.slope * np.clip(margin, -50, 50))), 6)
 
 
 def _train(x: np.ndarray, langs: np.ndarray, dims: int, families: dict[str, str]) -> LanguageModel:
