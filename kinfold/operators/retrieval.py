@@ -80,10 +80,16 @@ def query_stats(pairs: DataFrame) -> DataFrame:
 
 
 def candidates(pairs: DataFrame, k_name: int = 3, k_addr: int = 3, k_comb: int = 8) -> DataFrame:
-    """Union of the three channels' best, each pair once, with its query's statistics."""
-    cols = ["q", "s1", "sn", "sa", "w_name", "comb"]
-    picked = best_by(pairs, "comb", k_comb).select(cols).unionByName(best_by(pairs, "sn", k_name).select(cols)).unionByName(best_by(pairs, "sa", k_addr).select(cols))
-    return picked.dropDuplicates(["q", "s1"]).join(query_stats(pairs), "q")
+    """Union of the three channels' best, each pair once, with its query's statistics.
+
+    All ranks and statistics come from one shuffle by query, so that the pairs are computed once.
+    """
+    by = W.partitionBy("q")
+    ranks = {f"_{c}": F.row_number().over(by.orderBy(F.desc(c), "s1")) for c in ("comb", "sn", "sa")}
+    out = pairs.select("q", "s1", "sn", "sa", "w_name", "comb").withColumns(ranks)
+    second = F.max(F.when(F.col("_comb") == 2, F.col("comb"))).over(by)
+    stats = {"q_comb1": F.max("comb").over(by), "q_comb2": F.coalesce(second, F.lit(0.0)), "q_sn1": F.max("sn").over(by), "q_sa1": F.max("sa").over(by)}
+    return out.withColumns(stats).where((F.col("_comb") <= k_comb) | (F.col("_sn") <= k_name) | (F.col("_sa") <= k_addr)).drop(*ranks)
 
 
 # --- scale path ---------------------------------------------------------------------------------

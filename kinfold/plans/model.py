@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from dataclasses import asdict, dataclass, field
 from functools import reduce
+from pathlib import Path
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -88,6 +89,11 @@ def best_rule(scored: DataFrame, refs: DataFrame, truth: DataFrame) -> dict:
     return {"rule": rule, "threshold": threshold, "floor": floor, "f05": max(plain["f05"], floors[floor]), "evaluation": plain}
 
 
+def _first_stage(settings: dict) -> dict:
+    """What the fold models depend on: equal in two runs, they are taken over."""
+    return {k: v for k, v in settings.items() if k != "stage2"}
+
+
 def train(pairs: DataFrame, refs: DataFrame, queries: DataFrame, truth: DataFrame, path: str, settings: Settings, save_meta: str | None = None) -> Meta:
     """Fits both stages on (q, s1, PAIR_FEATURES) and writes models to ``path``; returns the metadata.
 
@@ -109,8 +115,11 @@ def train(pairs: DataFrame, refs: DataFrame, queries: DataFrame, truth: DataFram
         return model
 
     trained = F.col("part") == "train"
-    # fold k's model learns from queries of fold k; train rows are then scored by the others
-    stage1 = [fit(labelled, settings.columns, f"stage1_fold{k}", trained & (F.col("fold") == k)) for k in range(settings.folds)]
+    old = Path(save_meta) if save_meta and Path(save_meta).exists() else None
+    if old and _first_stage(load_meta(old).settings) == _first_stage(asdict(settings)):
+        stage1 = [GBTClassificationModel.load(f"{path}/stage1_fold{k}") for k in range(settings.folds)]
+    else:  # fold k's model learns from queries of fold k; train rows are then scored by the others
+        stage1 = [fit(labelled, settings.columns, f"stage1_fold{k}", trained & (F.col("fold") == k)) for k in range(settings.folds)]
     p1 = score(stage1, labelled, settings.columns, by_fold=True).join(queries.select("q", F.col("is_s3").alias("s3")), "q")
     choose = (F.col("part") == "val") & ~F.col("held")
     val_refs = refs.join(labelled.where(choose).select("s1").distinct(), "s1", "left_semi")
@@ -149,20 +158,28 @@ def importances(model: GBTClassificationModel, columns: list[str], most: int = 1
     return sorted(zip(columns, map(float, values), strict=True), key=lambda x: -x[1])[:most]
 
 
-def predict(pairs: DataFrame, queries: DataFrame, n_refs: int, path: str, meta: Meta, prob: str = "auto", threshold: float | None = None, prior: str | float | None = None) -> DataFrame:
-    """(q, s1, p, is_s3) of the chosen matches. prob: auto, p1 or p2. With ``threshold`` or a set ``prob`` the rule is a threshold."""
+def score_all(pairs: DataFrame, queries: DataFrame, path: str, meta: Meta) -> DataFrame:
+    """(q, s1, is_s3, p1, p2, model_id): the fold models' mean, and the second stage's answer (p1 again without one)."""
     settings = Settings(**meta.settings)
     stage1, stage2 = load_models(pairs.sparkSession, path, meta)
     scored = score(stage1, pairs, settings.columns).withColumn("s3", F.col("is_s3") == 1)
-    use2 = meta.use_stage2 if prob == "auto" else prob == "p2"
-    if use2:
+    if stage2 is None:
+        out = scored.select("q", "s1", F.col("s3").alias("is_s3"), F.col("p").alias("p1"), F.col("p").alias("p2"))
+    else:
         grouped = features.group_features(scored.select("q", "s1", "p", F.col("s3").alias("is_s3")), queries)
         both = scored.drop("p", "s3", "is_s3").join(grouped, ["q", "s1"])
-        both = both.select(*(F.col(c).cast("double").alias(c) if t == "boolean" else F.col(c) for c, t in both.dtypes))
-        scored = score([stage2], both, settings.columns + features.GROUP_FEATURES).withColumn("s3", F.col("is_s3") == 1)
-    out = scored.select("q", "s1", "p", F.col("s3").alias("is_s3"))
+        both = both.select(*(F.col(c).cast("double").alias(c) if t == "boolean" else F.col(c) for c, t in both.dtypes)).drop("p")
+        second = score([stage2], both, settings.columns + features.GROUP_FEATURES)
+        out = second.select("q", "s1", (F.col("is_s3") == 1).alias("is_s3"), "p1", F.col("p").alias("p2"))
+    return out.withColumn("model_id", F.lit(meta.model_id))
+
+
+def choose(scores: DataFrame, n_refs: int, n_queries: int, meta: Meta, prob: str = "auto", threshold: float | None = None, prior: str | float | None = None) -> DataFrame:
+    """(q, s1, p, is_s3) of the chosen matches. prob: auto, p1 or p2. With ``threshold`` or a set ``prob`` the rule is a threshold."""
+    use2 = meta.use_stage2 if prob == "auto" else prob == "p2"
+    out = scores.select("q", "s1", F.col("p2" if use2 else "p1").alias("p"), "is_s3")
     if prior is not None:
-        share = decision.auto_prior(meta.matches_per_ref, n_refs, queries.count()) if prior == "auto" else float(prior)
+        share = decision.auto_prior(meta.matches_per_ref, n_refs, n_queries) if prior == "auto" else float(prior)
         out = out.withColumn("p", decision.prior_shift(F.col("p"), meta.train_prior, share))
     if threshold is None and prob == "auto" and meta.rule == "expected":
         return decision.decide_expected(out, meta.floor)

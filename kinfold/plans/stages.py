@@ -119,7 +119,12 @@ def predict(spark: SparkSession, work: str, out: str, threshold: float | None =
     refs, queries = tables(spark, work, "test")
     meta = model.load_meta(_at(work, "model", "meta.json"))
     pairs = spark.read.parquet(_at(work, "test", "features"))
-    kept = model.predict(pairs, queries, refs.count(), _at(work, "model"), meta, prob, threshold, prior)
+    saved = _at(work, "test", "scores")
+    # scores are kept for another threshold, stage or prior, as long as they are of the same model
+    again = (threshold is not None or prob != "auto" or prior is not None) and _done(saved)
+    if not again or spark.read.parquet(saved).where(F.col("model_id") != meta.model_id).limit(1).count():
+        _save(model.score_all(pairs, queries, _at(work, "model"), meta), saved)
+    kept = model.choose(spark.read.parquet(saved), refs.count(), queries.count(), meta, prob, threshold, prior)
     ids = queries.select("q", F.col("entity_id").alias("q_id"))
     listed = lambda df, column: tsv.grouped_lists(refs.select("s1", "entity_id"), df.select("q", "s1").join(ids, "q"), column)
     tsv.write_table(listed(kept, "matched_entity_ids"), _at(out, name))

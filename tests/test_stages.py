@@ -52,6 +52,13 @@ def test_all_stages(spark, tmp_path):
     stage1, stage2 = model.load_models(spark, str(tmp_path / "work" / "model"), meta)
     assert len(model.importances(stage1[0], model.Settings().columns)) == 15 and stage2 is not None
     assert run("predict", "--threshold", "0.9", "--prob", "p1", "--prior-test", "auto", "--out-name", "other.tsv") == 0
+    # scores and fold models are taken over
+    scores = tmp_path / "work" / "test" / "scores" / "_SUCCESS"
+    stamp = scores.stat().st_mtime_ns
+    assert run("predict", "--threshold", "0.5") == 0 and scores.stat().st_mtime_ns == stamp
+    fold = tmp_path / "work" / "model" / "stage1_fold0" / "metadata" / "_SUCCESS"
+    stamp = fold.stat().st_mtime_ns
+    assert run("train", "--rounds", "4", "--depth", "4", "--val-frac", "0.3", "--train-query-frac", "0.9", "--no-stage2") == 0 and fold.stat().st_mtime_ns == stamp
     # a second retrieval with equal parameters keeps what is there
     before = (tmp_path / "work" / "train" / "candidates" / "_SUCCESS").stat().st_mtime_ns
     assert run("retrieve", "--dim", "256") == 0
