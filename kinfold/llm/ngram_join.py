@@ -10,9 +10,10 @@ fragment on its own and summed:
    and leave. First A is a part of the order, then, for those left, all of it.
 2. *Candidates.* N-grams of what is left are ordered by document frequency; by the prefix filter two
    sets that link share an n-gram among each one's first |x| - ceil(t|x|) + 1. Each posting list is
-   compared with its leaders only, then sets that already are in one component are not compared
-   any more: a group of near copies costs rows in proportion to its size.
-3. *Verification.* For each pair, partial overlaps are counted in each fragment and summed.
+   first compared with its leader only; sets that are then in one component are not compared any
+   more, so a group of near copies costs rows in proportion to its size.
+3. *Verification.* For each pair, partial overlaps are counted in each fragment and summed. Pairs left
+   after the leaders are judged block by block within a join, and only links leave it.
 
 Equal sets form one class before all this, by a 128-bit fingerprint.
 """
@@ -25,9 +26,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from . import common
@@ -245,7 +245,7 @@ def _keep_bucket(num: int, den: int):
     return run
 
 
-def _able(parts: DataFrame, top: int, total: int, num: int, den: int) -> DataFrame:
+def _shared_enough(parts: DataFrame, top: int, total: int, num: int, den: int) -> DataFrame:
     """Nodes of (node, n, part) of whose part enough is shared with other nodes. Pruning step 1."""
     fragments = max(1, -(-total // 4_000_000))
     packed = parts.select("node", "n", "part").mapInArrow(_spread(fragments, top), _PACKED)
@@ -254,94 +254,115 @@ def _able(parts: DataFrame, top: int, total: int, num: int, den: int) -> DataFra
 
 
 def _segments(fragments: int):
-    """(node, part) to rows (node, frag, hashes)."""
+    """(node, part) to (node, frags): the hashes of each fragment of the order, as an array of arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = 2**64 // fragments
         cuts = np.array([f * width for f in range(1, fragments)], np.uint64)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                nodes, frags, arrays = [], [], []
-                for node, part in zip(batch.column(0).slice(at, 256), batch.column(1).slice(at, 256), strict=True):
-                    h = np.frombuffer(part.as_py(), np.uint64)
-                    for f, piece in enumerate(np.split(h, np.searchsorted(h, cuts))):
-                        if len(piece):
-                            nodes.append(node.as_py())
-                            frags.append(f)
-                            arrays.append(piece.view(np.int64))
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
-                values = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes, pa.int64()), pa.array(frags, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["node", "frag", "hashes"]
-                )
+                nodes, arrays = batch.column(0).slice(at, 256), [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(1).slice(at, 256)]
+                inner = [np.concatenate(([0], np.searchsorted(h, cuts), [len(h)])) for h in arrays]
+                sizes = np.concatenate([np.diff(x) for x in inner])
+                offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).view(np.int64)))
+                outer = pa.array(np.arange(len(arrays) + 1, dtype=np.int32) * fragments)
+                yield pa.RecordBatch.from_arrays([nodes, pa.ListArray.from_arrays(outer, lists)], names=["node", "frags"])
 
     return run
 
 
-def _verified(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
-    """Of (a, b, na, nb), those that link: partial overlaps by fragment, summed for each pair."""
-    one = segments.select(F.col("node").alias("a"), "frag", F.col("hashes").alias("ha"))
-    two = segments.select(F.col("node").alias("b"), "frag", F.col("hashes").alias("hb"))
-    overlap = (
-        pairs.join(one, "a")
-        .join(two, ["b", "frag"])
-        .groupBy("a", "b", "na", "nb")
-        .agg(F.sum(F.size(F.array_intersect("ha", "hb"))).alias("both"))
-    )
-    return overlap.where((num + den) * F.col("both") >= num * (F.col("na") + F.col("nb"))).select("a", "b")
+def _links_here(num: int, den: int) -> Column:
+    """Whether a pair (fa, fb, na, nb) links: overlaps counted fragment by fragment, and summed."""
+    partial = F.zip_with("fa", "fb", lambda x, y: F.size(F.array_intersect(x, y)))
+    return (num + den) * F.aggregate(partial, F.lit(0), lambda x, y: x + y) >= num * (F.col("na") + F.col("nb"))
+
+
+def _able(num: int, den: int) -> Column:
+    """Whether a pair (na, ma, la, nb, mb, lb) can link by its sizes, and isn't in one component yet."""
+    near = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
+    return near & (F.col("nb") <= F.col("ma")) & (F.col("na") <= F.col("mb")) & (F.col("la") != F.col("lb"))
+
+
+def _named(df: DataFrame, x: str, *more: str) -> DataFrame:
+    """(node, n, most, label, ...) as one side of a pair."""
+    return df.select(*more, *(F.col(c).alias(f"{p}{x}") for c, p in (("node", ""), ("n", "n"), ("most", "m"), ("label", "l"))))
+
 
+def _open(postings: DataFrame, by_label: bool) -> DataFrame:
+    """Postings (gram, node, n, most, label) of lists with pairs across components, without nodes that no partner there is small enough for."""
+    least = postings.groupBy("gram").agg(F.min("n").alias("least"))
+    fit = postings.join(least, "gram").where("most >= least").drop("least")
+    several = F.min("label") < F.max("label") if by_label else F.count("*") > 1
+    return fit.join(fit.groupBy("gram").agg(several.alias("several")).where("several").select("gram"), "gram")
 
-def _links(prefixes: DataFrame, segments: DataFrame, nodes: DataFrame, num: int, den: int, spare: int) -> DataFrame:
+
+def _with_leaders(held: DataFrame, first: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
+    """(la, lb) of the links between each posting list's leader and its other sets."""
+    pairs = _named(held, "b", "gram").join(_named(first, "a", "gram"), "gram").where((F.col("a") != F.col("b")) & _able(num, den))
+    pairs = common.cut(pairs.drop("gram").distinct(), "pairs")
+    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    own = segments.join(needed, "node", "left_semi")
+    both = pairs.join(own.select(F.col("node").alias("a"), F.col("frags").alias("fa")), "a").join(own.select(F.col("node").alias("b"), F.col("frags").alias("fb")), "b")
+    return both.where(_links_here(num, den)).select("la", "lb")
+
+
+def _within_clusters(held: DataFrame, first: DataFrame, segments: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """(la, lb) of all links left between components.
+
+    Sets that share an n-gram of a posting list, directly or by others, make a cluster. Clusters are cut
+    into blocks, a cluster's blocks meet each other by an equi-join, and pairs are counted and judged
+    within the join: only links become rows.
+    """
+    nodes = held.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "most", "label")))
+    stars = held.select("gram", F.col("node").alias("b")).join(first.select("gram", F.col("node").alias("a")), "gram").where("a <> b").select("a", "b").distinct()
+    clusters = common.components(nodes.select("node"), stars).withColumnRenamed("label", "cluster")
+    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    whole = nodes.join(clusters, "node").join(blocks, "cluster").join(segments, "node")
+    whole = common.cut(whole.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "clusters")
+    left = _named(whole, "a", "cluster", "block", F.col("frags").alias("fa"))
+    right = whole.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    right = _named(right, "b", F.col("cluster").alias("c"), F.col("block").alias("k"), F.col("frags").alias("fb"))
+    met = (F.col("cluster") == F.col("c")) & (F.col("block") == F.col("k")) & (F.col("a") < F.col("b")) & _able(num, den) & _links_here(num, den)
+    return left.join(right, met).select("la", "lb")
+
+
+def _links(prefixes: DataFrame, segments: DataFrame, nodes: DataFrame, num: int, den: int, leader_rounds: int, block: int) -> DataFrame:
     """(node, label) after all pairs that share a prefix n-gram and aren't in one component were compared.
 
-    Each round compares every posting list with its next leaders (1, 2, 4, ...: the smallest nodes),
-    joins components, and takes the leaders out. Once the pairs left across components are no more
-    than ``spare`` times the postings, they are all compared and the work is done.
+    ``most`` is the largest size of a partner that a node's n-grams in other documents allow. First, round
+    by round, each posting list is compared with its leader, the smallest set in it, which then leaves the
+    list, and components are joined: near copies of one text become one component at a cost in
+    proportion to their postings. Then all pairs left across components are compared.
     """
-    near = lambda x, y: (den * F.least(x, y) >= num * F.greatest(x, y))
-    postings, edges, leaders = prefixes, None, 1
-    labels = nodes.select("node", F.col("node").alias("label"))
-    while True:
-        held = postings.join(labels, "node")
-        by = held.groupBy("gram", "label").agg(F.count("*").alias("m"))
-        open_ = by.groupBy("gram").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).cast("long").alias("pairs"), F.sum("m").alias("size")).where("pairs > 0")
-        held = common.cut(held.join(open_, "gram").select("gram", "node", "n", "label"), "postings")
-        left = open_.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
-        if not left["pairs"]:
-            return labels
-        last = left["pairs"] <= spare * left["size"]
-        if last:
-            first = held.select("gram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-        else:
-            top = W.partitionBy("gram").orderBy("n", "node")
-            if leaders == 1:  # an aggregate combines before the shuffle
-                first = held.groupBy("gram").agg(F.min(F.struct("n", "node", "label")).alias("s")).select("gram", F.col("s.node").alias("a"), F.col("s.n").alias("na"), F.col("s.label").alias("la"))
-            else:
-                first = held.withColumn("k", F.row_number().over(top)).where(F.col("k") <= leaders).select("gram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-        pairs = (
-            held.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-            .join(first, "gram")
-            .where((F.col("la") != F.col("lb")) & near(F.col("na"), F.col("nb")) & ((F.col("a") < F.col("b")) if last else (F.col("a") != F.col("b"))))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
-            .distinct()
-        )
-        found = common.cut(_verified(pairs, segments, num, den), "links")
-        edges = found if edges is None else edges.unionByName(found)
-        labels = common.components(nodes, edges)
-        if last:
+    postings, labels = prefixes.withColumn("label", F.col("node")), nodes.select("node", F.col("node").alias("label"))
+    for step in range(leader_rounds + 1):
+        held = common.cut(_open(postings, step > 0), "postings")
+        if held.isEmpty():
             return labels
-        postings = held.join(first.select("gram", F.col("a").alias("node")), ["gram", "node"], "left_anti").select("gram", "node", "n")
-        leaders *= 2
+        # an aggregate combines before the shuffle
+        first = held.groupBy("gram").agg(F.min(F.struct("n", "node", "most", "label")).alias("s")).select("gram", "s.*")
+        found = _with_leaders(held, first, segments, num, den) if step < leader_rounds else _within_clusters(held, first, segments, num, den, block)
+        edges = common.cut(found.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "links")
+        if not edges.isEmpty():
+            merged = common.components(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct(), edges)
+            merged = merged.select(F.col("node").alias("label"), F.col("label").alias("now"))
+            labels = common.cut(labels.join(merged, "label", "left").select("node", F.coalesce("now", "label").alias("label")), "labels")
+        if step < leader_rounds:
+            rest = held.join(first.select("gram", "node"), ["gram", "node"], "left_anti")
+            postings = rest.drop("label").join(labels, "node")
+    return labels
 
 
 def ngram_jaccard_join(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 75, den: int = 100, share: float = 0.4, fragments: int = 8, spare: int = 4
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 75, den: int = 100, share: float = 0.4, fragments: int = 8, leader_rounds: int = 1, block: int = 512
 ) -> DataFrame:
     """Components of documents whose n-gram sets have a Jaccard similarity of at least ``num / den``.
 
     Returns (``id_col``, n_shingles, component_id), a row for each row of ``docs``; component_id is the
     smallest id reachable by links, itself included. ``share``: the part of the n-gram order that the
-    first pruning looks at. ``spare``: see _links; it changes the work, not the result.
+    first pruning looks at. ``leader_rounds`` and
+    ``block``: see _links; they change the work, not the result.
 
     Null or empty texts, or texts without words: n_shingles 0, linked with nothing. Fewer words than
     ``size``: the whole sequence is the only n-gram. Rows with equal sets are in one component, repeated
@@ -354,7 +375,7 @@ def ngram_jaccard_join(
     rows = common.cut(base.mapInArrow(_sets(size, top), f"id {id_type}, n long, fp binary, node long, part binary"), "sets")
     full = rows.where("n > 0")
     total = full.agg(F.coalesce(F.sum(F.length("part")), F.lit(0))).first()[0] // 8
-    able = common.cut(_able(full, top, total, num, den), "able")
+    able = common.cut(_shared_enough(full, top, total, num, den), "able")
     classes = full.groupBy("fp", "node").agg(F.min("id").alias("rep"))
     chosen = able.join(classes, "node")
     chosen = common.cut(chosen.select("node", F.col("rep").alias("id")), "chosen")
@@ -368,15 +389,16 @@ def ngram_jaccard_join(
         "whole",
     )
     total = whole.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    live = common.cut(_able(whole, 2**64 - 1, total, num, den), "live")
-    segments = common.cut(whole.join(live.select("node"), "node", "left_semi").select("node", "part").mapInArrow(_segments(fragments), "node long, frag int, hashes array<bigint>"), "segments")
-    postings = segments.select("node", F.explode("hashes").alias("gram")).join(live, "node")
+    live = common.cut(_shared_enough(whole, 2**64 - 1, total, num, den), "live")
+    segments = common.cut(whole.join(live.select("node"), "node", "left_semi").select("node", "part").mapInArrow(_segments(fragments), "node long, frags array<array<bigint>>"), "segments")
+    postings = segments.select("node", F.explode(F.flatten("frags")).alias("gram")).join(live, "node")
     df = postings.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     shared = postings.join(df, "gram").withColumn("k", F.row_number().over(W.partitionBy("node").orderBy("df", "gram"))).withColumn("shared", F.count("*").over(W.partitionBy("node")))
     # n-grams of one document are the rarest and fill the prefix first
     prefix = F.col("n") - F.ceil(num * F.col("n") / den) + 1 - (F.col("n") - F.col("shared"))
-    prefixes = common.cut(shared.where(F.col("k") <= prefix).select("gram", "node", "n"), "prefixes")
-    labels = _links(prefixes, segments, live.select("node"), num, den, spare)
+    most = F.floor(F.col("shared") * (num + den) / num).cast("long") - F.col("n")
+    prefixes = common.cut(shared.where(F.col("k") <= prefix).select("gram", "node", "n", most.alias("most")), "prefixes")
+    labels = _links(prefixes, segments, live.select("node"), num, den, leader_rounds, block)
     named = labels.join(classes, "node").select("label", "fp", "rep")
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_class = classes.join(named.join(smallest, "label").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
