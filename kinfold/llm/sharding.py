@@ -84,12 +84,12 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", tie_cols: tuple[
     counts = {r["__place"]: r["n"] for r in split.groupBy("__place").agg(F.sum("n").alias("n")).collect()}  # ring rows at most
     runs = bounded_walk(counts, virtual_nodes(shards, per_shard, ring), shards)
     table = spark.createDataFrame(runs, "__place int, lo long, hi long, shard int, start long")
-    table = table.groupBy("__place").agg(F.collect_list(F.struct("lo", "hi", "shard", "start")).alias("runs"))
-    offsets = split.withColumn("before", F.sum("n").over(W.partitionBy("__place").orderBy("__salt")) - F.col("n")).drop("n")
+    table = table.groupBy("__place").agg(F.collect_list(F.struct("lo", "hi", "shard", "start")).alias("__runs"))
+    offsets = split.withColumn("__before", F.sum("n").over(W.partitionBy("__place").orderBy("__salt")) - F.col("n")).drop("n")
     offsets = offsets.join(F.broadcast(table), "__place")  # ring rows at most
     rank = F.row_number().over(W.partitionBy("__place", "__salt").orderBy("__h", *ties)) - 1
-    placed = keyed.withColumn("rank", rank).join(offsets, ["__place", "__salt"]).withColumn("rank", F.col("rank") + F.col("before"))
-    run = F.get(F.filter("runs", lambda r: (r["lo"] <= F.col("rank")) & (F.col("rank") < r["hi"])), F.lit(0))
-    placed = placed.withColumn("run", run)
+    placed = keyed.withColumn("__rank", rank).join(offsets, ["__place", "__salt"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
+    run = F.get(F.filter("__runs", lambda r: (r["lo"] <= F.col("__rank")) & (F.col("__rank") < r["hi"])), F.lit(0))
+    placed = placed.withColumn("__run", run)
     out = [F.col(c) for c in keyed.columns if c not in ("__place", "__h", "__salt")]
-    return placed.select(*out, F.col("run.shard").alias("shard"), (F.col("run.start") + F.col("rank") - F.col("run.lo")).alias("slot"))
+    return placed.select(*out, F.col("__run.shard").alias("shard"), (F.col("__run.start") + F.col("__rank") - F.col("__run.lo")).alias("slot"))

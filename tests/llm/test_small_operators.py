@@ -99,7 +99,7 @@ def test_new_shard_leaves_the_nodes_of_others():
 
 def test_shards_are_even_and_slots_gapless(spark):
     rows = [(i if i % 3 else 7, i % 11, "x") for i in range(2000)] + [(None, 1, "n"), (None, 1, "n")]
-    df = spark.createDataFrame(rows, "doc_id long, size long, slot string").repartition(5)
+    df = spark.createDataFrame(rows, "doc_id long, size long, slot string").withColumns({"rank": F.lit(1), "runs": F.lit(2), "before": F.lit(3)}).repartition(5)
     got = sharding.shard(df, 16, tie_cols=("size",)).collect()
     by = defaultdict(list)
     for r in got:
