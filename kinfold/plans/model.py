@@ -63,6 +63,11 @@ def _vectors(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="_x", handleInvalid="keep").transform(df)
 
 
+def fit(df: DataFrame, columns: list[str], settings: Settings) -> GBTClassificationModel:
+    """df: ``columns``, label and held; rows of held only stop the boosting."""
+    return _classifier(settings).fit(_vectors(df, columns).select("_x", "label", "held"))
+
+
 def score(models: list[GBTClassificationModel], df: DataFrame, columns: list[str], by_fold: bool = False) -> DataFrame:
     """Adds p: the mean of the models; with ``by_fold``, rows of part train only from models of the other folds."""
     out = _vectors(df, columns)
@@ -109,8 +114,8 @@ def train(pairs: DataFrame, refs: DataFrame, queries: DataFrame, truth: DataFram
     labelled.write.mode("overwrite").parquet(base)
     labelled = spark.read.parquet(base)
 
-    def fit(df: DataFrame, columns: list[str], name: str, inside) -> GBTClassificationModel:
-        model = _classifier(settings).fit(_vectors(df.where(inside | F.col("held")), columns).select("_x", "label", "held"))
+    def saved(df: DataFrame, columns: list[str], name: str, inside) -> GBTClassificationModel:
+        model = fit(df.where(inside | F.col("held")), columns, settings)
         model.write().overwrite().save(f"{path}/{name}")
         return model
 
@@ -119,7 +124,7 @@ def train(pairs: DataFrame, refs: DataFrame, queries: DataFrame, truth: DataFram
     if old and _first_stage(load_meta(old).settings) == _first_stage(asdict(settings)):
         stage1 = [GBTClassificationModel.load(f"{path}/stage1_fold{k}") for k in range(settings.folds)]
     else:  # fold k's model learns from queries of fold k; train rows are then scored by the others
-        stage1 = [fit(labelled, settings.columns, f"stage1_fold{k}", trained & (F.col("fold") == k)) for k in range(settings.folds)]
+        stage1 = [saved(labelled, settings.columns, f"stage1_fold{k}", trained & (F.col("fold") == k)) for k in range(settings.folds)]
     p1 = score(stage1, labelled, settings.columns, by_fold=True).join(queries.select("q", F.col("is_s3").alias("s3")), "q")
     choose = (F.col("part") == "val") & ~F.col("held")
     val_refs = refs.join(labelled.where(choose).select("s1").distinct(), "s1", "left_semi")
@@ -132,7 +137,7 @@ def train(pairs: DataFrame, refs: DataFrame, queries: DataFrame, truth: DataFram
         both = p1.drop("p", "s3", "is_s3").join(grouped, ["q", "s1"])
         both = both.select(*(F.col(c).cast("double").alias(c) if t == "boolean" and c != "held" else F.col(c) for c, t in both.dtypes))
         columns2 = settings.columns + features.GROUP_FEATURES
-        model = fit(both, columns2, "stage2", trained)
+        model = saved(both, columns2, "stage2", trained)
         p2 = score([model], both, columns2).withColumn("s3", F.col("is_s3") == 1)
         stages["stage2"] = best_rule(plain(p2), val_refs, val_truth)
         use2 = stages["stage2"]["f05"] > stages["stage1"]["f05"]

@@ -13,6 +13,7 @@ from . import views
 from .functions import similarity as sim
 from .functions import text as tx
 from .operators import aliases, decision, features, metrics, quality, retrieval, sampling
+from .plans import model
 from .sources import tsv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,6 +115,34 @@ def topk_sketched(spark, sf_dir):
     return retrieval.candidates(pairs)
 
 
+def _featured(spark, sf_dir):
+    """(pair features, queries, truth) of the sketched candidates, with the features written once."""
+    ref, queries, truth = views.linkage(spark, sf_dir)
+    more = {"name_clean": F.col("name_key"), "nums": tx.encode_numbers(tx.address_numbers(tx.words("addr_clean"))), "name_native": F.lit(False)}
+    ref, queries = ref.withColumns(more), queries.withColumns(more)
+    cands = retrieval.candidates(retrieval.retrieve_sketched(ref.select("s1", "country", "name_key", "addr_clean"), queries.select("q", "country", "name_key", "addr_clean", "addr_empty"), dim=256))
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    path = f"{shared.rstrip('/')}/candidates-{uuid.uuid4().hex}"
+    cands.write.parquet(path)
+    return features.pair_features(spark.read.parquet(path), ref, queries), queries, truth
+
+
+@query
+def pair_features(spark, sf_dir):
+    return _featured(spark, sf_dir)[0]
+
+
+@query
+def gbt_score(spark, sf_dir):
+    """Out-of-fold scores of two small boosted models, each fitted on the other half of the queries; a tenth of all only stops the boosting."""
+    pairs, _, truth = _featured(spark, sf_dir)
+    labelled = pairs.join(truth.withColumn("label", F.lit(1.0)), ["q", "s1"], "left").withColumn("label", F.coalesce("label", F.lit(0.0)))
+    labelled = labelled.withColumns({"fold": sampling.query_fold("q", 2), "part": F.lit("train"), "held": F.pmod(F.xxhash64("q"), F.lit(10)) == 0}).persist()
+    settings = model.Settings(rounds=3, depth=4, bins=32)
+    fitted = [model.fit(labelled.where((F.col("fold") == k) | F.col("held")), settings.columns, settings) for k in range(2)]
+    return model.score(fitted, labelled, settings.columns, by_fold=True).select("q", "s1", "label", F.round("p", 6).alias("p"))
+
+
 @query
 def topk_dense(spark, sf_dir):
     """The three nearest vectors of the same label by cosine, for every vector."""
