@@ -128,7 +128,7 @@ def _sets(size: int, top: int):
 _PACKED = "place int, kind int, ids binary, a binary, b binary"
 
 
-def _spread(fragments: int, top: int, flush_hashes: int = 2_000_000):
+def _spread(fragments: int, top: int, flush_hashes: int = 1_000_000):
     """(node, n, part) to packed rows. Kind 0: hashes of a fragment, with the one node here that has
     each (or a mark, if several here have it). Kind 1: n, size of the part, and how many of the
     part's hashes are shared within this flush, by node."""
@@ -247,7 +247,7 @@ def _keep_bucket(num: int, den: int):
 
 def _shared_enough(parts: DataFrame, top: int, total: int, num: int, den: int) -> DataFrame:
     """Nodes of (node, n, part) of whose part enough is shared with other nodes. Pruning step 1."""
-    fragments = max(1, -(-total // 4_000_000))
+    fragments = max(1, -(-total // 2_000_000))
     packed = parts.select("node", "n", "part").mapInArrow(_spread(fragments, top), _PACKED)
     counted = packed.groupBy("place").applyInPandas(_count_fragment(fragments), _PACKED)
     return counted.groupBy("place").applyInPandas(_keep_bucket(num, den), "node long, n long")
@@ -290,7 +290,7 @@ def _named(df: DataFrame, x: str, *more: str) -> DataFrame:
 
 
 def _open(postings: DataFrame, by_label: bool) -> DataFrame:
-    """Postings (gram, node, n, most, label) of lists with pairs across components, without nodes that no partner there is small enough for."""
+    """Postings (gram, node, n, most, share, label) of lists with pairs across components, without nodes that no partner there is small enough for."""
     least = postings.groupBy("gram").agg(F.min("n").alias("least"))
     fit = postings.join(least, "gram").where("most >= least").drop("least")
     several = F.min("label") < F.max("label") if by_label else F.count("*") > 1
@@ -331,9 +331,9 @@ def _links(prefixes: DataFrame, segments: DataFrame, nodes: DataFrame, num: int,
     """(node, label) after all pairs that share a prefix n-gram and aren't in one component were compared.
 
     ``most`` is the largest size of a partner that a node's n-grams in other documents allow. First, round
-    by round, each posting list is compared with its leader, the smallest set in it, which then leaves the
-    list, and components are joined: near copies of one text become one component at a cost in
-    proportion to their postings. Then all pairs left across components are compared.
+    by round, each posting list is compared with its leader, the set that shares the largest part of its
+    n-grams, which then leaves the list, and components are joined: near copies of one text, most of
+    whose lists have one leader, become one component at a cost in proportion to their postings. Then all pairs left across components are compared.
     """
     postings, labels = prefixes.withColumn("label", F.col("node")), nodes.select("node", F.col("node").alias("label"))
     for step in range(leader_rounds + 1):
@@ -341,7 +341,7 @@ def _links(prefixes: DataFrame, segments: DataFrame, nodes: DataFrame, num: int,
         if held.isEmpty():
             return labels
         # an aggregate combines before the shuffle
-        first = held.groupBy("gram").agg(F.min(F.struct("n", "node", "most", "label")).alias("s")).select("gram", "s.*")
+        first = held.groupBy("gram").agg(F.max(F.struct("share", "node", "n", "most", "label")).alias("s")).select("gram", "s.*")
         found = _with_leaders(held, first, segments, num, den) if step < leader_rounds else _within_clusters(held, first, segments, num, den, block)
         edges = common.cut(found.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "links")
         if not edges.isEmpty():
@@ -397,7 +397,7 @@ def ngram_jaccard_join(
     # n-grams of one document are the rarest and fill the prefix first
     prefix = F.col("n") - F.ceil(num * F.col("n") / den) + 1 - (F.col("n") - F.col("shared"))
     most = F.floor(F.col("shared") * (num + den) / num).cast("long") - F.col("n")
-    prefixes = common.cut(shared.where(F.col("k") <= prefix).select("gram", "node", "n", most.alias("most")), "prefixes")
+    prefixes = common.cut(shared.where(F.col("k") <= prefix).select("gram", "node", "n", most.alias("most"), (F.col("shared") / F.col("n")).alias("share")), "prefixes")
     labels = _links(prefixes, segments, live.select("node"), num, den, leader_rounds, block)
     named = labels.join(classes, "node").select("label", "fp", "rep")
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
