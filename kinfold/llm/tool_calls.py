@@ -167,6 +167,21 @@ def _rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         level += 1
 
 
+def _numbers(calls: DataFrame, levels: DataFrame) -> DataFrame:
+    """(conv_id, place, seq): numbers from 1 within each conversation, by level, then place; calls without a level in an ordered conversation last.
+
+    Ranges of (conversation, level, place) are sorted on their own, so that one long conversation is many tasks' work.
+    """
+    level = F.coalesce("level", F.when(F.col("loose"), F.lit(2**31 - 1)).otherwise(F.lit(0)))
+    keys = calls.join(levels, ["conv_id", "call_id"], "left").select("conv_id", "place", level.alias("level"))
+    keys = common.cut(keys.repartitionByRange("conv_id", "level", "place").withColumn("range", F.spark_partition_id()), "order")
+    before = keys.groupBy("conv_id", "range").agg(F.count("*").alias("n"))
+    before = before.select(F.col("conv_id").alias("c"), F.col("range").alias("r"), (F.sum("n").over(W.partitionBy("conv_id").orderBy("range")) - F.col("n")).alias("before"))
+    number = F.row_number().over(W.partitionBy("conv_id", "range").orderBy("level", "place"))
+    numbered = keys.withColumn("number", number).join(before, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("range") == F.col("r")))
+    return numbered.select("conv_id", "place", (F.col("number") + F.col("before")).cast("int").alias("seq"))
+
+
 def link_tool_calls(messages: DataFrame, schemas: dict[str, dict], parse: Callable = parse_message, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """A row for each event: conv_id, turn, pos, kind, call_id, tool, status, seq, errors, json.
 
@@ -223,6 +238,6 @@ def link_tool_calls(messages: DataFrame, schemas: dict[str, dict], parse: Callab
     of_result = F.when(F.col("status") == "linked", F.concat(F.lit(',"result":'), "result")).otherwise(F.lit(""))
     of_call = F.concat(F.lit('{"arguments":'), "body", F.lit(',"id":'), quoted("call_id"), F.lit(',"name":'), quoted("tool"), of_result, F.lit("}"))
     text = F.when(is_call, of_call).when(F.col("kind") == "result", F.concat(F.lit('{"content":'), "body", F.lit(',"tool_call_id":'), quoted("call_id"), F.lit("}"))).otherwise(F.col("body"))
-    order = W.partitionBy("conv_id", is_call).orderBy(F.coalesce(F.col("level"), F.when(stuck, F.lit(2**31 - 1)).otherwise(F.lit(0))), "place")
-    out = known.withColumn("status", status).withColumn("seq", F.when(is_call, F.row_number().over(order)))
+    order = _numbers(events.where("kind = 'call'").select(*key, "place"), levels).withColumnsRenamed({"conv_id": "c", "place": "p"})
+    out = known.withColumn("status", status).join(order, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("place") == F.col("p")), "left")
     return out.select("conv_id", "turn", "pos", "kind", "call_id", "tool", "status", "seq", F.array_sort(F.concat("errors", more)).alias("errors"), text.alias("json"))
