@@ -192,6 +192,7 @@ select q, s1, p, is_s3, is_best as g_is_best, p - case when is_best then b2 else
   case when coalesce(rs = 1, false) then q2 else q1 end is not null as g_has_other from t""",
     "q_decide_threshold": f"with {SCORED_SQL},{_BEST}, kept as (select * from best where p >= 0.6) {_capped('kept')}",
     "q_decide_expected": f"with {SCORED_SQL}, low as (select * from pairs where p < 0.4),{_expected('0.1', 'low')} {_capped('(select q, s1, p, is_s3 from prefix)')}",
+    "q_decide_expected_all": f"with {SCORED_SQL},{_expected('0.1', 'pairs')} {_capped('(select q, s1, p, is_s3 from prefix)')}",
     "q_caps": f"with {SCORED_SQL} {_capped('pairs')}",
     "q_sweep": f"""with {SCORED_SQL},{_BEST},{_COUNTS},
 grid as (select distinct round(k, 2)::double as threshold from (select 0.05 * unnest(range(1, 20)) as k union all select 0.30 + 0.01 * unnest(range(60)))),
@@ -205,6 +206,13 @@ low as (select pairs.*, floor from pairs, floors where p < 0.4),{_expected("floo
 kept as ({_capped("(select q, s1, p, is_s3, floor from prefix)", "floor,")}),
 hits as (select floor, k.s1, count(*) as n, count(*) filter (k.s1 = t.s1) as tp from kept k left join truth t on t.q = k.q group by 1, 2)
 select g.floor, round(avg(case when 0.25 * n_true + coalesce(n, 0) > 0 then 1.25 * coalesce(tp, 0) / (0.25 * n_true + coalesce(n, 0)) else 1.0 end::double), 9) as f05
+from floors g cross join true_n c left join hits h on h.floor = g.floor and h.s1 = c.s1 group by g.floor""",
+    "q_sweep_expected_all": f"""with {SCORED_SQL},{_COUNTS},
+floors as (select unnest({tables.FLOORS})::double as floor),
+tried as (select pairs.*, floor from pairs, floors),{_expected("floor", "tried", "floor,")},
+kept as ({_capped("(select q, s1, p, is_s3, floor from prefix)", "floor,")}),
+hits as (select floor, k.s1, count(*) as n, count(*) filter (k.s1 = t.s1) as tp from kept k left join truth t on t.q = k.q group by 1, 2)
+select g.floor, round(avg(case when 0.25 * n_true + coalesce(n, 0) > 0 then 1.25 * coalesce(tp, 0) / (0.25 * n_true + coalesce(n, 0)) else 1.0 end::double), 9) as f05
 from floors g cross join true_n c left join hits h on h.floor = g.floor and h.s1 = c.s1 group by g.floor""",
     "q_prior_shift": f"""with {SCORED_SQL}, c as (select q, s1, least(greatest(p, 1e-7), 1 - 1e-7) as pc from pairs)
 select q, s1, round(1 / (1 + exp(-(ln(pc / (1 - pc)) + ln(0.6 / 0.4) - ln(0.74 / 0.26)))), 9) as p from c""",

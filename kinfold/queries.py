@@ -199,6 +199,12 @@ def decide_expected(spark, sf_dir):
     return decision.decide_expected(views.scored(spark, sf_dir)[0].where("p < 0.4"), 0.1)
 
 
+@query
+def decide_expected_all(spark, sf_dir):
+    """The expected-F rule over all scored pairs; decide_expected sees those below 0.4 only, as its SQL does."""
+    return decision.decide_expected(views.scored(spark, sf_dir)[0], 0.1)
+
+
 @query
 def caps(spark, sf_dir):
     return decision.apply_caps(views.scored(spark, sf_dir)[0])
@@ -216,6 +222,13 @@ def sweep_expected(spark, sf_dir):
     return decision.sweep_expected(pairs.where("p < 0.4"), refs, truth).withColumn("f05", F.round("f05", 9))
 
 
+@query
+def sweep_expected_all(spark, sf_dir):
+    """The floors of the expected-F rule over all scored pairs."""
+    pairs, truth, refs = views.scored(spark, sf_dir)
+    return decision.sweep_expected(pairs, refs, truth).withColumn("f05", F.round("f05", 9))
+
+
 @query
 def prior_shift(spark, sf_dir):
     pairs, _, _ = views.scored(spark, sf_dir)
