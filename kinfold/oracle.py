@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .functions import tables
-from .views import LINKAGE_SQL, RAW_SQL, SCORED_SQL
+from .views import LINKAGE_SQL, RAW_SQL, RAW_WHOLE_SQL, SCORED_SQL, WHOLE_SQL
 
 
 def _list(values) -> str:
@@ -260,3 +260,7 @@ candidate as (select distinct s1, list_filter(ids, lambda x: not regexp_matches(
 select g.s1, array_to_string(x, ',') as extra from (select g.s1, list_distinct(list_filter(g.ids, lambda x: not list_contains(c.ids, x))) as y, list_sort(y) as x from good g join candidate c on c.s1 = g.s1) g
 where len(x) > 0""",
 }
+
+#: The same SQL over whole texts.
+ORACLE_SQL |= {f"{name}_whole": ORACLE_SQL[name].replace(RAW_SQL, RAW_WHOLE_SQL) for name in ("q_name_normalize", "q_address_normalize", "q_numbers_shared")}
+ORACLE_SQL["q_gram_idf_whole"] = ORACLE_SQL["q_gram_idf"].replace(LINKAGE_SQL, WHOLE_SQL)

@@ -24,32 +24,59 @@ def query(f: Callable[[SparkSession, str], DataFrame]):
     return f
 
 
+def _names(records):
+    out = tx.normalise(records, unicode=False)
+    return out.select("entity_id", "name_clean", "name_key", tx.squashed("name_key").alias("name_squashed"), "name_native")
+
+
 @query
 def name_normalize(spark, sf_dir):
-    out = tx.normalise(views.raw_records(spark, sf_dir), unicode=False)
-    return out.select("entity_id", "name_clean", "name_key", tx.squashed("name_key").alias("name_squashed"), "name_native")
+    return _names(views.raw_records(spark, sf_dir))
 
 
 @query
-def address_normalize(spark, sf_dir):
-    out = tx.normalise(views.raw_records(spark, sf_dir), unicode=False)
+def name_normalize_whole(spark, sf_dir):
+    return _names(views.raw_records(spark, sf_dir, whole=True))
+
+
+def _addresses(records):
+    out = tx.normalise(records, unicode=False)
     return out.select("entity_id", "country", "addr_clean", "addr_empty", F.array_join(F.transform("nums", lambda x: x.cast("string")), ",").alias("nums"))
 
 
 @query
-def numbers_shared(spark, sf_dir):
+def address_normalize(spark, sf_dir):
+    return _addresses(views.raw_records(spark, sf_dir))
+
+
+@query
+def address_normalize_whole(spark, sf_dir):
+    return _addresses(views.raw_records(spark, sf_dir, whole=True))
+
+
+def _numbers(records):
     """Number features of each record with the one 97 ids on, which has the same flat number."""
-    base = tx.normalise(views.raw_records(spark, sf_dir), unicode=False).select("entity_id", "name_key", "addr_clean", "nums")
+    base = tx.normalise(records, unicode=False).select("entity_id", "name_key", "addr_clean", "nums")
     q = base.select(F.col("entity_id").alias("q"), *(F.col(c).alias(f"q_{c}") for c in ("name_key", "addr_clean", "nums")))
     s = base.select((F.col("entity_id") - 97).alias("q"), *(F.col(c).alias(f"s_{c}") for c in ("name_key", "addr_clean", "nums")))
     out = features.number_features(q.join(s, "q"))
     return out.select("q", "num_shared", "num_first_in_q", "num_first_eq", "num_q", "num_s", "len_nk_q", "len_nk_s", "len_ad_q", "len_ad_s")
 
 
+@query
+def numbers_shared(spark, sf_dir):
+    return _numbers(views.raw_records(spark, sf_dir))
+
+
+@query
+def numbers_shared_whole(spark, sf_dir):
+    return _numbers(views.raw_records(spark, sf_dir, whole=True))
+
+
 @query
 def unicode_normalize(spark, sf_dir):
-    """With the Arrow functions, over the whole table; no SQL form of case folding."""
-    return tx.normalise(views.raw_records(spark, sf_dir)).select("entity_id", "name_clean", "name_key", "addr_clean")
+    """With the Arrow functions, over whole texts; no SQL form of case folding."""
+    return tx.normalise(views.raw_records(spark, sf_dir, whole=True)).select("entity_id", "name_clean", "name_key", "addr_clean")
 
 
 @query
@@ -94,14 +121,22 @@ def tsv_round_trip(spark, sf_dir):
     return tsv.read_source(spark, path)
 
 
-@query
-def gram_idf(spark, sf_dir):
-    ref, _, _ = views.linkage(spark, sf_dir)
+def _idf(ref):
     df = retrieval.document_frequency(retrieval.gram_counts(ref, ["s1"], "name_key"))
     n = ref.agg(F.count("*").alias("n_docs"))
     return df.join(F.broadcast(n)).select("gram", "df", F.round(F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1, 9).alias("idf"))
 
 
+@query
+def gram_idf(spark, sf_dir):
+    return _idf(views.linkage(spark, sf_dir)[0])
+
+
+@query
+def gram_idf_whole(spark, sf_dir):
+    return _idf(views.whole_texts(spark, sf_dir))
+
+
 @query
 def topk_reverse(spark, sf_dir):
     ref, queries, _ = views.linkage(spark, sf_dir)

@@ -31,16 +31,20 @@ raw as (
       case doc_id % 4 when 0 then 'New York' when 1 then 'West Bengal' when 2 then 'Jammu and Kashmir' else 'Texas' end || ' Apt ' || (doc_id % 97)::varchar as address
   from wordy)"""
 
+#: The same records with all words of a document in the name and in the address.
+RAW_WHOLE_SQL = RAW_SQL.replace("array_to_string(list_slice(w, 1, 4), ' ')", "array_to_string(w, ' ')").replace("array_to_string(list_slice(w, 2, 4), ' ')", "array_to_string(list_slice(w, 2, len(w)), ' ')")
 
-def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(entity_id, name, address, country) for each document."""
+
+def raw_records(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """(entity_id, name, address, country) for each document: of its first words, or of all with ``whole``."""
+    name, rest = (F.array_join("w", " "), F.array_join(F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))), " ")) if whole else (_some(1, 4), _some(2, 3))
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", _words("text").alias("w"))
     third = F.when(F.col("doc_id") % 3 == 0, " L.L.C.").when(F.col("doc_id") % 3 == 1, " & Sons Co.").otherwise(".com Pvt Ltd")
     state = F.when(F.col("doc_id") % 4 == 0, "New York").when(F.col("doc_id") % 4 == 1, "West Bengal").when(F.col("doc_id") % 4 == 2, "Jammu and Kashmir").otherwise("Texas")
     address = F.concat(
-        F.lit("No"), F.lpad(F.col("doc_id").cast("string"), 6, "0"), _some(1, 1), F.lit(", "), _some(2, 3), F.lit(" Street, "), state, F.lit(" Apt "), (F.col("doc_id") % 97).cast("string")
+        F.lit("No"), F.lpad(F.col("doc_id").cast("string"), 6, "0"), _some(1, 1), F.lit(", "), rest, F.lit(" Street, "), state, F.lit(" Apt "), (F.col("doc_id") % 97).cast("string")
     )
-    return docs.select(F.col("doc_id").alias("entity_id"), F.concat(_some(1, 4), third).alias("name"), address.alias("address"), F.col("lang").alias("country"))
+    return docs.select(F.col("doc_id").alias("entity_id"), F.concat(name, third).alias("name"), address.alias("address"), F.col("lang").alias("country"))
 
 
 #: Three sources: clean references, two noisy copies, distractors. q counts S2 from 0 and S3 from 1e9.
@@ -81,6 +85,18 @@ def linkage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     return ref, queries, truth
 
 
+#: Whole texts of all documents, each one reference and query.
+WHOLE_SQL = r"""
+ref as (
+  select doc_id as s1, lang as country, trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}\s]|_', ' ', 'g'), '\s+', ' ', 'g')) as name_key from documents),
+query as (select s1 as q, country, name_key from ref)"""
+
+
+def whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(s1, country, name_key) of all documents, with the whole text as the name."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("s1"), F.col("lang").alias("country"), tx.punct_to_space(F.lower("text")).alias("name_key"))
+
+
 #: Scored pairs with ties: an order (q) claims the suppliers (s1) of its lines; its first line's is true for three of four orders.
 SCORED_SQL = """
 pairs as (

@@ -12,3 +12,15 @@ def test_expected_rule_sees_likely_pairs(spark, sf_dir):
     assert kept and all(best[r["q"]] == (-r["p"], r["s1"]) for r in kept)
     assert max(r["p"] for r in kept) >= 0.7
     assert all(r["f05"] > 0 for r in QUERIES["q_sweep_expected_all"](spark, sf_dir).collect())
+
+
+def test_text_queries_take_in_whole_texts(spark, sf_dir):
+    docs = views.table(spark, sf_dir, "documents").collect()
+    longest = max(docs, key=lambda r: len(r["text"] or ""))
+    n = len(longest["text"].split())
+    assert n > 100
+    for name, column in (("q_unicode_normalize", "name_clean"), ("q_unicode_normalize", "addr_clean"), ("q_name_normalize_whole", "name_clean"), ("q_address_normalize_whole", "addr_clean")):
+        got = {r["entity_id"]: r[column] for r in QUERIES[name](spark, sf_dir).collect()}
+        assert len(got) == len(docs) and len(got[longest["doc_id"]].split()) > 0.8 * n
+    grams = {r["gram"]: r["df"] for r in QUERIES["q_gram_idf_whole"](spark, sf_dir).collect()}
+    assert grams["the"] == sum("the" in (r["text"] or "").lower() for r in docs)
