@@ -366,7 +366,8 @@ def ngram_jaccard_join(
 
     Null or empty texts, or texts without words: n_shingles 0, linked with nothing. Fewer words than
     ``size``: the whole sequence is the only n-gram. Rows with equal sets are in one component, repeated
-    rows too; a null id is no candidate for component_id. An empty table gives an empty result. Other
+    rows too; a null id is no candidate for component_id, but its text links others, and only components of
+    null ids alone have a null component_id. An empty table gives an empty result. Other
     columns of ``docs`` are not read, whatever their names.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -379,7 +380,10 @@ def ngram_jaccard_join(
     classes = full.groupBy("fp", "node").agg(F.min("id").alias("rep"))
     chosen = able.join(classes, "node")
     chosen = common.cut(chosen.select("node", F.col("rep").alias("id")), "chosen")
-    whole = base.join(common.maybe_broadcast(chosen, chosen.count()), "id")
+    ids = chosen.select("id").where("id is not null").distinct()
+    whole = base.join(common.maybe_broadcast(ids, chosen.count()), "id", "left_semi")
+    if not chosen.where("id is null").isEmpty():  # a class without an id is found again among all rows without one, which no join deals to one task
+        whole = whole.unionByName(base.where("id is null"))
     whole = common.cut(
         whole.select("id", "text")
         .mapInArrow(_sets(size, 2**64 - 1), f"id {id_type}, n long, fp binary, node long, part binary")
