@@ -36,10 +36,16 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked at a Jaccard similarity of 0.75, the one with the smallest id stays. Rows with an equal id and text are one."""
-    members = ngram_jaccard_join(docs)
-    first = cut(members.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct(), "first")
-    stay = docs.select(*COLUMNS).join(maybe_broadcast(first, first.count()), F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
+    """Of documents linked at a Jaccard similarity of 0.75, the one with the smallest id stays; null ids come last.
+
+    Rows are named by id and text, so that an id over several texts, or none, is as many documents; of
+    several texts under the smallest id one stays. Rows with an equal id and text are one.
+    """
+    name = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"), F.col("text").isNull().alias("no_text"))
+    named = docs.select(*COLUMNS, name.alias("_name"))
+    members = ngram_jaccard_join(named.select("_name", "text"), id_col="_name")
+    first = cut(members.where(F.col("_name") == F.col("component_id")).select(F.col("_name").alias("_first")).distinct(), "first")
+    stay = named.join(maybe_broadcast(first, first.count()), F.col("_name") == F.col("_first"), "left_semi").select(*COLUMNS)
     repeated = docs.groupBy("doc_id").count().where("count > 1")
     return stay if repeated.isEmpty() else stay.dropDuplicates(["doc_id", "text"])
 
