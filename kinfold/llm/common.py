@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 #: Separators of words, as a character class body: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a table that is broadcast by hint; beyond it a shuffled join is used.
-BROADCAST_ROWS = 400_000
+BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only in a local session that names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-        spark.conf.set("spark.kinfold.scratch", found)
     return found.rstrip("/")
 
 
@@ -35,7 +36,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path).getParent()
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kinfold_folder = str(where)
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that cut() has written, once nothing reads them any more: what was made of them is written itself."""
+    for df in tables:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._kinfold_folder)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def parts(spark: SparkSession) -> int:
@@ -77,10 +87,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             "hooked",
         )
         if hooked.where("moved").isEmpty():
+            drop(both, hooked)
             return labels
-        labels = cut(
+        before, labels = labels, cut(
             hooked.join(hooked.select(F.col("node").alias("new"), F.col("new").alias("up")), "new", "left").select(
                 "node", F.least("new", F.coalesce("up", "new")).alias("label")
             ),
             "labels",
         )
+        drop(before, hooked)

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinfold.llm import ngram_join as m
 from kinfold.llm.common import components
@@ -98,3 +99,42 @@ def test_components(spark):
             label[a] = label[b] = min(label[a], label[b])
     got = components(spark.createDataFrame([(x,) for x in label], "node long"), spark.createDataFrame(edges, "a long, b long"))
     assert {r["node"]: r["label"] for r in got.collect()} == label
+
+
+def test_words_that_a_polynomial_modulo_a_power_of_two_confuses(spark):
+    thue = "a"
+    while len(thue) < 2048:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    assert len(set(m.word_hashes(f"{thue} {other}").tolist())) == 2
+    got = {tuple(r) for r in ngram_jaccard_join(spark.createDataFrame([(1, thue), (2, other)], SCHEMA)).collect()}
+    assert got == {(1, 1, 1), (2, 1, 2)}
+
+
+def test_sets_whose_names_clash(spark, monkeypatch):
+    real = m._digest
+    monkeypatch.setattr(m, "_digest", lambda s: (real(s)[0] % 3, real(s)[1]))
+    rows = corpus(6)
+    got = {tuple(r) for r in ngram_jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute(rows)
+
+
+def alike(n):
+    """Texts of a common passage and four pieces, each shared with three others, but no two with one other: alike, and none link."""
+    passage, piece = " ".join(f"p{i}" for i in range(120)), [" ".join(f"r{k}x{i}" for i in range(8)) for k in range(n)]
+    return [(i, " ".join(piece[(i + k) % n] for k in (0, 1, 4, 6)) + " " + passage) for i in range(n)]
+
+
+def test_many_sets_that_are_alike_but_not_linked(spark):
+    rows = alike(40)
+    got = {tuple(r) for r in ngram_jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute(rows) and len({c for _, _, c in got}) == 40
+    rows = alike(20_000)
+    counted, real = [], m._pairs_of_lists
+    try:
+        m._pairs_of_lists = lambda *a: counted.append(real(*a)) or counted[-1]
+        got = ngram_jaccard_join(spark.createDataFrame(rows, SCHEMA).repartition(4)).agg(F.count_distinct("component_id")).first()[0]
+    finally:
+        m._pairs_of_lists = real
+    assert got == 20_000
+    assert sum(c.count() for c in counted) <= 8 * 20_000  # of the pieces; the passage makes none
