@@ -9,6 +9,7 @@ out and sorted by a hash. Counts are a function of the row alone, so a task that
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,15 +24,63 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+#: Rates above this are split into equal parts, whose counts are independent and add up to the whole's.
+PART_RATE = 1e6
+#: Bytes of tables that are broadcast; beyond it they are joined by a shuffle.
+TABLE_BYTES = 32 << 20
+#: Copies of a row that one array numbers.
+_BLOCK = 1 << 16
+
+
+def _range(rate: Column) -> tuple[Column, Column]:
+    """Counts within 12 standard deviations of the rate and 24 more: what is outside has a mass below 1e-30."""
+    reach = 12 * F.sqrt(rate) + 24
+    return F.greatest(F.lit(0), F.floor(rate - reach)).cast("long"), F.ceil(rate + reach).cast("long")
+
+
 def poisson_tables(rates: DataFrame) -> DataFrame:
-    """(key, rate) to (key, rate, cdf): P(count <= k) for k from 0 as an array, by sums of logarithms, so that no rate underflows."""
-    last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 24).cast("int")
-    steps = rates.withColumn("k", F.explode(F.sequence(F.lit(0), last)))
-    upto = W.partitionBy("key").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
-    ratio = F.when(F.col("k") == 0, -F.col("rate")).otherwise(F.log(F.col("rate") / F.greatest("k", F.lit(1))))
-    steps = steps.withColumn("mass", F.when(F.col("rate") > 0, F.exp(F.sum(ratio).over(upto))).otherwise(F.when(F.col("k") == 0, 1.0).otherwise(0.0)))
-    steps = steps.withColumn("cdf", F.sum("mass").over(upto))
-    return steps.groupBy("key", "rate").agg(F.array_sort(F.collect_list(F.struct("k", "cdf"))).alias("s")).select("key", "rate", F.col("s.cdf").alias("cdf"))
+    """(key, rate) to (key, rate, low, cdf): P(count <= k) for k from ``low`` as an array, to the end of _range.
+
+    Masses are relative to the largest one, by sums of logarithms, and divided by their sum, so that no rate
+    under- or overflows. Rates up to about PART_RATE: the array has 24 * sqrt(rate) + 48 entries.
+    """
+    low, high = _range(F.col("rate"))
+    steps = rates.withColumn("low", low).withColumn("k", F.explode(F.sequence("low", F.when(F.col("rate") > 0, high).otherwise(F.lit(0).cast("long")))))
+    every = W.partitionBy("key")
+    upto = every.orderBy("k").rowsBetween(W.unboundedPreceding, 0)
+    ratio = F.when(F.col("k") == F.col("low"), F.lit(0.0)).otherwise(F.log(F.col("rate") / F.col("k")))
+    steps = steps.withColumn("log", F.sum(ratio).over(upto))
+    steps = steps.withColumn("mass", F.exp(F.col("log") - F.max("log").over(every)))
+    steps = steps.withColumn("cdf", F.sum("mass").over(upto) / F.sum("mass").over(every))
+    listed = steps.groupBy("key", "rate", "low").agg(F.array_sort(F.collect_list(F.struct("k", "cdf"))).alias("s"))
+    return listed.select("key", "rate", "low", F.col("s.cdf").alias("cdf"))
+
+
+def poisson_counts(docs: DataFrame, rates: DataFrame, seed: int, id_col: str, key_col: str, part_rate: float = PART_RATE) -> DataFrame:
+    """``docs`` with copies (long): the Poisson quantile of the rate (key, rate) of its ``key_col`` at a hash of the seed and the id.
+
+    A rate above ``part_rate`` is cut into equal parts with a hash each.
+    """
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / part_rate)).cast("long")
+    split = common.cut(rates.select("key", parts.alias("parts"), (F.col("rate") / parts).alias("rate")), "rates")
+    low, high = _range(F.col("rate"))
+    size = split.agg(F.coalesce(F.sum((high - low + 4) * 8), F.lit(0))).first()[0]
+    tables = poisson_tables(split.select("key", "rate")).join(split.select("key", "parts"), "key")
+    tables = tables.select(F.col("key").alias("__key"), F.col("parts").alias("__parts"), F.col("low").alias("__low"), F.col("cdf").alias("__cdf"))
+    joined = docs.join(F.broadcast(tables) if size <= TABLE_BYTES else tables, docs[key_col] == tables["__key"])
+
+    # the number of entries up to u, by halving: a step is taken if the entry there is still one of them
+    widest = int(24 * math.sqrt(part_rate)) + 64
+    steps = F.array(*(F.lit(1 << b) for b in reversed(range(widest.bit_length()))))
+
+    def at(u: Column) -> Column:
+        on = lambda n, step: (n + step <= F.size("__cdf")) & (F.get("__cdf", n + step - 1) <= u)
+        return F.col("__low") + F.aggregate(steps, F.lit(0), lambda n, step: F.when(on(n, step), n + step).otherwise(n))
+
+    more = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("__parts") - 1), F.lit(0).cast("long"), lambda n, i: n + at(uniform(F.lit(seed), F.col(id_col), i)))
+    first = joined.withColumn("__u", uniform(F.lit(seed), F.col(id_col))).withColumn("copies", at(F.col("__u")).cast("long"))
+    whole = F.when(F.col("__parts") > 1, F.col("copies") + more).otherwise(F.col("copies"))
+    return first.withColumn("copies", whole).drop("__parts", "__low", "__cdf", "__u", "__key")
 
 
 def poisson_mix(
@@ -48,8 +97,8 @@ def poisson_mix(
 
     Weights are relative, among the sources that occur; a source not named has ``default_weight``; null
     is a source of its own. Sizes are UTF-8 bytes, null texts none. A source without bytes has rate
-    ``epochs``. Rows of one id get one count, repeated rows each their copies. Rates have no upper bound.
-    An empty table gives an empty result. Columns of the three names are replaced, others are kept.
+    ``epochs``. Rows of one id get one count, repeated rows each their copies. Rates have no upper bound:
+    tables are of the counts near the rate, and rates above PART_RATE are sums of parts. An empty table gives an empty result. Columns of the three names are replaced, others are kept.
     """
     base = docs.drop("copy", "copies", "shuffle_key").withColumn("__key", F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")))
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
@@ -60,11 +109,9 @@ def poisson_mix(
     totals = stats.agg(F.sum("size").cast("double").alias("size"), F.sum("weight").alias("weight"), F.count("*").alias("n")).first()
     share = F.col("weight") / F.lit(totals["weight"] or 1.0) * F.lit(totals["size"] or 0.0)
     rate = F.when(F.col("size") > 0, share / F.col("size") * float(epochs)).otherwise(float(epochs))
-    tables = poisson_tables(stats.select("key", rate.alias("rate"))).withColumnsRenamed({"key": "__key", "cdf": "__cdf"}).drop("rate")
-    # one row for each source: few are broadcast, very many are joined by a shuffle that splits large sources
-    joined = base.join(F.broadcast(tables) if totals["n"] <= 10_000 else tables, "__key")
-    u = uniform(F.lit(seed), F.col(id_col))
-    counted = joined.withColumn("__u", u).withColumn("copies", F.size(F.filter("__cdf", lambda c: c <= F.col("__u"))))
-    copied = counted.where("copies > 0").drop("__key", "__cdf", "__u").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    counted = poisson_counts(base.withColumnRenamed("__key", "__source"), stats.select("key", rate.alias("rate")), seed, id_col, "__source")
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(_BLOCK).cast("long")))
+    blocked = counted.where("copies > 0").drop("__source").withColumn("__block", blocks)
+    copied = blocked.withColumn("copy", F.explode(F.sequence(F.col("__block") + 1, F.least(F.col("__block") + _BLOCK, "copies")))).drop("__block")
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("shuffle"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy").cast("string")))
     return copied.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
