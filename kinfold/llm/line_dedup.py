@@ -84,8 +84,8 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int)
         end = F.expr(f"r{h}[least(l - {2**h}, size(r{h}) - 1)]")
         shift = F.when((F.col("l") >= 2**h) & (F.col("l") < 2 ** (h + 1)), F.struct(F.expr(f"r{h}[0]").alias("a"), end.alias("b"))).otherwise(shift)
     runs = common.cut(runs.select("id", "th", "k", "l", F.slice("ls", 1, F.col("l")).alias("ls"), shift.alias("interval")), "runs")
-    intervals = runs.groupBy("l", "interval").agg(F.min(F.struct("id", "th", "k")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = runs.join(intervals, ["l", "interval"]).where(~F.struct("id", "th", "k").eqNullSafe(F.col("first")))
+    intervals = common.cut(runs.groupBy("l", "interval").agg(F.min(F.struct("id", "th", "k")).alias("first"), F.count("*").alias("n")).where("n > 1"), "intervals")
+    later = common.join_counted(runs, intervals, ["l", "interval"]).where(~F.struct("id", "th", "k").eqNullSafe(F.col("first")))
     return later.select("id", "th", F.explode("ls").alias("line")).groupBy("id", "th").agg(F.collect_set("line").alias("lines"))
 
 
