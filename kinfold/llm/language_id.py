@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 #: Families of languages by ISO 639-1 code; a language that isn't here is a family of its own.
 FAMILIES = {
@@ -24,15 +25,20 @@ FAMILIES = {
     "ca": "romance", "es": "romance", "fr": "romance", "it": "romance", "pt": "romance", "ro": "romance",
     "bg": "slavic", "cs": "slavic", "pl": "slavic", "ru": "slavic", "sk": "slavic", "uk": "slavic",
 }
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
 _CHUNK = 1 << 18
 _SPACED = np.arange(256, dtype=np.uint32)
 _SPACED[[x for x in range(128) if not chr(x).isalpha()]] = 32
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a letter (Unicode category L); fractions and other numerals are none."""
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text or ""))
+
+
 def features(text: str | None, dims: int) -> np.ndarray | None:
     """The feature vector of a whole text, or None if the text is null or has no letter."""
-    if not text or not _LETTER.search(text):
+    if not has_letter(text):
         return None
     raw = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
     counts = np.zeros(dims, np.float64)
@@ -121,20 +127,25 @@ def _train(x: np.ndarray, langs: np.ndarray, dims: int, families: dict[str, str]
     return model
 
 
+def sample_rows(labelled: DataFrame, text_col: str, lang_col: str, most: int) -> DataFrame:
+    """(text, lang): for each language the ``most`` distinct texts with the smallest hashes, one row each."""
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    chosen = hashed.select("lang", "h").distinct().withColumn("r", rank).where(F.col("r") <= most).drop("r")
+    return hashed.join(chosen, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("text", "lang")
+
+
 def fit_language_id(
     labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_per_language: int = 600, dims: int = 4096, families: dict[str, str] = FAMILIES
 ) -> LanguageModel:
-    """Fits on about ``sample_per_language`` rows of each language, chosen by a hash of the text (a documented bound).
+    """Fits on at most ``sample_per_language`` distinct texts of each language, those with the smallest hashes (a documented bound).
 
-    Rows with a null text or language, and texts without letters, are not learned from. Only feature
-    vectors of the sample come to the driver. Without any row the model answers ``und``.
+    Rows with a null text or language, and texts without letters, are not learned from; a text under several
+    languages is learned for each. Repeated rows count once. Only feature vectors of the sample come to
+    the driver. Without any row the model answers ``und``. Other columns are not read.
     """
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return LanguageModel(dims)
-    share = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(min(1.0, sample_per_language / n))) for k, n in counts.items()))
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
+    chosen = sample_rows(labelled, text_col, lang_col, sample_per_language)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
