@@ -30,7 +30,8 @@ SOURCE_WEIGHTS = {"src0": 6.0, "src1": 2.0, "src2": 2.0}
 
 def op1_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return poisson_mix(docs, SOURCE_WEIGHTS, default_weight=1.0, epochs=1.0, seed=17)
+    mixed = poisson_mix(docs, SOURCE_WEIGHTS, default_weight=1.0, epochs=1.0, seed=17)
+    return mixed.withColumns({c: F.col(c).cast("int") for c in ("copies", "copy")})
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,13 +70,20 @@ REPLY_SCHEMA = {
 }
 
 
+def dialogue_reference(turn: int) -> int | None:
+    """The turn that the call of a user's turn refers to. Of three exchanges the first needs the second, the third the second, and the second the third of the three before."""
+    step = (2, -4, -2)[turn // 2 % 3]
+    return turn + step if turn + step >= 0 else None
+
+
 def dialogue_events(conv, turn, role: str | None, text: str | None) -> list[tuple]:
-    """A user's turn as a call of ``reply`` that refers to the user's turn before, an assistant's as the result of the turn before it."""
+    """A user's turn as a call of ``reply`` with a reference to another exchange, before it or after it; an assistant's as the result of the turn before it."""
     if conv is None or turn is None or role not in ("user", "assistant"):
         return parse_message(conv, turn, role, text)
     if role == "assistant":
         return [("result", f"{conv}:{turn - 1}", None, None, text)]
-    args = {"prompt": text, "turn": turn} | ({"after": {"$ref": f"{conv}:{turn - 2}"}} if turn >= 2 else {})
+    other = dialogue_reference(turn)
+    args = {"prompt": text, "turn": turn} | ({} if other is None else {"after": {"$ref": f"{conv}:{other}"}})
     return [("call", f"{conv}:{turn}", "reply", args, None)]
 
 

@@ -3,7 +3,9 @@
 Messages are parsed into events: calls (id, tool, arguments, references to other calls), results (the id
 of their call) and plain messages. Calls meet results by a hash join on (conversation, id). Calls are
 ordered topologically: where every reference points back, the order of the turns is such an order; only
-conversations in which one doesn't are ordered by Kahn's rounds, all of them at once. Arguments are
+conversations in which one doesn't are sorted by levels, the longest chain of references below each call. A
+conversation of up to ``small`` calls is one task's work; larger ones are sorted by joins: by pointer doubling,
+in rounds as the logarithm of the longest chain, where no call has several references, else by Kahn's rounds. Arguments are
 validated against the tool's JSON schema, and each event is serialised as canonical JSON.
 """
 
@@ -150,10 +152,66 @@ def _events(schemas: dict[str, dict], parse: Callable):
     return run
 
 
+def _levels_of(calls: list, edges: list[tuple]) -> dict:
+    """Kahn's algorithm: the level of each call by (call, parent) edges; a call on a cycle or behind one has none."""
+    level, waits, behind = {}, dict.fromkeys(calls, 0), {}
+    for call, parent in edges:
+        waits[call] += 1
+        behind.setdefault(parent, []).append(call)
+    ready = [c for c, n in waits.items() if not n]
+    level = dict.fromkeys(ready, 0)
+    while ready:
+        done = ready.pop()
+        for call in behind.get(done, ()):
+            waits[call] -= 1
+            level[call] = max(level.get(call, 0), level[done] + 1)
+            if not waits[call]:
+                ready.append(call)
+    return {c: level[c] for c, n in waits.items() if not n}
+
+
+def _sorted_whole(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level) of conversations that are sorted in a task each."""
+    rows = nodes.select("conv_id", "call_id", F.lit(None).cast("string").alias("parent")).unionByName(edges)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        pairs = list(zip(table["call_id"].to_pylist(), table["parent"].to_pylist(), strict=True))
+        calls = [c for c, p in pairs if p is None]
+        level = _levels_of(calls, [x for x in pairs if x[1] is not None])
+        return pa.table([pa.array([key[0].as_py()] * len(calls), table["conv_id"].type), pa.array(calls, pa.string()), pa.array([level.get(c) for c in calls], pa.int32())], names=["conv_id", "call_id", "level"])
+
+    return rows.groupBy("conv_id").applyInArrow(run, f"conv_id {dict(nodes.dtypes)['conv_id']}, call_id string, level int")
+
+
+def _doubled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level) where every call has one parent at most: each round skips as many parents as were skipped before."""
+    key = ["conv_id", "call_id"]
+    state = common.cut(nodes.join(edges, key, "left").select(*key, F.col("parent").alias("up"), F.col("parent").isNotNull().cast("int").alias("steps")), "pointers")
+    for _ in range(max(1, nodes.count()).bit_length()):
+        if state.where("up is not null").isEmpty():
+            break
+        over = state.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"))
+        state = common.cut(state.join(over, ["conv_id", "up"], "left").select(*key, F.col("next").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "pointers")
+    return state.select(*key, F.when(F.col("up").isNull(), F.col("steps")).alias("level"))
+
+
+def _levels(nodes: DataFrame, edges: DataFrame, small: int) -> DataFrame:
+    """(conv_id, call_id, level) for all conversations; level is null on a cycle and behind one."""
+    large = common.cut(nodes.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > small).select("conv_id"), "large")
+    of = lambda df, how: df.join(large, "conv_id", how)
+    out = _sorted_whole(of(nodes, "left_anti"), of(edges, "left_anti"))
+    if large.isEmpty():
+        return out
+    many = common.cut(of(edges, "left_semi").groupBy("conv_id", "call_id").agg(F.count("*").alias("n")).where("n > 1").select("conv_id").distinct(), "many")
+    nodes, edges = of(nodes, "left_semi"), of(edges, "left_semi")
+    out = out.unionByName(_doubled(nodes.join(many, "conv_id", "left_anti"), edges.join(many, "conv_id", "left_anti")))
+    return out if many.isEmpty() else out.unionByName(_rounds(nodes.join(many, "conv_id", "left_semi"), edges.join(many, "conv_id", "left_semi")))
+
+
 def _rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Kahn's algorithm for all graphs at once. nodes: (conv_id, call_id); edges: (conv_id, call_id, parent).
 
-    Returns (conv_id, call_id, level); level is null on a cycle and behind one. As many rounds as the longest chain.
+    Returns (conv_id, call_id, level). As many rounds as the longest chain.
     """
     left, done, level = common.cut(nodes, "nodes"), None, 0
     while True:
@@ -182,13 +240,13 @@ def _numbers(calls: DataFrame, levels: DataFrame) -> DataFrame:
     return numbered.select("conv_id", "place", (F.col("number") + F.col("before")).cast("int").alias("seq"))
 
 
-def link_tool_calls(messages: DataFrame, schemas: dict[str, dict], parse: Callable = parse_message, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def link_tool_calls(messages: DataFrame, schemas: dict[str, dict], parse: Callable = parse_message, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", small: int = 50_000) -> DataFrame:
     """A row for each event: conv_id, turn, pos, kind, call_id, tool, status, seq, errors, json.
 
     status of a call: linked, no_result, duplicate (a later call of the same id) or no_id; of a result:
     linked, repeated (a later result of the same call), early (before its call, which it isn't linked
     to) or orphan; of other messages: message. seq numbers the calls of a conversation in topological
-    order (from 1; calls on a cycle last, with the error ``cycle``); null for other events. errors also
+    order (from 1; by level and then by turn where a reference points on; calls on a cycle last, with the error ``cycle``); null for other events. errors also
     has ``unknown reference``. json of a linked call holds its result.
 
     Null texts are messages with a null content; null conversations or turns link with nothing. Rows with
@@ -218,7 +276,7 @@ def link_tool_calls(messages: DataFrame, schemas: dict[str, dict], parse: Callab
     if loose.isEmpty():
         levels = nodes.withColumn("level", F.lit(0))
     else:
-        levels = _rounds(nodes, edges.where("parent_place is not null").join(loose, "conv_id", "left_semi").select(*key, "parent").distinct())
+        levels = common.cut(_levels(nodes, edges.where("parent_place is not null").join(loose, "conv_id", "left_semi").select(*key, "parent").distinct(), small), "levels")
     levels = levels.withColumn("loose", F.lit(True))
     known = events.join(firsts, key, "left").join(linked, key, "left").join(levels, key, "left").join(lost, key, "left")
     is_call, is_first = F.col("kind") == "call", F.col("place") == F.col("call_place")

@@ -4,7 +4,7 @@ import random
 import pytest
 
 from kinfold.llm import tool_calls as tc
-from kinfold.llm.queries import REPLY_SCHEMA, op6_tool_calls
+from kinfold.llm.queries import REPLY_SCHEMA, dialogue_reference, op6_tool_calls
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 TOOLS = {"add": {"type": "object", "required": ["a"], "properties": {"a": {"type": ["integer", "object"]}, "b": {"type": "array", "items": {"type": "number", "minimum": 0}, "maxItems": 2}}, "additionalProperties": False}}
@@ -84,6 +84,23 @@ def test_edges(spark):
     assert run(spark, []) == []
 
 
+@pytest.mark.parametrize("several", [False, True])
+def test_large_conversations_are_sorted_by_joins(spark, several):
+    """A long chain against the turns, a tree, a cycle; the same with the sort of small ones and, with several references, by rounds."""
+    rng = random.Random(9)
+    rows = []
+    for turn, i in enumerate(rng.sample(range(12), 12)):
+        refs = ([{"$ref": f"c{i - 1}"}] if i else []) + ([{"$ref": "c0"}] if several and i > 3 else [])
+        rows.append((1, turn, "assistant", call((f"c{i}", "add", {"a": {"all": refs}}))))
+    rows += [(2, t, "assistant", call((f"d{t}", "add", {"a": {"$ref": f"d{max(9, t + 1) if t < 9 else 9 + (t == 9)}"}}))) for t in range(11)]
+    rows += [(3, t, "assistant", call((f"e{t}", "add", {"a": {"$ref": f"e{2 * t + 1}"}}))) for t in range(20)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = [{(r["conv_id"], r["call_id"]): (r["seq"], r["errors"]) for r in tc.link_tool_calls(df, TOOLS, small=n).collect()} for n in (5, 50_000)]
+    assert got[0] == got[1]
+    assert [got[0][1, f"c{i}"][0] for i in range(12)] == list(range(1, 13))
+    assert "cycle" in got[0][2, "d0"][1] and got[0][3, "e0"][0] > got[0][3, "e1"][0] > got[0][3, "e3"][0]
+
+
 def test_query_against_plain_linking(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()
     turns = {}
@@ -99,3 +116,22 @@ def test_query_against_plain_linking(spark, sf_dir):
             assert body["arguments"]["prompt"] == source["text"] and r["status"] == ("linked" if answer else "no_result")
             assert not answer or body["result"] == answer[0]["text"]
             assert [e for e in r["errors"] if e != "unknown reference"] == tc.violations(body["arguments"], REPLY_SCHEMA)
+
+
+def test_query_sorts_by_references(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'").collect()
+    turns = {}
+    for r in table:
+        turns.setdefault(r["conv_id"], set()).add(r["turn"])
+    got = {(r["conv_id"], r["turn"]): r for r in op6_tool_calls(spark, sf_dir).collect() if r["kind"] == "call"}
+    assert set(got) == {(c, t) for c, ts in turns.items() for t in ts}
+    swapped = 0
+    for conv, ts in turns.items():
+        parent = {t: dialogue_reference(t) for t in ts}
+        loose = any(p is not None and p > t and p in ts for t, p in parent.items())
+        level = tc._levels_of(sorted(ts), [(t, p) for t, p in parent.items() if p in ts])
+        order = sorted(ts, key=lambda t: (level[t], t)) if loose else sorted(ts)  # noqa: B023
+        swapped += order != sorted(ts)
+        assert [got[conv, t]["seq"] for t in order] == list(range(1, len(ts) + 1))
+        assert all(("unknown reference" in got[conv, t]["errors"]) == (p is not None and p not in ts) for t, p in parent.items())
+    assert swapped
