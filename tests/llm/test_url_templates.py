@@ -27,7 +27,7 @@ def general(path):
     return tuple(re.sub("[0-9]+", "*", re.sub(r"(?i)\b(?=[0-9a-f]*[0-9])[0-9a-f]{8,}\b", "*", s)) for s in path.split("/") if s)
 
 
-def judge(urls, good_of, levels=8, most=24, z=1.96, prior=10.0, least=0.5):
+def judge(urls, good_of, most=24, rare=5, most_fixed=10_000, z=1.96, prior=10.0, least=0.5, min_seen=5):
     """good_of: for each url True, False or None. Returns (host, path, rule, verdict, template, purity) for each."""
     rows = defaultdict(lambda: [0, 0, 0])
     where = []
@@ -38,7 +38,7 @@ def judge(urls, good_of, levels=8, most=24, z=1.96, prior=10.0, least=0.5):
         rows[key][1] += good is True
         rows[key][2] += good is False
     template = dict.fromkeys(rows, "")
-    for level in range(levels):
+    for level in range(max((len(key[1]) for key in rows), default=0)):
         nodes = defaultdict(lambda: defaultdict(lambda: [0, 0, 0]))
         for key, c in rows.items():
             if len(key[1]) > level:
@@ -47,26 +47,24 @@ def judge(urls, good_of, levels=8, most=24, z=1.96, prior=10.0, least=0.5):
                     child[i] += c[i]
         named = {}
         for node, children in nodes.items():
-            if len(children) > most and 2 * len(children) > math.sqrt(sum(c[0] for c in children.values())):
+            if len(children) > most and (2 * sum(c[0] < rare for c in children.values()) >= len(children) or len(children) > most_fixed):
                 named |= {(node, child): "*" for child in children}
                 continue
-            stats = sorted((g + b == 0, (g + 1) / (g + b + 2), child, g + b) for child, (_, g, b) in children.items())
-            runs, last = [], None
-            for none, rate, child, seen in stats:
-                like = last and seen and last[1] and rate - last[0] <= z * math.sqrt(rate * (1 - rate) / seen + last[0] * (1 - last[0]) / last[1])
-                if like:
+            runs, pool = [], (0, 0)
+            for few, rate, child, g, b in sorted((g + b < min_seen, (g + 1) / (g + b + 2), child, g, b) for child, (_, g, b) in children.items()):
+                n = sum(pool)
+                p = (pool[0] + 1) / (n + 2)
+                if not few and n >= min_seen and rate - p <= z * math.sqrt(rate * (1 - rate) / (g + b) + p * (1 - p) / n):
                     runs[-1].append(child)
+                    pool = pool[0] + g, pool[1] + b
                 else:
                     runs.append([child])
-                last = rate, seen
+                    pool = g, b
             for run in runs:
                 named |= {(node, child): run[0] if len(run) == 1 else "{" + "|".join(sorted(run)) + "}" for child in run}
         for key in rows:
             if len(key[1]) > level:
                 template[key] += "/" + named[(key[0], template[key]), key[1][level]]
-    for key in rows:
-        if len(key[1]) > levels:
-            template[key] += "/" + "/".join(key[1][levels:])
     totals, hosts, leaves = [0, 0], defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
     for key, (_, g, b) in rows.items():
         for t in (totals, hosts[key[0]], leaves[key[0], template[key]]):
@@ -96,7 +94,17 @@ def test_query(spark, sf_dir):
     assert rows(op7_url_templates(spark, sf_dir)) == dict(zip((i for i, _ in pages), want, strict=True))
 
 
-@pytest.mark.parametrize("seed, options", [(1, {}), (2, {"levels": 2}), (3, {"max_children": 3})])
+def compare(spark, urls, good, least, **options):
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, g) for i, g in enumerate(good) if g is not None], "key long, good boolean")
+    got = rows(filter_urls(pages, labels, URL_RULES, label_key=F.col("page_id"), min_purity=least, **options))
+    names = {"max_children": "most", "rare_pages": "rare"}
+    want = judge(urls, good, least=least, **{names.get(k, k): v for k, v in options.items()})
+    assert [got[i] for i in range(len(urls))] == want
+    return want
+
+
+@pytest.mark.parametrize("seed, options", [(1, {}), (2, {"max_children": 3, "rare_pages": 20}), (3, {"max_children": 3, "most_fixed": 5, "min_seen": 1})])
 def test_random_trees(spark, seed, options):
     rng = random.Random(seed)
     urls, good = [], []
@@ -106,9 +114,43 @@ def test_random_trees(spark, seed, options):
         segments = [rng.choice(("news", "blog", "spam", "cafe1234", "deadbeef00", "p7", "")) if d < 2 else "".join(rng.choice("xyz") for _ in range(rng.randrange(1, 6))) for d in range(depth)]
         urls.append(f"http://{host}/{'/'.join(segments)}")
         good.append(rng.choice((None, rng.random() > 0.9 if "spam" in segments else rng.random() > 0.2)))
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    labels = spark.createDataFrame([(i, g) for i, g in enumerate(good) if g is not None], "key long, good boolean")
-    got = rows(filter_urls(pages, labels, URL_RULES, label_key=F.col("page_id"), min_purity=0.7, **options))
-    want = judge(urls, good, least=0.7, levels=options.get("levels", 8), most=options.get("max_children", 24))
-    assert [got[i] for i in range(len(urls))] == want
+    want = compare(spark, urls, good, 0.7, **options)
     assert {v for *_, v, _, _ in want} == {"allow", "block"}
+    assert any("{" in t for *_, t, _ in want)
+
+
+def test_deep_tree(spark):
+    """Labels tell branches apart at the twentieth level only."""
+    rng = random.Random(4)
+    urls, good = [], []
+    for i in range(240):
+        end = ("fine", "also", "spam")[i % 3]
+        urls.append("http://deep.org/" + "/".join("ab"[i % 2] if d == 10 else f"s{'abcdefghijklmnopqrst'[d]}" for d in range(19)) + f"/{end}/{i}")
+        good.append(rng.random() > (0.9 if end == "spam" else 0.1))
+    want = compare(spark, urls, good, 0.5)
+    assert {(v, t.split("/")[20]) for *_, v, t, _ in want} == {("allow", "{also|fine}"), ("block", "spam")}
+    assert {t.split("/")[11] for *_, t, _ in want} == {"{a|b}"}
+
+
+def test_slugs_are_a_wildcard_whatever_the_size_of_the_host(spark):
+    slugs = ["".join(chr(97 + int(d)) for d in str(1000 + i)) for i in range(300)]
+    for fixed in (1, 40):
+        urls = [f"http://h.org/post/{s}" for s in slugs] + [f"http://h.org/{p}/x" for p in ("a", "b", "c") for _ in range(100 * fixed)]
+        want = compare(spark, urls, [None] * len(urls), 0.5)
+        assert {t for *_, t, _ in want} == {"/post/*", "/a/x", "/b/x", "/c/x"}
+
+
+def test_branches_that_differ_are_not_chained(spark):
+    """Neighbours in a row of branches are alike, its ends are not."""
+    urls, good = [], []
+    for k in range(9):
+        for i in range(400):
+            urls.append(f"http://c.org/{'abcdefghi'[k]}/x")
+            good.append(i < 400 * (0.1 + 0.1 * k * 0.6))
+    want = compare(spark, urls, good, 0.5)
+    assert len({t for *_, t, _ in want}) > 3
+
+
+def test_branches_with_a_label_each_stay_apart(spark):
+    urls = [f"http://one.org/{c}/x" for c in "abcd"]
+    assert {t for *_, t, _ in compare(spark, urls, [True, False, True, False], 0.5)} == {f"/{c}/x" for c in "abcd"}
