@@ -55,3 +55,20 @@ def test_reading_stops_early_where_one_vector_stands_out():
     block[17] = 1000
     places, _ = nra(block, np.arange(4000), np.ones((1, 8), np.int64), np.array([-1]), 1, np.array([-np.inf]))[0]
     assert 17 in places and len(places) <= 4
+
+
+def test_scores_beyond_64_bits_are_the_largest(spark):
+    rows = [(0, [1e300, 1.0]), (1, [1e300, 0.0]), (2, [-1e300, 0.0]), (3, [0.0, 2.0]), (4, [1e17, 0.0])]
+    got = [(r["vec_id"], r["score"]) for r in top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(1, 2**63 - 1), (4, 2**63 - 1), (3, 512 * 256), (2, -(2**63))]
+
+
+def test_reading_on_gives_the_scores(monkeypatch):
+    rng = np.random.default_rng(2)
+    block, queries = rng.integers(-9, 9, (500, 5)) * rng.integers(1, 200, (500, 1)), rng.integers(-9, 9, (30, 5))
+    stopped = []
+    found = nra(block, np.arange(500), queries, np.full(30, -1), 3, np.full(30, -np.inf), stopped)
+    assert min(stopped) < 1
+    for q, (places, scores) in zip(queries, found, strict=True):
+        every = block @ q
+        assert (every[places] == scores).all() and set(np.argsort(-every, kind="stable")[:3]) <= set(places)
