@@ -1,7 +1,11 @@
 import hashlib
+import io
+import math
 import random
 import struct
+import wave
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -78,3 +82,62 @@ def test_edges(spark):
     raw = spark.createDataFrame([(None, "image/png", 1), (bytearray(b"text"), None, 2), (bytearray(JPEG), "image/jpeg", 3)], "media binary, declared string, type int")
     assert sorted(((r["type"] or "-"), r["feature"], r["type_corrected"]) for r in media.sniff(raw).collect()) == [("-", None, None), (media.UNKNOWN, None, True), ("image/jpeg", None, False)]
     assert media.sniff(media.store_texts(df.limit(0))).count() == 0
+
+
+def wav_samples(data):
+    with wave.open(io.BytesIO(data)) as w:
+        assert (w.getnchannels(), w.getsampwidth()) == (1, 1)
+        return w.readframes(w.getnframes())
+
+
+def bmp_samples(data):
+    """Rows of an 8-bit picture through its palette, from the top down."""
+    assert data[:2] == b"BM" and int.from_bytes(data[2:6], "little") == len(data)
+    start, width, height = (int.from_bytes(data[a : a + 4], "little", signed=True) for a in (10, 18, 22))
+    palette = [data[54 + 4 * i] for i in range(256)]
+    step = -(-width // 4) * 4
+    rows = [data[start + i * step : start + i * step + width] for i in range(abs(height))]
+    return bytes(palette[x] for row in (rows if height < 0 else rows[::-1]) for x in row)
+
+
+def png_samples(data):
+    """Rows of a grey 8-bit picture, all filters undone."""
+    assert data[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, packed, width = 8, b"", 0
+    while at < len(data):
+        size, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        body = data[at + 8 : at + 8 + size]
+        assert zlib.crc32(kind + body) == int.from_bytes(data[at + 8 + size : at + 12 + size], "big")
+        if kind == b"IHDR":
+            width = int.from_bytes(body[:4], "big")
+            assert body[8:10] == bytes([8, 0])
+        packed += body if kind == b"IDAT" else b""
+        at += 12 + size
+    raw, out, above = zlib.decompress(packed), b"", bytes(width)
+    for i in range(0, len(raw), width + 1):
+        kind, row = raw[i], bytearray(raw[i + 1 : i + 1 + width])
+        for x in range(width):
+            left, up = row[x - 1] if x else 0, above[x]
+            row[x] = (row[x] + (0, left, up, (left + up) // 2)[kind]) % 256
+        out, above = out + bytes(row), bytes(row)
+    return out
+
+
+def test_stored_files_read_by_other_readers(spark, sf_dir):
+    """What the query stores, read by readers of other make, is the texts' bytes; the features follow from these."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    stored = {r["doc_id"]: bytes(r["media"]) for r in media.store_texts(docs).collect()}
+    got = {r["doc_id"]: r for r in op4_media_sniffing(spark, sf_dir).collect()}
+    read = {"audio/wav": wav_samples, "image/bmp": bmp_samples, "image/png": png_samples}
+    for d, text in texts.items():
+        r, raw = got[d], text.encode()
+        payload = read[r["type"]](stored[d])
+        assert payload == raw + bytes(64 * max(1, -(-len(raw) // 64)) - len(raw))
+        assert r["media_sha256"] == hashlib.sha256(stored[d]).hexdigest() and r["media_bytes"] == len(stored[d])
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        share = [n / len(payload) for n in Counter(payload).values()]
+        entropy = max(0.0, -sum(p * math.log2(p) for p in share))
+        changes = sum(a != b for a, b in zip(payload, payload[1:], strict=False))
+        assert r["feature"].rsplit("entropy=", 1)[0] == f"{r['type']};n={len(payload)};min={min(payload)};max={max(payload)};sum={sum(payload)};"
+        assert r["feature"].endswith(f";changes={changes}") and abs(float(r["feature"].split("entropy=")[1].split(";")[0]) - entropy) < 1e-4
