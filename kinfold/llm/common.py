@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: Separators of words, as a character class body: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of a table that is broadcast by hint; beyond it a shuffled join is used.
 BROADCAST_ROWS = 200_000
 
@@ -32,7 +33,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kinfold-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_ARROW_ROWS)
+    spark.conf.set(_ARROW_ROWS, str(min(int(before), 1024)))  # texts and hash sets are wide rows
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_ARROW_ROWS, before)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path).getParent()
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
@@ -57,6 +63,22 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+#: A key is hot if it has one row of so many; there can't be more hot keys than this.
+HOT_KEYS = 1000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
+    """An inner join of two written tables, of which ``counted`` has each of the keys once, with n, the number of its rows.
+
+    Keys with more than 1 / HOT_KEYS of all counted rows, at most HOT_KEYS, are broadcast; the others have few rows each and are shuffled.
+    """
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = counted.where(F.col("n") * HOT_KEYS > total).drop("n")
+    cold = counted.where(F.col("n") * HOT_KEYS <= total).drop("n")
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Connected components by minimum labels and pointer jumping.
 

@@ -26,7 +26,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -284,18 +283,22 @@ def _count_fragment(fragments: int):
 def _keep_bucket(num: int, den: int):
     """Sums the counts of a bucket's nodes over the fragments and keeps those that can link."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        info, counts = [], []
-        for kind, ids, a, b in rows[["kind", "ids", "a", "b"]].itertuples(index=False):
-            nodes, count = np.frombuffer(ids, np.int64), np.frombuffer(b, np.int64)
-            if kind == 1:
-                n, size = np.frombuffer(a, np.int64).reshape(2, -1)
-                info.append(pd.DataFrame({"node": nodes, "n": n, "size": size}))
-            counts.append(pd.DataFrame({"node": nodes, "count": count}))
-        table = pd.concat(info).drop_duplicates("node").merge(pd.concat(counts).groupby("node", as_index=False).sum(), on="node")
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        nodes, totals, sizes, counts = [], [], [], []
+        for kind, ids, a, b in zip(*(table.column(c) for c in ("kind", "ids", "a", "b")), strict=True):
+            found = np.frombuffer(ids.as_buffer(), np.int64)
+            n, size = np.frombuffer(a.as_buffer(), np.int64).reshape(2, -1) if kind.as_py() == 1 else np.zeros((2, len(found)), np.int64)
+            for column, value in zip((nodes, totals, sizes, counts), (found, n, size, np.frombuffer(b.as_buffer(), np.int64)), strict=True):
+                column.append(value)
+        every, at = np.unique(np.concatenate(nodes), return_inverse=True)
+        count = np.zeros(len(every), np.int64)
+        np.add.at(count, at, np.concatenate(counts))
+        n, size = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
+        np.maximum.at(n, at, np.concatenate(totals))
+        np.maximum.at(size, at, np.concatenate(sizes))
         # count over-states for a node that came in several flushes, which keeps it: the bound stays safe
-        keep = table[den * (table["size"] - table["count"]) <= (den - num) * table["n"]]
-        return keep[["node", "n"]]
+        keep = den * (size - count) <= (den - num) * n
+        return pa.table([pa.array(every[keep]), pa.array(n[keep])], names=["node", "n"])
 
     return run
 
@@ -305,7 +308,7 @@ def _shared_enough(parts: DataFrame, top: int, total: int, num: int, den: int, f
     fragments = max(1, -(-total // fragment_hashes))
     packed = parts.select("node", "n", "part").mapInArrow(_spread(fragments, top), _PACKED)
     counted = packed.groupBy("place").applyInArrow(_count_fragment(fragments), _PACKED)
-    return counted.groupBy("place").applyInPandas(_keep_bucket(num, den), "node long, n long")
+    return counted.groupBy("place").applyInArrow(_keep_bucket(num, den), "node long, n long")
 
 
 def _segments(fragments: int):
