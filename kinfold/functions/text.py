@@ -9,9 +9,10 @@ from __future__ import annotations
 import itertools
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,18 +76,23 @@ def literal_map(values: dict[str, str]) -> Column:
     return F.create_map(*map(F.lit, itertools.chain.from_iterable(values.items())))
 
 
-def _replaced(tokens: Column, aliases: Column | None) -> Column:
-    """Tokens with non-ASCII ones looked up; a value may hold several words."""
-    if aliases is None:
-        return tokens
-    found = F.transform(tokens, lambda t: F.when(is_ascii(t), t).otherwise(F.coalesce(F.try_element_at(aliases, t), t)))
-    return words(F.array_join(found, " "))
+def name_tokens(clean: Column | str) -> Column:
+    """Words of a cleaned name."""
+    spelled = F.regexp_replace(F.coalesce(_as_column(clean), F.lit("")), "[&+]", " and ")
+    return words(join_initials(punct_to_space(spelled)))
 
 
-def name_tokens(clean: Column | str, aliases: Column | None = None) -> Column:
-    """Words of a cleaned name. aliases: a map column from native words to Latin ones."""
-    spelled = F.regexp_replace(F.coalesce(_as_column(clean), F.lit("")), "[&+]", " and ")
-    return _replaced(words(join_initials(punct_to_space(spelled))), aliases)
+def looked_up(records: DataFrame, column: str, key: str, table: DataFrame, form: Callable[[Column], Column] = lambda x: x) -> DataFrame:
+    """``records`` with the elements of an array column replaced by a dictionary (native, latin), where ``form`` of the element is in it.
+
+    A join of exploded elements, so that the dictionary may be of any size; only arrays with an element that
+    isn't ASCII take part. ``key`` is unique in ``records``. Several entries of a word: the smallest value.
+    """
+    known = table.groupBy(F.col("native").alias("_t")).agg(F.min("latin").alias("_l"))
+    parts = records.where(F.exists(column, lambda x: ~is_ascii(x))).select(F.col(key).alias("_key"), F.posexplode(column).alias("_i", "_x"))
+    found = parts.withColumn("_t", form(F.col("_x"))).join(known, "_t", "left").select("_key", F.struct("_i", F.coalesce("_l", "_x").alias("x")).alias("_s"))
+    again = found.groupBy("_key").agg(F.array_sort(F.collect_list("_s")).alias("_s")).select("_key", F.col("_s.x").alias("_new"))
+    return records.join(again, records[key] == again["_key"], "left").withColumn(column, F.coalesce("_new", column)).drop("_key", "_new")
 
 
 def leet_fold(c: Column | str) -> Column:
@@ -147,13 +153,13 @@ def _number(t: Column) -> Column:
     return F.regexp_replace(F.translate(t, _NATIVE_DIGITS, "0123456789" * len(_DIGIT_STARTS)), "^0+(?=[0-9])", "")
 
 
-def address_tokens(clean: Column | str, aliases: Column | None = None, segments: Column | None = None) -> Column:
-    """Normalised words of a cleaned address. aliases, segments: map columns for native words and comma segments."""
-    s = F.coalesce(_as_column(clean), F.lit(""))
-    if segments is not None:
-        swapped = F.array_join(F.transform(F.split(s, ",", -1), lambda x: F.coalesce(F.try_element_at(segments, punct_to_space(x)), x)), ",")
-        s = F.when(is_ascii(s), s).otherwise(swapped)
-    tokens = _replaced(words(punct_to_space(split_glued(s))), aliases)
+def address_words(clean: Column | str) -> Column:
+    """Words of a cleaned address, digits and letters apart."""
+    return words(punct_to_space(split_glued(F.coalesce(_as_column(clean), F.lit("")))))
+
+
+def address_tokens(tokens: Column) -> Column:
+    """Normalised words of an address's words: states, abbreviations, numbers."""
     tokens = words(state_phrases(F.array_join(tokens, " ")))
     drop = F.array(*map(F.lit, tables.ADDRESS_DROP))
     states, short = literal_map(tables.STATE_WORDS), literal_map(tables.ADDRESS_SHORT)
@@ -173,16 +179,23 @@ def encode_numbers(numbers: Column | str, width: int = 6) -> Column:
     return F.transform(F.slice(_as_column(numbers), 1, width), lambda n: F.right(n, F.lit(18)).cast("bigint"))
 
 
-def normalise(records, aliases: Column | None = None, segments: Column | None = None, unicode: bool = True):
+def normalise(records: DataFrame, aliases: DataFrame | None = None, segments: DataFrame | None = None, unicode: bool = True, key: str = "entity_id") -> DataFrame:
     """(entity_id, name, address, country, ...) with name_clean, name_key, name_native, addr_clean, addr_empty and nums.
 
-    ``unicode``: clean by the Arrow function; else lower-case only, which is the same for ASCII text.
+    aliases, segments: dictionaries (native, latin) of words and of comma segments of addresses; a value may hold
+    several words. ``key`` is a unique column, needed with dictionaries only. ``unicode``: clean by the Arrow
+    function; else lower-case only, which is the same for ASCII text.
     """
     clean = base_clean if unicode else lambda c: F.lower(F.coalesce(_as_column(c), F.lit("")))
     fold = casefold if unicode else lambda c: F.lower(F.coalesce(_as_column(c), F.lit("")))
     out = records.withColumns({"_nc": clean(F.col("name")), "_nf": fold(F.col("name")), "_ac": clean(F.col("address"))})
-    out = out.withColumns({"_nt": name_tokens("_nc", aliases), "_at": address_tokens("_ac", aliases, segments), "country": F.lower(F.trim("country"))})
-    out = out.withColumns(
+    if segments is not None:
+        out = looked_up(out.withColumn("_ac", F.split(F.coalesce("_ac", F.lit("")), ",", -1)), "_ac", key, segments, punct_to_space).withColumn("_ac", F.array_join("_ac", ","))
+    out = out.withColumns({"_nt": name_tokens("_nc"), "_at": address_words("_ac"), "country": F.lower(F.trim("country"))})
+    if aliases is not None:
+        for c in ("_nt", "_at"):
+            out = looked_up(out, c, key, aliases).withColumn(c, words(F.array_join(c, " ")))
+    out = out.withColumn("_at", address_tokens(F.col("_at"))).withColumns(
         {
             "name_clean": name_clean("_nt"),
             "name_key": name_key("_nt", "_nf"),

@@ -47,17 +47,14 @@ def learn_segment_aliases(pairs: DataFrame, min_count: int = 3, min_share: float
 
 
 def labelled_pairs(truth: DataFrame, ref: DataFrame, queries: DataFrame, native, most: int = 1_500_000) -> DataFrame:
-    """Truth pairs (ref_id, q_id) whose query row ``native`` holds for, with both records; at most ``most`` by id order.
+    """Truth pairs (ref_id, q_id) whose query row ``native`` holds for, with both records; beyond ``most`` pairs about as many, drawn by a hash.
 
     The bound is a documented limit of what the dictionaries are learned from.
     """
-    chosen = truth.join(queries.where(native).select(F.col("entity_id").alias("q_id")), "q_id", "left_semi").orderBy("q_id", "ref_id").limit(most)
+    chosen = truth.join(queries.where(native).select(F.col("entity_id").alias("q_id")), "q_id", "left_semi")
+    n = chosen.count()
+    if n > most:
+        chosen = chosen.where(F.pmod(F.xxhash64("q_id", "ref_id"), F.lit(1 << 40)) < (1 << 40) * most // n)
     one = ref.select(F.col("entity_id").alias("ref_id"), F.struct("*").alias("ref"))
     two = queries.select(F.col("entity_id").alias("q_id"), F.struct("*").alias("match"))
     return chosen.join(one, "ref_id").join(two, "q_id")
-
-
-def as_map(aliases: DataFrame):
-    """A map literal of a learned dictionary. Dictionaries are of words that two or more labelled pairs agree on."""
-    rows = aliases.select("native", "latin").collect()
-    return text.literal_map({r["native"]: r["latin"] for r in rows}) if rows else None

@@ -23,7 +23,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--split", choices=["train", "test"], default="train")
     p.add_argument("--fraction", type=float, default=0.02)
     p.add_argument("--what", choices=["all", "model", "train", "test"], default="all")
-    for name, default in (("k-name", 3), ("k-addr", 3), ("k-comb", 8), ("dim", 1024), ("folds", 2), ("rounds", 150), ("depth", 9)):
+    for name, default in (("k-name", 3), ("k-addr", 3), ("k-comb", 8), ("dim", 1024), ("folds", 2), ("rounds", 1500), ("depth", 9)):
         p.add_argument(f"--{name}", type=int, default=default)
     for name, default in (("w-name", 0.5), ("train-query-frac", 0.35), ("val-frac", 0.02)):
         p.add_argument(f"--{name}", type=float, default=default)
@@ -54,16 +54,13 @@ def validate(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(args)
-    if a.stage == "restore":
-        print("\n".join(layout.restore(a.source, a.work)))
-        return 0
-    if a.stage == "persist":
-        print("\n".join(layout.persist(a.work, a.out, a.what)))
-        return 0
     if a.stage == "package":
         print(layout.package({a.out_name: f"{a.out}/{a.out_name}", "candidate_pairs.tsv": f"{a.out}/candidate_pairs.tsv"}, a.source, f"{a.team}.zip"))
         return 0
     spark = spark or SparkSession.builder.appName("kinfold").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if a.stage == "restore":
+        print("\n".join(layout.restore(spark, a.source, a.work)))
+        return 0
     run = ["prepare", "retrieve", "features", "train", "predict", "persist"] if a.stage == "all" else [a.stage]
     for stage in run:
         for split in ("train", "test") if a.stage == "all" and stage in ("prepare", "retrieve", "features") else (a.split,):
@@ -82,7 +79,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         elif stage == "predict":
             stages.predict(spark, a.work, a.out, a.threshold, not a.no_candidates, a.prob, a.prior_test, a.out_name)
         elif stage == "persist":
-            layout.persist(a.work, a.out, a.what)
+            print("\n".join(layout.persist(spark, a.work, a.out, a.what)))
         elif stage == "validate":
             return validate(spark, a)
     return 0

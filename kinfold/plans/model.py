@@ -5,7 +5,6 @@ from __future__ import annotations
 import time
 from dataclasses import asdict, dataclass, field
 from functools import reduce
-from pathlib import Path
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.tables import DENSITY_FEATURES
 from ..operators import decision, features, metrics
 from ..operators.sampling import query_fold, validation_split
-from ..sources.layout import load_json, save_json
+from ..sources import store
 
 
 @dataclass
@@ -48,6 +47,7 @@ class Meta:
     threshold: float = 0.5
     floor: float = 0.3
     stages: dict = field(default_factory=dict)
+    # fixed values: the training truth's share of matched records and its matches for each reference, where a run has no own
     train_prior: float = 7638365 / 10320219
     matches_per_ref: float = 3.4613
 
@@ -120,8 +120,8 @@ def train(pairs: DataFrame, refs: DataFrame, queries: DataFrame, truth: DataFram
         return model
 
     trained = F.col("part") == "train"
-    old = Path(save_meta) if save_meta and Path(save_meta).exists() else None
-    if old and _first_stage(load_meta(old).settings) == _first_stage(asdict(settings)):
+    old = load_meta(spark, save_meta) if save_meta and store.exists(spark, save_meta) else None
+    if old and _first_stage(old.settings) == _first_stage(asdict(settings)):
         stage1 = [GBTClassificationModel.load(f"{path}/stage1_fold{k}") for k in range(settings.folds)]
     else:  # fold k's model learns from queries of fold k; train rows are then scored by the others
         stage1 = [saved(labelled, settings.columns, f"stage1_fold{k}", trained & (F.col("fold") == k)) for k in range(settings.folds)]
@@ -145,12 +145,12 @@ def train(pairs: DataFrame, refs: DataFrame, queries: DataFrame, truth: DataFram
     n = queries.agg(F.count("*")).first()[0], truth.agg(F.count("*")).first()[0], refs.agg(F.count("*")).first()[0]
     meta = Meta(asdict(settings), time.strftime("%Y%m%d%H%M%S"), use2, chosen["rule"], chosen["threshold"], chosen["floor"], stages, n[1] / max(1, n[0]), n[1] / max(1, n[2]))
     if save_meta:
-        save_json(asdict(meta), save_meta)
+        store.save_json(spark, asdict(meta), save_meta)
     return meta
 
 
-def load_meta(path: str) -> Meta:
-    return Meta(**load_json(path))
+def load_meta(spark: SparkSession, path: str) -> Meta:
+    return Meta(**store.load_json(spark, path))
 
 
 def load_models(spark: SparkSession, path: str, meta: Meta) -> tuple[list[GBTClassificationModel], GBTClassificationModel | None]:

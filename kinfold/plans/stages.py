@@ -2,131 +2,124 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions import text as tx
-from ..operators import aliases, features, metrics, retrieval, sampling
-from ..sources import layout, tsv
+from ..operators import aliases, features, metrics, numbering, retrieval, sampling
+from ..sources import layout, store, tsv
 from . import model
 
 
-def _at(work: str, *more: str) -> str:
-    return str(Path(work).joinpath(*more).absolute())
-
-
-def _done(path: str) -> bool:
-    return (Path(path) / "_SUCCESS").exists()
-
-
 def _save(df: DataFrame, path: str) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
-def _numbered(records: DataFrame, name: str) -> DataFrame:
-    """Numbers from 0 in the order of entity_id, by range partitions, so that no task sorts all rows."""
-    split = records.repartitionByRange("entity_id").withColumn("_part", F.spark_partition_id())
-    counts = split.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each partition
-    number = F.row_number().over(W.partitionBy("_part").orderBy("entity_id")) - 1 + F.col("_before")
-    return split.join(F.broadcast(before), "_part").withColumn(name, number.cast("long")).drop("_part", "_before")
+def _numbered(records: DataFrame, name: str, path: str) -> DataFrame:
+    """Numbers from 0 in the order of the source file, by way of a table at ``path``."""
+    out = numbering.numbered(records, name, tsv.PLACE, lambda df, _: _save(df, path))
+    return out.drop(*tsv.PLACE)
 
 
 def sample(spark: SparkSession, data: str, out: str, fraction: float = 0.02, seed: int = 7) -> None:
     """A small train split, and a test split made of the same records."""
-    root, files = layout.find_split(data, "train"), tsv.SPLIT_FILES["train"]
-    truth = tsv.read_ground_truth(spark, str(root / files["gt"]))
-    refs = tsv.read_source(spark, str(root / files["s1"]))
+    root, files = layout.find_split(spark, data, "train"), tsv.SPLIT_FILES["train"]
+    truth = tsv.read_ground_truth(spark, f"{root}/{files['gt']}")
+    refs = tsv.read_source(spark, f"{root}/{files['s1']}")
     kept, s1, _ = sampling.sample(truth, refs, refs, fraction, seed)
-    tsv.write_table(kept, _at(out, "train", files["gt"]))
+    tsv.write_table(kept, store.at(spark, out, "train", files["gt"]))
     for split in ("train", "test"):
-        tsv.write_table(s1, _at(out, split, tsv.SPLIT_FILES[split]["s1"]))
+        tsv.write_table(s1, store.at(spark, out, split, tsv.SPLIT_FILES[split]["s1"]))
     for k in ("s2", "s3"):
-        _, _, q = sampling.sample(truth, refs, tsv.read_source(spark, str(root / files[k])), fraction, seed)
+        _, _, q = sampling.sample(truth, refs, tsv.read_source(spark, f"{root}/{files[k]}"), fraction, seed)
         for split in ("train", "test"):
-            tsv.write_table(q, _at(out, split, tsv.SPLIT_FILES[split][k]))
+            tsv.write_table(q, store.at(spark, out, split, tsv.SPLIT_FILES[split][k]))
 
 
 def prepare(spark: SparkSession, data: str, work: str, split: str) -> None:
-    """Normalised references and queries; on train also the dictionaries (kept if they exist) and the truth."""
-    root, files = layout.find_split(data, split), tsv.SPLIT_FILES[split]
+    """Normalised references and queries; on train also the dictionaries (kept if they exist) and the truth.
+
+    References are numbered by the order of their file, queries by that of S2's and then S3's. Of several
+    references for one query the first in S1's order is its truth, and the others are counted in a warning.
+    """
+    root, files = layout.find_split(spark, data, split), tsv.SPLIT_FILES[split]
+    at = lambda *more: store.at(spark, work, split, *more)
     raw = {}
     for k in ("s1", "s2", "s3"):
-        raw[k] = tsv.read_source(spark, str(root / files[k])).withColumnsRenamed({"business_name": "name", "business_address": "address"})
+        raw[k] = tsv.read_source(spark, f"{root}/{files[k]}", place=True).withColumnsRenamed({"business_name": "name", "business_address": "address"})
     queries = raw["s2"].withColumn("is_s3", F.lit(False)).unionByName(raw["s3"].withColumn("is_s3", F.lit(True)))
-    known, truth = Path(work) / "aliases.json", None
+    known, truth = {k: store.at(spark, work, "aliases", k) for k in ("name", "segment")}, None
     if split == "train":
-        truth = sampling.explode_truth(tsv.read_ground_truth(spark, str(root / files["gt"])))
-        if not known.exists():
+        truth = sampling.explode_truth(tsv.read_ground_truth(spark, f"{root}/{files['gt']}"))
+        if not store.done(spark, known["segment"]):
             names = aliases.labelled_pairs(truth, raw["s1"], queries, (F.col("name") != "") & ~F.col("name").rlike("[A-Za-z]"))
             tokens = lambda c: tx.name_tokens(tx.base_clean(F.col(c)))
-            learned = aliases.learn_name_aliases(names.select(tokens("ref.name").alias("ref_tokens"), tokens("match.name").alias("match_tokens")))
+            _save(aliases.learn_name_aliases(names.select(tokens("ref.name").alias("ref_tokens"), tokens("match.name").alias("match_tokens"))), known["name"])
             places = aliases.labelled_pairs(truth, raw["s1"], queries, F.col("address").rlike(r"[\x{0900}-\x{0DFF}]"))
-            segments = aliases.learn_segment_aliases(places.select(tx.base_clean(F.col("ref.address")).alias("ref_clean"), tx.base_clean(F.col("match.address")).alias("match_clean")))
-            as_dict = lambda df: {r["native"]: r["latin"] for r in df.select("native", "latin").collect()}
-            layout.save_json({"name": as_dict(learned), "segment": as_dict(segments)}, known)
-    found = layout.load_json(known) if known.exists() else {"name": {}, "segment": {}}
-    maps = [tx.literal_map(found[k]) if found[k] else None for k in ("name", "segment")]
-    refs = _save(_numbered(tx.normalise(raw["s1"], *maps), "s1"), _at(work, split, "refs"))
-    two, three = (_numbered(tx.normalise(queries.where(F.col("is_s3") == flag), *maps), "q") for flag in (False, True))
+            _save(aliases.learn_segment_aliases(places.select(tx.base_clean(F.col("ref.address")).alias("ref_clean"), tx.base_clean(F.col("match.address")).alias("match_clean"))), known["segment"])
+    found = {k: spark.read.parquet(path) if store.done(spark, path) else None for k, path in known.items()}
+    refs = _save(tx.normalise(_numbered(raw["s1"], "s1", at("parts1")), found["name"], found["segment"], key="s1"), at("refs"))
+    two, three = (_numbered(raw[k].withColumn("is_s3", F.lit(k == "s3")), "q", at(f"parts{k[1]}")) for k in ("s2", "s3"))
     first = raw["s2"].count()
-    done = _save(two.unionByName(three.withColumn("q", F.col("q") + first)), _at(work, split, "queries"))
+    every = two.unionByName(three.withColumn("q", F.col("q") + first))
+    done = _save(tx.normalise(every, found["name"], found["segment"], key="q"), at("queries"))
+    for k in "123":
+        store.delete(spark, at(f"parts{k}"))
     if truth is not None:
         pairs = truth.join(refs.select(F.col("entity_id").alias("ref_id"), "s1"), "ref_id").join(done.select(F.col("entity_id").alias("q_id"), "q"), "q_id")
-        _save(pairs.select("q", "s1").dropDuplicates(["q"]), _at(work, split, "truth"))
+        kept = _save(pairs.groupBy("q").agg(F.min("s1").alias("s1"), F.count_distinct("s1").alias("claims")), at("truth"))
+        if more := kept.where("claims > 1").count():
+            print(f"warning: {more} queries are listed for several references; the first counts")
 
 
 def tables(spark: SparkSession, work: str, split: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(_at(work, split, "refs")), spark.read.parquet(_at(work, split, "queries"))
+    return spark.read.parquet(store.at(spark, work, split, "refs")), spark.read.parquet(store.at(spark, work, split, "queries"))
 
 
 def retrieve(spark: SparkSession, work: str, split: str, k_name: int = 3, k_addr: int = 3, k_comb: int = 8, w_name: float = 0.5, dim: int = 1024, exact: bool = False) -> dict | None:
     """Candidates of a split, unless they exist with the same parameters; the report on train."""
     params = {"k_name": k_name, "k_addr": k_addr, "k_comb": k_comb, "w_name": w_name, "dim": dim, "exact": exact}
-    path, tag = _at(work, split, "candidates"), Path(work) / split / "retrieval.json"
+    path, tag = (store.at(spark, work, split, x) for x in ("candidates", "retrieval.json"))
     refs, queries = tables(spark, work, split)
-    if not (_done(path) and tag.exists() and layout.load_json(tag) == params):
+    if not (store.done(spark, path) and store.exists(spark, tag) and store.load_json(spark, tag) == params):
         slim_refs = refs.select("s1", "country", "name_key", "addr_clean")
         slim = queries.select("q", "country", "name_key", "addr_clean", "addr_empty")
         pairs = retrieval.score_pairs(slim_refs, slim, w_name) if exact else retrieval.retrieve_sketched(slim_refs, slim, w_name, k_name, k_addr, k_comb, dim)
-        pairs = _save(pairs, _at(work, split, "scored_pairs"))
+        pairs = _save(pairs, store.at(spark, work, split, "scored_pairs"))
         _save(retrieval.candidates(pairs, k_name, k_addr, k_comb), path)
-        layout.save_json(params, tag)
-    truth = _at(work, split, "truth")
-    if not _done(truth):
+        store.save_json(spark, params, tag)
+    truth = store.at(spark, work, split, "truth")
+    if not store.done(spark, truth):
         return None
     return metrics.candidate_report(spark.read.parquet(path), refs.select("s1"), spark.read.parquet(truth), queries.select("q", "is_s3")).first().asDict()
 
 
 def make_features(spark: SparkSession, work: str, split: str) -> None:
-    path = _at(work, split, "features")
-    if not _done(path):
+    path = store.at(spark, work, split, "features")
+    if not store.done(spark, path):
         refs, queries = tables(spark, work, split)
-        _save(features.pair_features(spark.read.parquet(_at(work, split, "candidates")), refs, queries), path)
+        _save(features.pair_features(spark.read.parquet(store.at(spark, work, split, "candidates")), refs, queries), path)
 
 
 def train(spark: SparkSession, work: str, settings: model.Settings) -> model.Meta:
     refs, queries = tables(spark, work, "train")
-    read = lambda name: spark.read.parquet(_at(work, "train", name))
-    return model.train(read("features"), refs.select("s1"), queries, read("truth"), _at(work, "model"), settings, _at(work, "model", "meta.json"))
+    read = lambda name: spark.read.parquet(store.at(spark, work, "train", name))
+    return model.train(read("features"), refs.select("s1"), queries, read("truth"), store.at(spark, work, "model"), settings, store.at(spark, work, "model", "meta.json"))
 
 
 def predict(spark: SparkSession, work: str, out: str, threshold: float | None = None, candidates: bool = True, prob: str = "auto", prior: str | None = None, name: str = "matching_results.tsv") -> None:
     refs, queries = tables(spark, work, "test")
-    meta = model.load_meta(_at(work, "model", "meta.json"))
-    pairs = spark.read.parquet(_at(work, "test", "features"))
-    saved = _at(work, "test", "scores")
+    meta = model.load_meta(spark, store.at(spark, work, "model", "meta.json"))
+    pairs = spark.read.parquet(store.at(spark, work, "test", "features"))
+    saved = store.at(spark, work, "test", "scores")
     # scores are kept for another threshold, stage or prior, as long as they are of the same model
-    again = (threshold is not None or prob != "auto" or prior is not None) and _done(saved)
+    again = (threshold is not None or prob != "auto" or prior is not None) and store.done(spark, saved)
     if not again or spark.read.parquet(saved).where(F.col("model_id") != meta.model_id).limit(1).count():
-        _save(model.score_all(pairs, queries, _at(work, "model"), meta), saved)
+        _save(model.score_all(pairs, queries, store.at(spark, work, "model"), meta), saved)
     kept = model.choose(spark.read.parquet(saved), refs.count(), queries.count(), meta, prob, threshold, prior)
     ids = queries.select("q", F.col("entity_id").alias("q_id"))
     listed = lambda df, column: tsv.grouped_lists(refs.select("s1", "entity_id"), df.select("q", "s1").join(ids, "q"), column)
-    tsv.write_table(listed(kept, "matched_entity_ids"), _at(out, name))
+    tsv.write_file(listed(kept, "matched_entity_ids"), store.at(spark, out, name))
     if candidates:
-        tsv.write_table(listed(pairs, "candidate_entity_ids"), _at(out, "candidate_pairs.tsv"))
+        tsv.write_file(listed(pairs, "candidate_entity_ids"), store.at(spark, out, "candidate_pairs.tsv"))

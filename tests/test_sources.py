@@ -3,8 +3,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold.operators import aliases, quality, sampling
-from kinfold.sources import layout, tsv
+from kinfold.operators import aliases, numbering, quality, sampling
+from kinfold.sources import layout, store, tsv
 
 
 def write(path, text):
@@ -73,22 +73,61 @@ def test_unknown_ids_and_matches_outside_the_candidates(spark, tmp_path):
     assert not quality.validate(spark, str(tmp_path / "none.tsv"), spark.createDataFrame([], "id string")).passed
 
 
-def test_layout(tmp_path):
+def test_layout(spark, tmp_path):
     for f in tsv.SPLIT_FILES["test"].values():
         write(tmp_path / "deep" / "here" / f, "x")
-    assert layout.find_split(tmp_path, "test") == tmp_path / "deep" / "here"
+    assert layout.find_split(spark, tmp_path, "test") == str(tmp_path / "deep" / "here")
     with pytest.raises(FileNotFoundError):
-        layout.find_split(tmp_path, "train")
-    write(tmp_path / "work" / "aliases.json", "{}")
+        layout.find_split(spark, tmp_path, "train")
+    write(tmp_path / "work" / "aliases" / "name" / "part", "{}")
     write(tmp_path / "work" / "model" / "m", "1")
-    assert layout.persist(tmp_path / "work", tmp_path / "out", "model") == ["aliases.json", "model"]
-    write(tmp_path / "new" / "aliases.json", "kept")
-    assert layout.restore(tmp_path / "out", tmp_path / "new") == ["model/m"]
-    assert (tmp_path / "new" / "aliases.json").read_text() == "kept"
-    with pytest.raises(FileNotFoundError, match="b.tsv"):
-        layout.package({"a.tsv": tmp_path / "deep" / "here" / "test_source1.tsv", "b.tsv": tmp_path / "b"}, tmp_path / "deep", tmp_path / "z.zip")
-    layout.package({"a.tsv": tmp_path / "deep" / "here" / "test_source1.tsv"}, tmp_path / "deep", tmp_path / "z.zip")
-    assert "src/here/test_source2.tsv" in zipfile.ZipFile(tmp_path / "z.zip").namelist()
+    assert layout.persist(spark, tmp_path / "work", tmp_path / "out", "model") == ["aliases", "model"]
+    write(tmp_path / "new" / "aliases" / "name" / "part", "kept")
+    assert [f for f in layout.restore(spark, tmp_path / "out", tmp_path / "new") if ".crc" not in f] == ["model/m"]
+    assert (tmp_path / "new" / "aliases" / "name" / "part").read_text() == "kept"
+
+
+def test_package(tmp_path):
+    result = write(tmp_path / "out" / "test_source1.tsv", "x")
+    for f in ("README.md", "requirements.txt", "kinfold/a.py", "kinfold/__pycache__/a.pyc", ".git/config.txt", "data/big.parquet"):
+        write(tmp_path / "tree" / f, "y")
+    with pytest.raises(FileNotFoundError, match="b.tsv, METHOD.md"):
+        layout.package({"a.tsv": result, "b.tsv": tmp_path / "b"}, tmp_path / "tree", tmp_path / "tree" / "z.zip")
+    write(tmp_path / "tree" / "METHOD.md", "y")
+    layout.package({"a.tsv": result}, tmp_path / "tree", tmp_path / "tree" / "z.zip")
+    assert sorted(zipfile.ZipFile(tmp_path / "tree" / "z.zip").namelist()) == ["output/a.tsv", "src/METHOD.md", "src/README.md", "src/kinfold/a.py", "src/requirements.txt"]
+
+
+def test_rows_keep_the_order_of_their_file(spark, tmp_path):
+    names = [f"S1-{i * 7919 % 30011:05d}" for i in range(30011)]
+    path = write(tmp_path / "s1.tsv", "entity_id\tbusiness_name\tbusiness_address\tcountry\n" + "".join(f"{n}\tx\ty\tUS\n" for n in names))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        rows = numbering.numbered(tsv.read_source(spark, path, place=True), "s1", tsv.PLACE, store.written).select("s1", "entity_id")
+        assert [r["entity_id"] for r in rows.orderBy("s1").collect()] == names
+        pairs = spark.createDataFrame([], "s1 long, q long, q_id string")
+        tsv.write_file(tsv.grouped_lists(rows, pairs), str(tmp_path / "m.tsv"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert (tmp_path / "m.tsv").read_text() == "source1_entity_id\tmatched_entity_ids\n" + "".join(f"{n}\t\n" for n in names)
+
+
+@pytest.mark.parametrize("conf", [{}, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.shuffle.partitions": "50"}])
+def test_numbers_of_many_rows(spark, conf):
+    rows = spark.range(300_000).selectExpr("concat('S1-', lpad(id * 7919 % 300007, 6, '0')) as entity_id", "repeat('wide ', 20) as name", "id * 3 as more")
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = numbering.numbered(rows, "s1", ["entity_id"], store.written)
+        n = got.selectExpr("count(*) as n", "count(distinct s1) as d", "min(s1) as low", "max(s1) as high", "count(distinct entity_id) as ids", "sum(more) as more").first()
+        assert tuple(n) == (300_000, 300_000, 0, 299_999, 300_000, 3 * 300_000 * 299_999 // 2)
+        order = [r["entity_id"] for r in got.orderBy("s1").select("entity_id").collect()]
+        assert order == sorted(order)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def test_aliases(spark):
@@ -97,7 +136,7 @@ def test_aliases(spark):
     segs = spark.createDataFrame([("12 road, new delhi", "12 road, नई दिल्ली")] * 3, "ref_clean string, match_clean string")
     got = aliases.learn_segment_aliases(segs).collect()
     assert [(r["native"], r["latin"], r["n"], r["share"]) for r in got] == [("नई दिल्ली", "new delhi", 3, 1.0)]
-    assert aliases.as_map(aliases.learn_name_aliases(pairs.limit(0))) is None
+    assert aliases.learn_name_aliases(pairs.limit(0)).count() == 0
 
 
 def test_fold_of_the_parity(spark):

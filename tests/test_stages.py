@@ -47,7 +47,7 @@ def test_all_stages(spark, tmp_path):
     got = {r[0]: set(filter(None, r[1].split(","))) for r in tsv.read_table(spark, str(tmp_path / "out" / "matching_results.tsv")).collect()}
     f = [1.25 * len(got[k] & t) / (0.25 * len(t) + len(got[k])) if t or got[k] else 1.0 for k, t in truth.items()]
     assert sum(f) / len(f) > 0.8
-    meta = model.load_meta(str(tmp_path / "work" / "model" / "meta.json"))
+    meta = model.load_meta(spark, str(tmp_path / "work" / "model" / "meta.json"))
     assert set(meta.stages) == {"stage1", "stage2"}
     stage1, stage2 = model.load_models(spark, str(tmp_path / "work" / "model"), meta)
     assert len(model.importances(stage1[0], model.Settings().columns)) == 15 and stage2 is not None

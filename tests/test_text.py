@@ -4,14 +4,18 @@ from pyspark.sql import functions as F
 from kinfold.functions import text as tx
 
 
+def dictionary(spark, values):
+    return spark.createDataFrame(list(values.items()), "native string, latin string")
+
+
 def names(spark, raws, aliases=None):
     df = spark.createDataFrame([(i, r, "", "US") for i, r in enumerate(raws)], "entity_id int, name string, address string, country string")
-    return {r["name"]: r for r in tx.normalise(df, aliases).collect()}
+    return {r["name"]: r for r in tx.normalise(df, aliases and dictionary(spark, aliases)).collect()}
 
 
 def addresses(spark, raws, aliases=None, segments=None):
     df = spark.createDataFrame([(i, "", r, " US ") for i, r in enumerate(raws)], "entity_id int, name string, address string, country string")
-    return {r["address"]: r for r in tx.normalise(df, aliases, segments).collect()}
+    return {r["address"]: r for r in tx.normalise(df, aliases and dictionary(spark, aliases), segments and dictionary(spark, segments)).collect()}
 
 
 def test_names(spark):
@@ -26,7 +30,7 @@ def test_names(spark):
 
 
 def test_aliases_may_hold_several_words(spark):
-    got = names(spark, ["दिल्ली shop"], tx.literal_map({"दिल्ली": "new delhi"}))
+    got = names(spark, ["दिल्ली shop"], {"दिल्ली": "new delhi"})
     assert got["दिल्ली shop"]["name_clean"] == "new delhi shop"
 
 
@@ -54,7 +58,7 @@ def test_long_numbers_keep_their_last_digits(spark):
 
 
 def test_segments(spark):
-    got = addresses(spark, ["12 road, नई दिल्ली"], segments=tx.literal_map({"नई दिल्ली": "new delhi"}))
+    got = addresses(spark, ["12 road, नई दिल्ली"], segments={"नई दिल्ली": "new delhi"})
     assert got["12 road, नई दिल्ली"]["addr_clean"] == "12 rd new dl"
 
 
