@@ -2,16 +2,20 @@
 
 ratio: 200 * LCS / (len a + len b). token_sort: ratio of the sorted words. token_set: the best ratio among
 the shared words and the shared words with either remainder. partial: the best ratio of the shorter
-string with any window of the longer. jaro_winkler: 0 to 1, prefix weight 0.1 over at most 4
+string with any window of the longer, of equally long ones in either direction. jaro_winkler: 0 to 1, prefix weight 0.1 over at most 4
 characters, given above 0.7. Two empty strings: ratio, token_sort and partial 100, token_set 0,
 jaro_winkler 1; one empty: 0. Null counts as empty.
+
+The functions of two strings are the definitions. Columns are scored a batch at a time: distinct pairs are
+found first, and common subsequences of all of them are counted together by bit-parallel steps, a
+machine word of 64 characters of the shorter string at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,29 +44,32 @@ def token_sort_ratio(a: str, b: str) -> float:
     return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
 
 
-def token_set_ratio(a: str, b: str) -> float:
+def _word_sets(a: str, b: str) -> tuple[float, str, str, int, int]:
+    """(a bound that is reached already, only a's words, only b's, the shared words' length, 1 if there are shared words); with empty remainders nothing else is to be done."""
     one, two = set(a.split()), set(b.split())
     if not one or not two:
-        return 0.0
+        return 0.0, "", "", 0, 0
     both, only_a, only_b = one & two, " ".join(sorted(one - two)), " ".join(sorted(two - one))
     if both and (not only_a or not only_b):
-        return 100.0
-    shared = len(" ".join(sorted(both)))
-    gap = 1 if both else 0
-    whole_a, whole_b = shared + gap * bool(only_a) + len(only_a), shared + gap * bool(only_b) + len(only_b)
-    apart = len(only_a) + len(only_b) - 2 * lcs_length(only_a, only_b)
-    best = 100.0 * (1 - apart / (whole_a + whole_b))
-    if both:
+        return 100.0, "", "", 0, 0
+    return -1.0, only_a, only_b, len(" ".join(sorted(both))), int(bool(both))
+
+
+def _of_word_sets(only_a: int, only_b: int, lcs: int, shared: int, gap: int) -> float:
+    """token_set from the lengths of both remainders, of their common subsequence and of the shared words."""
+    whole_a, whole_b = shared + gap + only_a, shared + gap + only_b
+    best = 100.0 * (1 - (only_a + only_b - 2 * lcs) / (whole_a + whole_b))
+    if gap:
         best = max(best, *(100.0 * (1 - (w - shared) / (w + shared)) for w in (whole_a, whole_b)))
     return best
 
 
-def partial_ratio(a: str, b: str) -> float:
-    short, long = sorted((a, b), key=len)
-    if not short:
-        return 0.0 if long else 100.0
-    if short in long:
-        return 100.0
+def token_set_ratio(a: str, b: str) -> float:
+    known, only_a, only_b, shared, gap = _word_sets(a, b)
+    return known if known >= 0 else _of_word_sets(len(only_a), len(only_b), lcs_length(only_a, only_b), shared, gap)
+
+
+def _best_window(short: str, long: str) -> float:
     best, n = 0.0, len(short)
     for start in range(1 - n, len(long)):
         window = long[max(0, start) : start + n]
@@ -71,6 +78,16 @@ def partial_ratio(a: str, b: str) -> float:
     return best
 
 
+def partial_ratio(a: str, b: str) -> float:
+    short, long = sorted((a, b), key=len)
+    if not short:
+        return 0.0 if long else 100.0
+    if short in long:
+        return 100.0
+    best = _best_window(short, long)
+    return max(best, _best_window(long, short)) if len(short) == len(long) else best
+
+
 def jaro_winkler(a: str, b: str) -> float:
     if a == b:
         return 1.0
@@ -95,14 +112,132 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
-def _over_pairs(scorer: Callable[[str, str], float]):
+# --- batches --------------------------------------------------------------------------------------
+
+#: Comparisons of characters that are held at once.
+_CELLS = 1 << 22
+
+
+def _codes(strings: list[str], width: int) -> np.ndarray:
+    return np.array(strings, f"U{max(1, width)}").view(np.uint32).reshape(len(strings), -1)
+
+
+def _masks(short: list[str], long: list[str], width: int, length: int) -> np.ndarray:
+    """(pairs, length, words): where each character of the longer string stands in the shorter one, as bits."""
+    a, b = _codes(short, width), _codes(long, length)
+    inside = np.arange(a.shape[1]) < np.array([len(x) for x in short])[:, None]
+    outside = np.arange(b.shape[1]) >= np.array([len(x) for x in long])[:, None]
+    same = (b[:, :, None] == a[:, None, :]) & inside[:, None, :]
+    same[outside] = False
+    words = -(-a.shape[1] // 64)
+    bits = np.zeros((*same.shape[:2], words * 8), np.uint8)
+    packed = np.packbits(same, axis=2, bitorder="little")
+    bits[:, :, : packed.shape[2]] = packed
+    return bits.view("<u8")
+
+
+def _steps(masks: Iterator[np.ndarray], lanes: tuple[int, ...], words: int) -> np.ndarray:
+    """Lengths of common subsequences of all lanes; ``masks`` gives a (lanes, words) array for each character."""
+    free = np.full((*lanes, words), np.iinfo(np.uint64).max, np.uint64)
+    for mask in masks:
+        hit = free & mask
+        carry = None
+        for w in range(words):
+            x, h = free[..., w], hit[..., w]
+            total = x + h
+            over = total < x
+            if carry is not None:
+                total = total + carry
+                over |= (total < carry) & carry.astype(bool)
+            free[..., w] = total | (x - h)
+            carry = over.astype(np.uint64)
+    return np.bitwise_count(~free).sum(axis=-1, dtype=np.int64)
+
+
+def _sliced(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of a batch in the order of their sizes, as slices of about _CELLS."""
+    order, at = np.argsort(sizes, kind="stable"), 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and (end + 1 - at) * int(sizes[order[end]]) <= _CELLS:
+            end += 1
+        yield order[at:end]
+        at = end
+
+
+def lcs_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """lcs_length of each pair."""
+    pairs = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b, strict=True)]
+    out = np.zeros(len(pairs), np.int64)
+    full = np.array([i for i, (x, _) in enumerate(pairs) if x], np.int64)
+    for part in _sliced(np.array([len(pairs[i][0]) * len(pairs[i][1]) for i in full], np.int64)):
+        some = full[part]
+        short, long = [pairs[i][0] for i in some], [pairs[i][1] for i in some]
+        masks = _masks(short, long, max(map(len, short)), max(map(len, long)))
+        out[some] = _steps((masks[:, j] for j in range(masks.shape[1])), (len(some),), masks.shape[2])
+    return out
+
+
+def ratios(a: list[str], b: list[str]) -> np.ndarray:
+    lengths = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], float)
+    return np.where(lengths > 0, 200.0 * lcs_lengths(a, b) / np.maximum(lengths, 1), 100.0)
+
+
+def token_sort_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    return ratios([" ".join(sorted(x.split())) for x in a], [" ".join(sorted(x.split())) for x in b])
+
+
+def token_set_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    sets = [_word_sets(x, y) for x, y in zip(a, b, strict=True)]
+    lcs = lcs_lengths([s[1] for s in sets], [s[2] for s in sets])
+    return np.array([s[0] if s[0] >= 0 else _of_word_sets(len(s[1]), len(s[2]), n, s[3], s[4]) for s, n in zip(sets, lcs.tolist(), strict=True)], float)
+
+
+def _best_windows(short: list[str], long: list[str]) -> np.ndarray:
+    """The best ratio of each shorter string, all of one length, with the windows of its longer one."""
+    n, length = len(short[0]), max(map(len, long))
+    masks = _masks(short, long, n, length)
+    padded = np.zeros((len(short), length + 2 * (n - 1), masks.shape[2]), np.uint64)
+    padded[:, n - 1 : n - 1 + length] = masks
+    starts = length + n - 1
+    lcs = _steps((padded[:, k : k + starts] for k in range(n)), (len(short), starts), masks.shape[2])
+    first = np.arange(1 - n, length)
+    sizes = np.array([len(x) for x in long])[:, None]
+    width = np.minimum(first + n, sizes) - np.maximum(first, 0)
+    return np.where(width > 0, 200.0 * lcs / (n + np.maximum(width, 0)), 0.0).max(axis=1)
+
+
+def partial_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    out = np.zeros(len(a))
+    jobs: dict[int, list[tuple[int, str, str]]] = {}
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        short, long = (x, y) if len(x) <= len(y) else (y, x)
+        if not short or short in long:
+            out[i] = 100.0 if short or not long else 0.0
+            continue
+        jobs.setdefault(len(short), []).append((i, short, long))
+        if len(short) == len(long):
+            jobs[len(short)].append((i, long, short))
+    for n, found in jobs.items():
+        for part in _sliced(np.array([n * (len(y) + 2 * n) for _, _, y in found], np.int64)):
+            some = [found[i] for i in part]
+            np.maximum.at(out, [i for i, _, _ in some], _best_windows([x for _, x, _ in some], [y for _, _, y in some]))
+    return out
+
+
+def jaro_winklers(a: list[str], b: list[str]) -> np.ndarray:
+    return np.array([jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], float)
+
+
+def _over_pairs(scorer: Callable[[list[str], list[str]], np.ndarray]):
     @F.pandas_udf(T.DoubleType())
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        known = lru_cache(maxsize=65536)(scorer)
-        return pd.Series([known(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
+        seen: dict[tuple[str, str], int] = {}
+        at = [seen.setdefault((x or "", y or ""), len(seen)) for x, y in zip(a, b, strict=True)]
+        return pd.Series(scorer([x for x, _ in seen], [y for _, y in seen])[at] if at else [], dtype="float64")
 
     return score
 
 
 #: Each scorer over two string columns.
-col_ratio, col_token_set, col_token_sort, col_partial, col_jaro_winkler = map(_over_pairs, (ratio, token_set_ratio, token_sort_ratio, partial_ratio, jaro_winkler))
+col_ratio, col_token_set, col_token_sort, col_partial, col_jaro_winkler = map(_over_pairs, (ratios, token_set_ratios, token_sort_ratios, partial_ratios, jaro_winklers))

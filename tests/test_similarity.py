@@ -50,3 +50,33 @@ def test_token_set_without_shared_words_is_the_ratio_of_sorted_words():
 def test_columns_take_nulls(spark):
     df = spark.createDataFrame([("ab", None), (None, None)], "a string, b string")
     assert [r[0] for r in df.select(s.col_ratio("a", "b")).collect()] == [0.0, 100.0]
+
+
+def strings(rng, n, alphabet="abcd é"):
+    return ["".join(rng.choice(alphabet) for _ in range(rng.choice((0, 1, 5, 12, 30, 63, 64, 65, 130, 140)))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("many, one", [(s.ratios, s.ratio), (s.token_sort_ratios, s.token_sort_ratio), (s.token_set_ratios, s.token_set_ratio), (s.partial_ratios, s.partial_ratio), (s.jaro_winklers, s.jaro_winkler)])
+def test_batches_against_the_definitions(many, one):
+    rng = random.Random(5)
+    a, b = strings(rng, 200), strings(rng, 200)
+    b[:40] = [x[::-1] for x in a[:40]]
+    a[50:60] = ["x\0y", "\0", "", " ", "a a", "𝔘 a", "no such", "ab", "a", ""]
+    got = many(a, b)
+    assert got == pytest.approx([one(x, y) for x, y in zip(a, b, strict=True)])
+    assert len(many([], [])) == 0
+
+
+def test_lcs_of_batches_against_the_table():
+    rng = random.Random(6)
+    a, b = strings(rng, 120), strings(rng, 120)
+    assert s.lcs_lengths(a, b).tolist() == [lcs_by_table(x, y) for x, y in zip(a, b, strict=True)]
+
+
+def test_partial_of_equal_lengths_takes_the_better_direction():
+    assert s.partial_ratio("aababb", "cacbbc") == s.partial_ratio("cacbbc", "aababb") == pytest.approx(66.66666, abs=1e-4)
+    rng = random.Random(7)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc") for _ in range(6)) for _ in "ab")
+        windows = lambda x, y: max(s.ratio(x, y[max(0, i) : i + 6]) for i in range(-5, 6))
+        assert s.partial_ratio(a, b) == pytest.approx(max(windows(a, b), windows(b, a)))
