@@ -1,8 +1,9 @@
 """Reverse retrieval: each noisy record looks up its best reference records in its own country.
 
 The exact path is an inverted index over character 3-grams: TF-IDF weights, an equi-join on (country,
-gram), and windows for the top of three channels (name, address, blend). The scale path sketches the
-same weights into ``dim`` signed dimensions and multiplies blocks of queries with blocks of references.
+gram), and windows for the top of three channels (name, address, blend). The scale path multiplies blocks
+of queries with blocks of references in sketches of ``dim`` signed dimensions, takes more of the best than
+are asked for, and gives these their exact cosines from the same sparse weights.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as tx
+from ..sources import store
 
 
 def char_grams(text: Column | str, n: int = 3) -> Column:
@@ -82,11 +84,14 @@ def query_stats(pairs: DataFrame) -> DataFrame:
 def candidates(pairs: DataFrame, k_name: int = 3, k_addr: int = 3, k_comb: int = 8) -> DataFrame:
     """Union of the three channels' best, each pair once, with its query's statistics.
 
-    All ranks and statistics come from one shuffle by query, so that the pairs are computed once.
+    Each channel is limited before anything is shuffled; what a query's statistics need is among the kept pairs
+    (the blend's first two, and the best name and address).
     """
+    slim = pairs.select("q", "s1", "sn", "sa", "w_name", "comb")
+    kept = [best_by(slim, c, k).drop("_k") for c, k in (("comb", max(2, k_comb)), ("sn", max(1, k_name)), ("sa", max(1, k_addr)))]
+    ranks = {f"_{c}": F.row_number().over(W.partitionBy("q").orderBy(F.desc(c), "s1")) for c in ("comb", "sn", "sa")}
+    out = kept[0].unionByName(kept[1]).unionByName(kept[2]).dropDuplicates(["q", "s1"]).withColumns(ranks)
     by = W.partitionBy("q")
-    ranks = {f"_{c}": F.row_number().over(by.orderBy(F.desc(c), "s1")) for c in ("comb", "sn", "sa")}
-    out = pairs.select("q", "s1", "sn", "sa", "w_name", "comb").withColumns(ranks)
     second = F.max(F.when(F.col("_comb") == 2, F.col("comb"))).over(by)
     stats = {"q_comb1": F.max("comb").over(by), "q_comb2": F.coalesce(second, F.lit(0.0)), "q_sn1": F.max("sn").over(by), "q_sa1": F.max("sa").over(by)}
     return out.withColumns(stats).where((F.col("_comb") <= k_comb) | (F.col("_sn") <= k_name) | (F.col("_sa") <= k_addr)).drop(*ranks)
@@ -95,72 +100,111 @@ def candidates(pairs: DataFrame, k_name: int = 3, k_addr: int = 3, k_comb: int =
 # --- scale path ---------------------------------------------------------------------------------
 
 
-def sketch(weights: DataFrame, keys: list[str], dim: int, seed: int) -> DataFrame:
-    """(keys, at, v): weights of (keys, gram, w) in ``dim`` signed dimensions, as sparse arrays."""
-    h = F.xxhash64(F.lit(seed), "gram")
-    signed = F.when(h.bitwiseAND(F.lit(1 << 40)) == 0, F.col("w")).otherwise(-F.col("w"))
-    flat = weights.select(*keys, F.pmod(h, F.lit(dim)).cast("int").alias("d"), signed.alias("w")).groupBy(*keys, "d").agg(F.sum("w").alias("w"))
-    return flat.groupBy(*keys).agg(F.collect_list(F.struct("d", "w")).alias("s")).select(*keys, F.col("s.d").alias("at"), F.col("s.w").alias("v"))
+class _Side:
+    """The sparse weights of a block's records in one channel, on numbered grams."""
 
+    def __init__(self, sizes, grams, weights):
+        self.sizes, self.grams, self.weights = np.asarray(sizes, np.int64), np.asarray(grams, np.int64), np.asarray(weights, np.float64)
+        self.ends = np.cumsum(self.sizes)
+        self.rows = np.repeat(np.arange(len(self.sizes)), self.sizes)
 
-def _dense(at, v, dim: int) -> np.ndarray:
-    out = np.zeros((len(at), dim), np.float32)
-    for i, (d, w) in enumerate(zip(at, v, strict=True)):
-        if d is not None and len(d):
-            out[i, np.asarray(d)] = w
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(norm == 0, 1, norm)
+    def sketched(self, dim: int) -> np.ndarray:
+        """Weights in ``dim`` signed dimensions, scaled to length 1 for each record."""
+        at = self.rows * dim + self.grams % dim
+        out = np.bincount(at, np.where((self.grams >> 40) & 1, -self.weights, self.weights), minlength=len(self.sizes) * dim).reshape(-1, dim)
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return (out / np.where(norm == 0, 1, norm)).astype(np.float32)
 
+    def numbered(self, known: np.ndarray) -> np.ndarray:
+        """The place of each gram in ``known``, sorted; one beyond for others."""
+        at = np.searchsorted(known, self.grams)
+        return np.where((at < len(known)) & (known[np.minimum(at, len(known) - 1)] == self.grams), at, len(known)) if len(known) else np.zeros(len(self.grams), np.int64)
 
-def retrieve_sketched(ref: DataFrame, queries: DataFrame, w_name: float = 0.5, k_name: int = 3, k_addr: int = 3, k_comb: int = 8, dim: int = 1024, block: int = 4096) -> DataFrame:
-    """(q, s1, sn, sa, w_name, comb) of each query's best by channel, with cosines of sketches (noise about 1 / sqrt(dim)).
+    def part(self, first: int, last: int) -> slice:
+        return slice(self.ends[first] - self.sizes[first], self.ends[last - 1])
 
-    Blocks of queries meet blocks of references of their country by an equi-join, and each pair of blocks
-    gives its own best; a window then takes the best of all. Pairs without any positive cosine are left out.
+
+def _exact(q: _Side, q_at: np.ndarray, first: int, last: int, s: _Side, s_at: np.ndarray, known: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Cosines of the pairs (first + i, j) of queries from ``first`` to ``last`` and references, to 6 places."""
+    mine = q.part(first, last)
+    dense = np.zeros((last - first, known + 1))
+    dense[q.rows[mine] - first, q_at[mine]] = q.weights[mine]
+    dense[:, known] = 0
+    sizes = s.sizes[j]
+    ends = np.cumsum(sizes)
+    at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes) + np.repeat(s.ends[j] - sizes, sizes)
+    terms = dense[np.repeat(i, sizes), s_at[at]] * s.weights[at]
+    return np.round(np.bincount(np.repeat(np.arange(len(i)), sizes), terms, minlength=len(i)), 6)
+
+
+def _top(score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each row; equal scores (to 5 places) by place."""
+    n = score.shape[1]
+    key = np.round(score * 1e5).astype(np.int64) * (1 << 21) - np.arange(n)
+    return np.argpartition(-key, k - 1, axis=1)[:, :k] if n > k else np.broadcast_to(np.arange(n), score.shape)
+
+
+def retrieve_sketched(
+    ref: DataFrame, queries: DataFrame, w_name: float = 0.5, k_name: int = 3, k_addr: int = 3, k_comb: int = 8, dim: int = 1024, block: int = 4096, ref_block: int = 16384, wide: int = 8
+) -> DataFrame:
+    """(q, s1, sn, sa, w_name, comb) of each query's best by channel; ties to the smaller s1.
+
+    Blocks of queries meet blocks of references of their country by an equi-join. Within a pair of blocks, the
+    ``wide`` * k best of each channel by cosines of sketches (noise about 1 / sqrt(dim)) get their exact cosines, and
+    the k best by these go on; a window then takes the best of all. Pairs without any cosine above zero are left out.
     """
     n = ref.agg(F.count("*").alias("n_docs"))
-
-    def vectors(docs: DataFrame, key: str) -> DataFrame:
-        out = docs
-        for text, seed, name in (("name_key", 13, "n"), ("addr_clean", 29, "a")):
-            df = document_frequency(gram_counts(ref, ["s1", "country"], text))
-            w = weighted(gram_counts(docs, [key], text), df, n, [key])
-            out = out.join(sketch(w, [key], dim, seed).withColumnsRenamed({"at": f"{name}_at", "v": f"{name}_v"}), key, "left")
-        return out.withColumn("h", F.xxhash64(key))
+    df = {c: store.written(document_frequency(gram_counts(ref, ["s1", "country"], c)), "frequencies") for c in ("name_key", "addr_clean")}
 
     # blocks for each country by its own number of records, so that a large country has more of them
-    def blocked(docs: DataFrame, key: str, name: str, extra: list[str]) -> DataFrame:
-        size = docs.groupBy("country").agg(F.ceil(F.count("*") / block).alias(f"{name}_blocks"))
-        rows = vectors(docs, key).join(size, "country").withColumn(f"{name}_block", F.pmod("h", F.col(f"{name}_blocks")))
-        return rows.groupBy("country", f"{name}_block", f"{name}_blocks").agg(F.collect_list(F.struct(F.col(key).alias("id"), "n_at", "n_v", "a_at", "a_v", *extra)).alias(name))
-
-    qb = blocked(queries.withColumn("w_name", blend_weight(w_name)), "q", "qs", ["w_name"])
-    sb = blocked(ref, "s1", "ss", [])
-    q_blocks = qb.select("country", "qs_block").distinct()
-    met = sb.join(q_blocks, "country").join(qb, ["country", "qs_block"]).select("qs", "ss", "country", "qs_block", "ss_block")
-    met = met.repartition("country", "qs_block", "ss_block").select("qs", "ss")
+    def blocked(docs: DataFrame, key: str, name: str, size: int, extra: list[str]) -> DataFrame:
+        out = docs
+        for text, short in (("name_key", "n"), ("addr_clean", "a")):
+            w = weighted(gram_counts(docs, [key], text), df[text], n, [key]).withColumn("g", F.xxhash64("gram").bitwiseAND(F.lit(2**63 - 1)))
+            listed = w.groupBy(key).agg(F.collect_list(F.struct("g", "w")).alias("s"))
+            out = out.join(listed.select(key, F.col("s.g").alias(f"{short}_g"), F.col("s.w").alias(f"{short}_w")), key, "left")
+        sizes = docs.groupBy("country").agg(F.ceil(F.count("*") / size).alias(f"{name}_blocks"))
+        rows = out.join(sizes, "country").withColumn(f"{name}_block", F.pmod(F.xxhash64(key), F.col(f"{name}_blocks")))
+        listed = rows.groupBy("country", f"{name}_block").agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("id"), "n_g", "n_w", "a_g", "a_w", *extra))).alias("r"))
+        # flat arrays, so that no record becomes an object of its own
+        sizes = {f"{name}_{c}n": F.transform("r", lambda x: F.coalesce(F.size(x[f"{c}_g"]), F.lit(0))) for c in "na"}  # noqa: B023
+        flat = {f"{name}_{c}": F.flatten(F.transform("r", lambda x: F.coalesce(x[c], F.array().cast("array<bigint>" if c.endswith("g") else "array<double>")))) for c in ("n_g", "n_w", "a_g", "a_w")}  # noqa: B023
+        more = {f"{name}_id": F.col("r.id"), **{f"{name}_{c}": F.col(f"r.{c}") for c in extra}}
+        return listed.select("country", f"{name}_block", *(v.alias(k) for k, v in (sizes | flat | more).items()))
+
+    qb = blocked(queries.withColumn("w_name", blend_weight(w_name)), "q", "qs", block, ["w_name"])
+    sb = blocked(ref, "s1", "ss", ref_block, [])
+    q_blocks = queries.select("country", F.col("q")).join(queries.groupBy("country").agg(F.ceil(F.count("*") / block).alias("b")), "country").select("country", F.pmod(F.xxhash64("q"), F.col("b")).alias("qs_block")).distinct()
+    met = sb.join(q_blocks, "country").join(qb, ["country", "qs_block"]).repartition("country", "qs_block", "ss_block")
+    met = met.drop("country", "qs_block", "ss_block")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for qs, ss in frame.itertuples(index=False):
-                get = lambda rows, c: [r[c] for r in rows]
-                s_ids, q_ids = np.array(get(ss, "id")), np.array(get(qs, "id"))
-                order = np.argsort(s_ids)
-                s_ids, ss = s_ids[order], [ss[i] for i in order]
-                sn, sa = (_dense(get(ss, f"{c}_at"), get(ss, f"{c}_v"), dim).T for c in "na")
-                for at in range(0, len(qs), 512):
-                    part = qs[at : at + 512]
-                    w = np.array(get(part, "w_name"))[:, None]
-                    n_cos, a_cos = (np.maximum(_dense(get(part, f"{c}_at"), get(part, f"{c}_v"), dim) @ x, 0) for c, x in (("n", sn), ("a", sa)))
-                    comb = w * n_cos + (1 - w) * a_cos
-                    rows, cols = [], []
-                    for score, k in ((n_cos, k_name), (a_cos, k_addr), (comb, max(2, k_comb))):
-                        top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                        rows.append(np.repeat(np.arange(len(part)), top.shape[1]))
-                        cols.append(top.ravel())
-                    pick = np.unique(np.stack((np.concatenate(rows), np.concatenate(cols))), axis=1)
-                    i, j = pick[:, (n_cos[pick[0], pick[1]] > 0) | (a_cos[pick[0], pick[1]] > 0)]
-                    yield pd.DataFrame({"q": q_ids[at : at + 512][i], "s1": s_ids[j], "sn": n_cos[i, j].astype(float), "sa": a_cos[i, j].astype(float), "w_name": w[i, 0], "comb": comb[i, j].astype(float)})
+            for row in frame.to_dict("records"):
+                s_ids, q_ids, weight = np.asarray(row["ss_id"]), np.asarray(row["qs_id"]), np.asarray(row["qs_w_name"], float)
+                s, q = ({c: _Side(row[f"{x}_{c}n"], row[f"{x}_{c}_g"], row[f"{x}_{c}_w"]) for c in "na"} for x in ("ss", "qs"))
+                known = {c: np.unique(s[c].grams) for c in "na"}
+                s_at, q_at = ({c: side[c].numbered(known[c]) for c in "na"} for side in (s, q))
+                small = {c: s[c].sketched(dim).T for c in "na"}
+                large = {c: q[c].sketched(dim) for c in "na"}
+                step = max(1, min(512, (1 << 24) // (1 + max(map(len, known.values())))))
+                for at in range(0, len(q_ids), step):
+                    end, w = min(at + step, len(q_ids)), weight[at : at + step, None]
+                    n_cos, a_cos = (np.maximum(large[c][at:end] @ small[c], 0) for c in "na")
+                    tops = [_top(score, wide * k) for score, k in ((n_cos, max(1, k_name)), (a_cos, max(1, k_addr)), (w * n_cos + (1 - w) * a_cos, max(2, k_comb)))]
+                    flat = [np.repeat(np.arange(end - at), t.shape[1]) * len(s_ids) + t.ravel() for t in tops]
+                    i, j = np.divmod(np.unique(np.concatenate(flat)), len(s_ids))
+                    sn, sa = (_exact(q[c], q_at[c], at, end, s[c], s_at[c], len(known[c]), i, j) for c in "na")
+                    comb = w[i, 0] * sn + (1 - w[i, 0]) * sa
+                    keep = np.zeros(len(i), bool)
+                    for score, k in ((sn, max(1, k_name)), (sa, max(1, k_addr)), (comb, max(2, k_comb))):
+                        order = np.lexsort((j, -score, i))
+                        first = np.concatenate(([True], i[order][1:] != i[order][:-1]))
+                        rank = np.arange(len(i)) - np.maximum.accumulate(np.where(first, np.arange(len(i)), 0))
+                        keep[order[rank < k]] = True
+                    keep &= (sn > 0) | (sa > 0)
+                    i, j = i[keep], j[keep]
+                    yield pd.DataFrame({"q": q_ids[at + i], "s1": s_ids[j], "sn": sn[keep], "sa": sa[keep], "w_name": weight[at + i], "comb": comb[keep]})
 
     kinds = dict(queries.dtypes)["q"], dict(ref.dtypes)["s1"]
     return met.mapInPandas(run, f"q {kinds[0]}, s1 {kinds[1]}, sn double, sa double, w_name double, comb double")
