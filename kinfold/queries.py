@@ -12,10 +12,12 @@ from pyspark.sql.window import Window as W
 from . import views
 from .functions import similarity as sim
 from .functions import text as tx
-from .operators import aliases, decision, features, metrics, quality, retrieval, sampling
+from .operators import aliases, decision, features, metrics, numbering, quality, retrieval, sampling
 from .plans import model
-from .sources import tsv
+from .sources import store, tsv
 
+#: Most rounds of the boosting in gbt_score; it stops earlier where held-out rows tell.
+GBT_ROUNDS = 60
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -24,39 +26,22 @@ def query(f: Callable[[SparkSession, str], DataFrame]):
     return f
 
 
-def _names(records):
-    out = tx.normalise(records, unicode=False)
-    return out.select("entity_id", "name_clean", "name_key", tx.squashed("name_key").alias("name_squashed"), "name_native")
-
-
 @query
 def name_normalize(spark, sf_dir):
-    return _names(views.raw_records(spark, sf_dir))
-
-
-@query
-def name_normalize_whole(spark, sf_dir):
-    return _names(views.raw_records(spark, sf_dir, whole=True))
-
-
-def _addresses(records):
-    out = tx.normalise(records, unicode=False)
-    return out.select("entity_id", "country", "addr_clean", "addr_empty", F.array_join(F.transform("nums", lambda x: x.cast("string")), ",").alias("nums"))
+    out = tx.normalise(views.raw_records(spark, sf_dir), unicode=False)
+    return out.select("entity_id", "name_clean", "name_key", tx.squashed("name_key").alias("name_squashed"), "name_native")
 
 
 @query
 def address_normalize(spark, sf_dir):
-    return _addresses(views.raw_records(spark, sf_dir))
+    out = tx.normalise(views.raw_records(spark, sf_dir), unicode=False)
+    return out.select("entity_id", "country", "addr_clean", "addr_empty", F.array_join(F.transform("nums", lambda x: x.cast("string")), ",").alias("nums"))
 
 
 @query
-def address_normalize_whole(spark, sf_dir):
-    return _addresses(views.raw_records(spark, sf_dir, whole=True))
-
-
-def _numbers(records):
+def numbers_shared(spark, sf_dir):
     """Number features of each record with the one 97 ids on, which has the same flat number."""
-    base = tx.normalise(records, unicode=False).select("entity_id", "name_key", "addr_clean", "nums")
+    base = tx.normalise(views.raw_records(spark, sf_dir), unicode=False).select("entity_id", "name_key", "addr_clean", "nums")
     q = base.select(F.col("entity_id").alias("q"), *(F.col(c).alias(f"q_{c}") for c in ("name_key", "addr_clean", "nums")))
     s = base.select((F.col("entity_id") - 97).alias("q"), *(F.col(c).alias(f"s_{c}") for c in ("name_key", "addr_clean", "nums")))
     out = features.number_features(q.join(s, "q"))
@@ -64,29 +49,46 @@ def _numbers(records):
 
 
 @query
-def numbers_shared(spark, sf_dir):
-    return _numbers(views.raw_records(spark, sf_dir))
+def unicode_normalize(spark, sf_dir):
+    """With the Arrow functions, over whole texts; no SQL form of case folding."""
+    return tx.normalise(views.raw_records(spark, sf_dir)).select("entity_id", "name_clean", "name_key", "addr_clean")
 
 
 @query
-def numbers_shared_whole(spark, sf_dir):
-    return _numbers(views.raw_records(spark, sf_dir, whole=True))
+def alias_learning(spark, sf_dir):
+    """Words of distorted whole texts by place against those of the texts."""
+    a = F.split("name_key", " ")
+    b = F.split(F.translate("name_key", "oie", "013"), " ")
+    zipped = views.whole_texts(spark, sf_dir).select(F.explode(F.arrays_zip(b.alias("b"), a.alias("a"))).alias("z")).select(F.col("z.b").alias("native"), F.col("z.a").alias("latin"))
+    return aliases.most_common(zipped, "native", "latin", 2, 0.5).withColumn("share", F.round("share", 9))
+
+
+def _name_aliases(spark, sf_dir):
+    tokens = lambda c: tx.words(tx.punct_to_space(c))
+    return aliases.learn_name_aliases(views.native_texts(spark, sf_dir).select(tokens("clean").alias("ref_tokens"), tokens("native").alias("match_tokens")))
+
+
+def _segment_aliases(spark, sf_dir):
+    return aliases.learn_segment_aliases(views.native_texts(spark, sf_dir).select(F.col("clean").alias("ref_clean"), F.col("mixed").alias("match_clean")))
 
 
 @query
-def unicode_normalize(spark, sf_dir):
-    """With the Arrow functions, over whole texts; no SQL form of case folding."""
-    return tx.normalise(views.raw_records(spark, sf_dir, whole=True)).select("entity_id", "name_clean", "name_key", "addr_clean")
+def name_aliases(spark, sf_dir):
+    return _name_aliases(spark, sf_dir).withColumn("share", F.round("share", 9))
 
 
 @query
-def alias_learning(spark, sf_dir):
-    """Words of distorted names by place against those of their references."""
-    ref, queries, truth = views.linkage(spark, sf_dir)
-    pairs = truth.join(ref.select("s1", F.col("name_key").alias("a")), "s1").join(queries.select("q", F.col("name_key").alias("b")), "q")
-    a, b = F.split("a", " "), F.split("b", " ")
-    zipped = pairs.where(F.size(a) == F.size(b)).select(F.explode(F.arrays_zip(b.alias("b"), a.alias("a"))).alias("z")).select(F.col("z.b").alias("native"), F.col("z.a").alias("latin"))
-    return aliases.most_common(zipped, "native", "latin", 2, 0.5).withColumn("share", F.round("share", 9))
+def segment_aliases(spark, sf_dir):
+    return _segment_aliases(spark, sf_dir).withColumn("share", F.round("share", 9))
+
+
+@query
+def dictionary(spark, sf_dir):
+    """Names and addresses with native words and segments, normalised with the dictionaries learned from all texts."""
+    known = [store.written(f(spark, sf_dir).select("native", "latin"), "dictionary") for f in (_name_aliases, _segment_aliases)]
+    texts = views.native_texts(spark, sf_dir)
+    records = texts.select(F.col("doc_id").alias("entity_id"), F.col("native").alias("name"), F.col("mixed").alias("address"), F.col("lang").alias("country"))
+    return tx.normalise(records, *known, unicode=False).select("entity_id", "name_clean", "addr_clean")
 
 
 @query
@@ -106,6 +108,10 @@ def grouped_output(spark, sf_dir):
     return tsv.grouped_lists(refs, orders.select(F.col("o_custkey").alias("s1"), F.col("o_orderkey").alias("q"), F.col("o_orderkey").cast("string").alias("q_id")))
 
 
+def _scratch(spark, name):
+    return f"{store.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 @query
 def tsv_round_trip(spark, sf_dir):
     """Customers written as a TSV and read again, with empty fields, quotes and backslashes."""
@@ -115,12 +121,49 @@ def tsv_round_trip(spark, sf_dir):
         F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_mktsegment")).alias("business_address"),
         F.lit("null").alias("country"),
     )
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    path = f"{shared.rstrip('/')}/tsv-{uuid.uuid4().hex}"
+    path = _scratch(spark, "tsv")
     tsv.write_table(rows, path)
     return tsv.read_source(spark, path)
 
 
+def _order_lists(spark, sf_dir):
+    """(source1_entity_id, matched_entity_ids): a line for each customer, empty without orders."""
+    customer, orders = views.table(spark, sf_dir, "customer"), views.table(spark, sf_dir, "orders")
+    refs = customer.select(F.col("c_custkey").alias("s1"), F.concat(F.lit("S1-"), F.col("c_custkey").cast("string")).alias("entity_id"))
+    return tsv.grouped_lists(refs, orders.select(F.col("o_custkey").alias("s1"), F.col("o_orderkey").alias("q"), F.concat(F.lit("S2-"), F.col("o_orderkey").cast("string")).alias("q_id")))
+
+
+@query
+def ground_truth_scan(spark, sf_dir):
+    """A ground-truth file, written as one TSV, read and exploded."""
+    path = _scratch(spark, "truth") + ".tsv"
+    tsv.write_file(_order_lists(spark, sf_dir), path)
+    return sampling.explode_truth(tsv.read_ground_truth(spark, path))
+
+
+@query
+def read_ids(spark, sf_dir):
+    path = _scratch(spark, "ids") + ".tsv"
+    tsv.write_file(_order_lists(spark, sf_dir), path)
+    return tsv.read_ids(spark, path)
+
+
+@query
+def file_order(spark, sf_dir):
+    """Numbers of the lines of a file, which are sorted by no column."""
+    path = _scratch(spark, "lines")
+    rows = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("entity_id"), F.lit("").alias("business_name"), F.lit("").alias("business_address"), F.col("c_mktsegment").alias("country"))
+    tsv.write_file(rows.orderBy(F.md5("entity_id")), path)
+    return numbering.numbered(tsv.read_source(spark, path, place=True), "s1", tsv.PLACE, store.written).select("s1", "entity_id", "country")
+
+
+@query
+def numbered(spark, sf_dir):
+    """Orders numbered by key as text."""
+    rows = views.table(spark, sf_dir, "orders").select(F.concat(F.lit("S1-"), F.col("o_orderkey").cast("string")).alias("entity_id"), "o_orderpriority")
+    return numbering.numbered(rows, "s1", ["entity_id"], store.written)
+
+
 def _idf(ref):
     df = retrieval.document_frequency(retrieval.gram_counts(ref, ["s1"], "name_key"))
     n = ref.agg(F.count("*").alias("n_docs"))
@@ -129,11 +172,6 @@ def _idf(ref):
 
 @query
 def gram_idf(spark, sf_dir):
-    return _idf(views.linkage(spark, sf_dir)[0])
-
-
-@query
-def gram_idf_whole(spark, sf_dir):
     return _idf(views.whole_texts(spark, sf_dir))
 
 
@@ -146,34 +184,53 @@ def topk_reverse(spark, sf_dir):
 @query
 def topk_sketched(spark, sf_dir):
     ref, queries, _ = views.linkage(spark, sf_dir)
-    pairs = retrieval.retrieve_sketched(ref, queries, dim=512)
-    return retrieval.candidates(pairs)
+    return retrieval.candidates(retrieval.retrieve_sketched(ref, queries))
 
 
-def _featured(spark, sf_dir):
-    """(pair features, queries, truth) of the sketched candidates, with the features written once."""
+@query
+def sketch_recall(spark, sf_dir):
+    """Shares of the exact candidates, and of each query's exact best by blend, that the sketched retrieval has."""
+    ref, queries, _ = views.linkage(spark, sf_dir)
+    exact = store.written(retrieval.candidates(retrieval.score_pairs(ref, queries)), "exact")
+    found = retrieval.candidates(retrieval.retrieve_sketched(ref, queries)).select("q", "s1", F.lit(1).alias("hit"))
+    both = exact.join(found, ["q", "s1"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+    tied = F.col("comb") == F.col("q_comb1")
+    return both.agg(F.count("*").alias("candidates"), F.avg("hit").alias("recall"), F.avg(F.when(tied, F.col("hit"))).alias("recall_of_best"))
+
+
+def _featured(spark, sf_dir, exact=True):
+    """(pair features, queries, truth) of the candidates of the exact or the sketched retrieval, which are written once."""
     ref, queries, truth = views.linkage(spark, sf_dir)
     more = {"name_clean": F.col("name_key"), "nums": tx.encode_numbers(tx.address_numbers(tx.words("addr_clean"))), "name_native": F.lit(False)}
     ref, queries = ref.withColumns(more), queries.withColumns(more)
-    cands = retrieval.candidates(retrieval.retrieve_sketched(ref.select("s1", "country", "name_key", "addr_clean"), queries.select("q", "country", "name_key", "addr_clean", "addr_empty"), dim=256))
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    path = f"{shared.rstrip('/')}/candidates-{uuid.uuid4().hex}"
-    cands.write.parquet(path)
-    return features.pair_features(spark.read.parquet(path), ref, queries), queries, truth
+    retrieve = retrieval.score_pairs if exact else retrieval.retrieve_sketched
+    pairs = retrieve(ref.select("s1", "country", "name_key", "addr_clean"), queries.select("q", "country", "name_key", "addr_clean", "addr_empty"))
+    cands = store.written(retrieval.candidates(pairs), "candidates")
+    return features.pair_features(cands, ref, queries), queries, truth
+
+
+#: Pair features without SQL: scorers of long strings.
+ADDRESS_SCORES = ["ad_ratio", "ad_tset", "ad_tsort", "ad_partial"]
 
 
 @query
 def pair_features(spark, sf_dir):
-    return _featured(spark, sf_dir)[0]
+    out = _featured(spark, sf_dir)[0].drop(*ADDRESS_SCORES)
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c[:3] in ("nk_", "nc_", "sq_")})
+
+
+@query
+def address_scores(spark, sf_dir):
+    return _featured(spark, sf_dir, exact=False)[0].select("q", "s1", *ADDRESS_SCORES)
 
 
 @query
 def gbt_score(spark, sf_dir):
-    """Out-of-fold scores of two small boosted models, each fitted on the other half of the queries; a tenth of all only stops the boosting."""
-    pairs, _, truth = _featured(spark, sf_dir)
+    """Out-of-fold scores of two boosted models, each fitted on the other half of the queries; a tenth of all only stops the boosting."""
+    pairs, _, truth = _featured(spark, sf_dir, exact=False)
     labelled = pairs.join(truth.withColumn("label", F.lit(1.0)), ["q", "s1"], "left").withColumn("label", F.coalesce("label", F.lit(0.0)))
-    labelled = labelled.withColumns({"fold": sampling.query_fold("q", 2), "part": F.lit("train"), "held": F.pmod(F.xxhash64("q"), F.lit(10)) == 0}).persist()
-    settings = model.Settings(rounds=3, depth=4, bins=32)
+    labelled = store.written(labelled.withColumns({"fold": sampling.query_fold("q", 2), "part": F.lit("train"), "held": F.pmod(F.xxhash64("q"), F.lit(10)) == 0}), "labelled")
+    settings = model.Settings(rounds=GBT_ROUNDS)
     fitted = [model.fit(labelled.where((F.col("fold") == k) | F.col("held")), settings.columns, settings) for k in range(2)]
     return model.score(fitted, labelled, settings.columns, by_fold=True).select("q", "s1", "label", F.round("p", 6).alias("p"))
 
@@ -191,23 +248,23 @@ def topk_dense(spark, sf_dir):
 
 
 def _string_pairs(spark, sf_dir):
-    ref, queries, truth = views.linkage(spark, sf_dir)
-    return truth.join(ref.select("s1", F.col("name_key").alias("a")), "s1").join(queries.select("q", F.col("name_key").alias("b")), "q")
+    """(a, b): all pairs of a reference's and a query's name in one country."""
+    ref, queries, _ = views.linkage(spark, sf_dir)
+    names = lambda df, c: df.select("country", F.col("name_key").alias(c)).distinct()
+    return names(ref, "a").join(names(queries, "b"), "country").select("a", "b").distinct()
 
 
 @query
 def string_distances(spark, sf_dir):
-    pairs = _string_pairs(spark, sf_dir)
     a, b = F.split("a", " "), F.split("b", " ")
-    ascii_ = lambda c: F.regexp_replace(c, "[^a-z0-9 ]", "")  # noqa: E731  the SQL engine's function counts bytes
     jaccard = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
-    return pairs.select("q", F.levenshtein("a", "b").alias("edits"), F.round(sim.col_jaro_winkler(ascii_("a"), ascii_("b")), 6).alias("jaro_winkler"), F.round(jaccard, 6).alias("token_jaccard"))
+    return _string_pairs(spark, sf_dir).select("a", "b", F.levenshtein("a", "b").alias("edits"), F.round(sim.col_jaro_winkler("a", "b"), 6).alias("jaro_winkler"), F.round(jaccard, 6).alias("token_jaccard"))
 
 
 @query
 def ratio_family(spark, sf_dir):
     scores = {"ratio": sim.col_ratio, "token_set": sim.col_token_set, "token_sort": sim.col_token_sort, "partial": sim.col_partial}
-    return _string_pairs(spark, sf_dir).select("q", "s1", *(f("a", "b").alias(c) for c, f in scores.items()))
+    return _string_pairs(spark, sf_dir).select("a", "b", *(F.round(f("a", "b"), 6).alias(c) for c, f in scores.items()))
 
 
 @query
@@ -220,8 +277,10 @@ def competition(spark, sf_dir):
 
 @query
 def group_features(spark, sf_dir):
-    out = features.group_features(views.scored(spark, sf_dir)[0])
-    return out.drop("p1").withColumn("g_s1_sum_other", F.round("g_s1_sum_other", 6))
+    """With the strings of the strongest other claimant: an order's priority as its name, its date as its address."""
+    records = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("q"), F.lower("o_orderpriority").alias("name_key"), F.date_format("o_orderdate", "yyyy MM dd").alias("addr_clean"))
+    out = features.group_features(views.scored(spark, sf_dir)[0], records).drop("p1")
+    return out.withColumns({c: F.round(c, 6) for c in ("g_s1_sum_other", "g_other_nk_ratio", "g_other_nk_tset", "g_other_ad_tset")})
 
 
 @query
@@ -231,12 +290,6 @@ def decide_threshold(spark, sf_dir):
 
 @query
 def decide_expected(spark, sf_dir):
-    return decision.decide_expected(views.scored(spark, sf_dir)[0].where("p < 0.4"), 0.1)
-
-
-@query
-def decide_expected_all(spark, sf_dir):
-    """The expected-F rule over all scored pairs; decide_expected sees those below 0.4 only, as its SQL does."""
     return decision.decide_expected(views.scored(spark, sf_dir)[0], 0.1)
 
 
@@ -253,15 +306,19 @@ def sweep(spark, sf_dir):
 
 @query
 def sweep_expected(spark, sf_dir):
+    """The floors of the expected-F rule over all scored pairs."""
     pairs, truth, refs = views.scored(spark, sf_dir)
-    return decision.sweep_expected(pairs.where("p < 0.4"), refs, truth).withColumn("f05", F.round("f05", 9))
+    return decision.sweep_expected(pairs, refs, truth).withColumn("f05", F.round("f05", 9))
 
 
 @query
-def sweep_expected_all(spark, sf_dir):
-    """The floors of the expected-F rule over all scored pairs."""
+def choose(spark, sf_dir):
+    """Matches of scored pairs as a run chooses them: the second stage's scores, the prior of the scored table, the threshold rule with caps."""
     pairs, truth, refs = views.scored(spark, sf_dir)
-    return decision.sweep_expected(pairs, refs, truth).withColumn("f05", F.round("f05", 9))
+    scores = pairs.select("q", "s1", "is_s3", (F.col("p") * F.col("p")).alias("p1"), F.col("p").alias("p2"))
+    n_refs, n_queries, n_true = refs.count(), pairs.select("q").distinct().count(), truth.count()
+    meta = model.Meta({}, "", use_stage2=True, threshold=0.6, stages={"stage2": {"threshold": 0.6}}, train_prior=0.7, matches_per_ref=0.9 * n_true / n_refs)
+    return model.choose(scores, n_refs, n_queries, meta, prior="auto").withColumn("p", F.round("p", 9))
 
 
 @query

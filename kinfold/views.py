@@ -16,73 +16,60 @@ def _words(text: str):
     return F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def _some(first: int, n: int):
-    return F.array_join(F.slice("w", first, n), " ")
-
-
-#: Raw names and addresses with the noise that normalisation is for.
+#: Raw names and addresses with the noise that normalisation is for: all words of a document in both.
 RAW_SQL = r"""
 wordy as (
   select doc_id, lang, source, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
 raw as (
-  select doc_id, lang, array_to_string(list_slice(w, 1, 4), ' ') ||
+  select doc_id, lang, array_to_string(w, ' ') ||
       case doc_id % 3 when 0 then ' L.L.C.' when 1 then ' & Sons Co.' else '.com Pvt Ltd' end as name,
-    'No' || lpad(doc_id::varchar, 6, '0') || array_to_string(list_slice(w, 1, 1), '') || ', ' || array_to_string(list_slice(w, 2, 4), ' ') || ' Street, ' ||
+    'No' || lpad(doc_id::varchar, 6, '0') || array_to_string(list_slice(w, 1, 1), '') || ', ' || array_to_string(list_slice(w, 2, len(w)), ' ') || ' Street, ' ||
       case doc_id % 4 when 0 then 'New York' when 1 then 'West Bengal' when 2 then 'Jammu and Kashmir' else 'Texas' end || ' Apt ' || (doc_id % 97)::varchar as address
   from wordy)"""
 
-#: The same records with all words of a document in the name and in the address.
-RAW_WHOLE_SQL = RAW_SQL.replace("array_to_string(list_slice(w, 1, 4), ' ')", "array_to_string(w, ' ')").replace("array_to_string(list_slice(w, 2, 4), ' ')", "array_to_string(list_slice(w, 2, len(w)), ' ')")
-
 
-def raw_records(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """(entity_id, name, address, country) for each document: of its first words, or of all with ``whole``."""
-    name, rest = (F.array_join("w", " "), F.array_join(F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))), " ")) if whole else (_some(1, 4), _some(2, 3))
+def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entity_id, name, address, country) for each document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", _words("text").alias("w"))
     third = F.when(F.col("doc_id") % 3 == 0, " L.L.C.").when(F.col("doc_id") % 3 == 1, " & Sons Co.").otherwise(".com Pvt Ltd")
     state = F.when(F.col("doc_id") % 4 == 0, "New York").when(F.col("doc_id") % 4 == 1, "West Bengal").when(F.col("doc_id") % 4 == 2, "Jammu and Kashmir").otherwise("Texas")
-    address = F.concat(
-        F.lit("No"), F.lpad(F.col("doc_id").cast("string"), 6, "0"), _some(1, 1), F.lit(", "), rest, F.lit(" Street, "), state, F.lit(" Apt "), (F.col("doc_id") % 97).cast("string")
-    )
-    return docs.select(F.col("doc_id").alias("entity_id"), F.concat(name, third).alias("name"), address.alias("address"), F.col("lang").alias("country"))
+    first, rest = F.array_join(F.slice("w", 1, 1), " "), F.array_join(F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))), " ")
+    address = F.concat(F.lit("No"), F.lpad(F.col("doc_id").cast("string"), 6, "0"), first, F.lit(", "), rest, F.lit(" Street, "), state, F.lit(" Apt "), (F.col("doc_id") % 97).cast("string"))
+    return docs.select(F.col("doc_id").alias("entity_id"), F.concat(F.array_join("w", " "), third).alias("name"), address.alias("address"), F.col("lang").alias("country"))
 
 
-#: Three sources: clean references, two noisy copies, distractors. q counts S2 from 0 and S3 from 1e9.
+#: Three sources: all parts as clean references, each of them twice with noise, and all suppliers, which have no
+#: reference. The brand is the country. q counts S2 from 0, S3 from 1e9 and the suppliers from 2e9.
 LINKAGE_SQL = r"""
-words as (
-  select doc_id, lang as country, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
-named as (
-  select doc_id, country, lower(array_to_string(list_slice(w, 1, 4), ' ')) as n, doc_id::varchar || ' ' || lower(array_to_string(list_slice(w, 5, 12), ' ')) as a,
-    doc_id::varchar || ' ' || lower(array_to_string(list_slice(w, 5, 8), ' ')) as short_a from words),
-spaced as (
-  select doc_id, country, trim(regexp_replace(regexp_replace(n, '[^\p{L}\p{N}\s]|_', ' ', 'g'), '\s+', ' ', 'g')) as name_key,
-    trim(regexp_replace(regexp_replace(a, '[^\p{L}\p{N}\s]|_', ' ', 'g'), '\s+', ' ', 'g')) as addr_clean,
-    trim(regexp_replace(regexp_replace(short_a, '[^\p{L}\p{N}\s]|_', ' ', 'g'), '\s+', ' ', 'g')) as short_addr from named),
-ref as (select doc_id as s1, country, name_key, addr_clean from spaced where doc_id % 4 <> 3),
+ref as (
+  select p_partkey as s1, lower(trim(p_brand)) as country, trim(regexp_replace(regexp_replace(lower(p_name), '[^\p{L}\p{N}\s]|_', ' ', 'g'), '\s+', ' ', 'g')) as name_key,
+    p_partkey::varchar || ' ' || lower(p_type) || ' ' || p_size::varchar as addr_clean, lower(p_type) || ' ' || p_size::varchar as short_addr from part),
 query as (
-  select doc_id as q, country, translate(name_key, 'oie', '013') as name_key, addr_clean, false as is_s3 from spaced where (doc_id % 4 <> 3 and doc_id % 5 <> 0) or doc_id % 8 = 3
+  select s1 as q, country, translate(name_key, 'oie', '013') as name_key, addr_clean, false as is_s3 from ref
+  union all
+  select s1 + 1000000000 as q, country, name_key, short_addr as addr_clean, true as is_s3 from ref
   union all
-  select doc_id + 1000000000 as q, country, name_key, short_addr as addr_clean, true as is_s3 from spaced where (doc_id % 4 <> 3 and doc_id % 3 = 0) or doc_id % 8 = 7),
-truth as (select q, q % 1000000000 as s1 from query where (q % 1000000000) % 4 <> 3)"""
+  select s_suppkey + 2000000000 as q, 'brand#' || (s_nationkey + 1)::varchar as country,
+    trim(regexp_replace(regexp_replace(lower(s_name), '[^\p{L}\p{N}\s]|_', ' ', 'g'), '\s+', ' ', 'g')) as name_key, '' as addr_clean, s_acctbal < 5000 as is_s3 from supplier),
+truth as (select q, q % 1000000000 as s1 from query where q < 2000000000)"""
 
 
 def linkage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(references, queries, truth) of the three-source view."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("country"), _words("text").alias("w"))
-    clean = lambda c: tx.punct_to_space(F.lower(c))
-    number = F.concat(F.col("doc_id").cast("string"), F.lit(" "))
-    base = docs.select("doc_id", "country", clean(_some(1, 4)).alias("name_key"), clean(F.concat(number, _some(5, 8))).alias("addr_clean"), clean(F.concat(number, _some(5, 4))).alias("short"))
-    mine = F.col("doc_id") % 4 != 3
-    ref = base.where(mine).select(F.col("doc_id").alias("s1"), "country", "name_key", "addr_clean")
-    two = base.where((mine & (F.col("doc_id") % 5 != 0)) | (F.col("doc_id") % 8 == 3))
-    three = base.where((mine & (F.col("doc_id") % 3 == 0)) | (F.col("doc_id") % 8 == 7))
-    queries = two.select(F.col("doc_id").alias("q"), "country", F.translate("name_key", "oie", "013").alias("name_key"), "addr_clean", F.lit(False).alias("is_s3")).unionByName(
-        three.select((F.col("doc_id") + 1_000_000_000).alias("q"), "country", "name_key", F.col("short").alias("addr_clean"), F.lit(True).alias("is_s3"))
-    )
-    queries = queries.withColumn("addr_empty", F.col("addr_clean") == "")
-    source = F.pmod("q", F.lit(1_000_000_000))
-    truth = queries.where(source % 4 != 3).select("q", source.alias("s1"))
-    return ref, queries, truth
+    part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
+    space, clean = F.lit(" "), lambda c: tx.punct_to_space(F.lower(c))
+    short = F.concat(F.lower("p_type"), space, F.col("p_size").cast("string"))
+    base = part.select(
+        F.col("p_partkey").alias("s1"), F.lower(F.trim("p_brand")).alias("country"), clean("p_name").alias("name_key"),
+        F.concat(F.col("p_partkey").cast("string"), space, short).alias("addr_clean"), short.alias("short"),
+    )
+    two = base.select(F.col("s1").alias("q"), "country", F.translate("name_key", "oie", "013").alias("name_key"), "addr_clean", F.lit(False).alias("is_s3"))
+    three = base.select((F.col("s1") + 1_000_000_000).alias("q"), "country", "name_key", F.col("short").alias("addr_clean"), F.lit(True).alias("is_s3"))
+    brand = F.concat(F.lit("brand#"), (F.col("s_nationkey") + 1).cast("string"))
+    others = supplier.select((F.col("s_suppkey") + 2_000_000_000).alias("q"), brand.alias("country"), clean("s_name").alias("name_key"), F.lit("").alias("addr_clean"), (F.col("s_acctbal") < 5000).alias("is_s3"))
+    queries = two.unionByName(three).unionByName(others).withColumn("addr_empty", F.col("addr_clean") == "")
+    truth = queries.where("q < 2000000000").select("q", F.pmod("q", F.lit(1_000_000_000)).alias("s1"))
+    return base.drop("short"), queries, truth
 
 
 #: Whole texts of all documents, each one reference and query.
@@ -97,6 +84,23 @@ def whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("s1"), F.col("lang").alias("country"), tx.punct_to_space(F.lower("text")).alias("name_key"))
 
 
+#: Letters of another script for some of a-z, several to one; and texts of all documents in both, the second as a whole or in every other comma segment.
+NATIVE = ("aeiou", "अअइइउ")
+NATIVE_SQL = rf"""
+native_texts as (
+  select doc_id, lang, lower(coalesce(text, '')) as clean, translate(lower(coalesce(text, '')), '{NATIVE[0]}', '{NATIVE[1]}') as native,
+    array_to_string(list_transform(string_split(lower(coalesce(text, '')), ','), lambda x, i: case when i % 2 = 0 then translate(x, '{NATIVE[0]}', '{NATIVE[1]}') else x end), ',') as mixed
+  from documents)"""
+
+
+def native_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, clean, native, mixed)."""
+    clean = F.lower(F.coalesce("text", F.lit("")))
+    every_other = F.transform(F.split("clean", ",", -1), lambda x, i: F.when(i % 2 == 1, F.translate(x, *NATIVE)).otherwise(x))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", clean.alias("clean"))
+    return rows.withColumns({"native": F.translate("clean", *NATIVE), "mixed": F.array_join(every_other, ",")})
+
+
 #: Scored pairs with ties: an order (q) claims the suppliers (s1) of its lines; its first line's is true for three of four orders.
 SCORED_SQL = """
 pairs as (
