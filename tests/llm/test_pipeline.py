@@ -2,6 +2,7 @@
 
 import random
 
+from pyspark.sql import functions as F
 from test_line_dedup import brute as brute_lines
 from test_ngram_join import brute as brute_groups
 
@@ -53,6 +54,11 @@ def test_edges(spark):
         df = stage(spark, df, "")
         assert df.columns == cp.COLUMNS
     assert df.where("doc_id in (1, 2, 3, 5)").count() == 0
+    names = ["lang_pred", "score", "n_lines", "n_deleted", "component_id", "copies", "copy", "shuffle_key", "bin", "id", "h", "node", "_name"]
+    wide = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(k).cast("string") for k, c in enumerate(names)})
+    for _, stage in cp.STAGES[:-1]:
+        assert stage(spark, wide, "").columns == cp.COLUMNS
+    assert cp.STAGES[-1][1](spark, wide, "").count() == len(rows)
     empty = df.limit(0)
     for _, stage in cp.STAGES:
         empty = stage(spark, empty, "")

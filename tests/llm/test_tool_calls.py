@@ -118,6 +118,14 @@ def test_query_against_plain_linking(spark, sf_dir):
             assert [e for e in r["errors"] if e != "unknown reference"] == tc.violations(body["arguments"], REPLY_SCHEMA)
 
 
+def test_a_long_chain_of_references(spark):
+    """Thousands of calls, each of the one after it: one task's sort."""
+    n = 5000
+    rows = [(1, t, "assistant", call((f"c{t}", "add", {"a": {"$ref": f"c{t + 1}"}} if t + 1 < n else {"a": 1}))) for t in range(n)]
+    seq = {r["call_id"]: r["seq"] for r in run(spark, rows)}
+    assert all(seq[f"c{t}"] == n - t for t in range(n))
+
+
 def test_query_sorts_by_references(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'").collect()
     turns = {}
