@@ -68,6 +68,8 @@ def prepare(spark: SparkSession, data: str, work: str, split: str) -> None:
         store.delete(spark, at(f"parts{k}"))
     if truth is not None:
         pairs = truth.join(refs.select(F.col("entity_id").alias("ref_id"), "s1"), "ref_id").join(done.select(F.col("entity_id").alias("q_id"), "q"), "q_id")
+        if lost := truth.count() - pairs.count():
+            print(f"warning: {lost} listed pairs have an id that no source holds")
         kept = _save(pairs.groupBy("q").agg(F.min("s1").alias("s1"), F.count_distinct("s1").alias("claims")), at("truth"))
         if more := kept.where("claims > 1").count():
             print(f"warning: {more} queries are listed for several references; the first counts")
@@ -87,7 +89,8 @@ def retrieve(spark: SparkSession, work: str, split: str, k_name: int = 3, k_addr
         slim = queries.select("q", "country", "name_key", "addr_clean", "addr_empty")
         pairs = retrieval.score_pairs(slim_refs, slim, w_name) if exact else retrieval.retrieve_sketched(slim_refs, slim, w_name, k_name, k_addr, k_comb, dim)
         pairs = _save(pairs, store.at(spark, work, split, "scored_pairs"))
-        _save(retrieval.candidates(pairs, k_name, k_addr, k_comb), path)
+        found = retrieval.candidates(pairs, k_name, k_addr, k_comb)
+        _save(found.repartitionByRange("q").sortWithinPartitions("q", F.desc("comb"), "s1"), path)
         store.save_json(spark, params, tag)
     truth = store.at(spark, work, split, "truth")
     if not store.done(spark, truth):
