@@ -8,7 +8,7 @@ are asked for, and gives these their exact cosines from the same sparse weights.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -144,17 +144,24 @@ def _top(score: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-key, k - 1, axis=1)[:, :k] if n > k else np.broadcast_to(np.arange(n), score.shape)
 
 
+def gram_frequencies(ref: DataFrame, written: Callable[[DataFrame, str], DataFrame]) -> dict[str, DataFrame]:
+    """Document frequencies of the grams of both text columns of ``ref``, as tables that ``written`` keeps."""
+    return {c: written(document_frequency(gram_counts(ref, ["s1", "country"], c)), f"frequencies_{c}") for c in ("name_key", "addr_clean")}
+
+
 def retrieve_sketched(
-    ref: DataFrame, queries: DataFrame, w_name: float = 0.5, k_name: int = 3, k_addr: int = 3, k_comb: int = 8, dim: int = 1024, block: int = 4096, ref_block: int = 16384, wide: int = 8
+    ref: DataFrame, queries: DataFrame, w_name: float = 0.5, k_name: int = 3, k_addr: int = 3, k_comb: int = 8, dim: int = 1024, block: int = 4096, ref_block: int = 16384, wide: int = 8,
+    n: DataFrame | None = None, frequencies: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
     """(q, s1, sn, sa, w_name, comb) of each query's best by channel; ties to the smaller s1.
 
     Blocks of queries meet blocks of references of their country by an equi-join. Within a pair of blocks, the
     ``wide`` * k best of each channel by cosines of sketches (noise about 1 / sqrt(dim)) get their exact cosines, and
     the k best by these go on; a window then takes the best of all. Pairs without any cosine above zero are left out.
+    n (n_docs) and ``frequencies``: of all references, where ``ref`` is of some countries only.
     """
-    n = ref.agg(F.count("*").alias("n_docs"))
-    df = {c: store.written(document_frequency(gram_counts(ref, ["s1", "country"], c)), "frequencies") for c in ("name_key", "addr_clean")}
+    n = ref.agg(F.count("*").alias("n_docs")) if n is None else n
+    df = gram_frequencies(ref, store.written) if frequencies is None else frequencies
 
     # blocks for each country by its own number of records, so that a large country has more of them
     def blocked(docs: DataFrame, key: str, name: str, size: int, extra: list[str]) -> DataFrame:

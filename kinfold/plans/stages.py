@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +83,42 @@ def tables(spark: SparkSession, work: str, split: str) -> tuple[DataFrame, DataF
     return spark.read.parquet(store.at(spark, work, split, "refs")), spark.read.parquet(store.at(spark, work, split, "queries"))
 
 
+#: Queries of the countries that are retrieved together at least, unless there are no more.
+TOGETHER = 5_000_000
+
+
+def _by_countries(refs: DataFrame, queries: DataFrame, work: str, split: str, params: dict, together: int = TOGETHER) -> DataFrame:
+    """Scored pairs of the sketched retrieval, some countries after the others; what an interrupted run has finished with equal parameters is taken over.
+
+    Gram frequencies are those of all references. The number of countries is small: they are counted on the driver.
+    """
+    spark = refs.sparkSession
+    sizes = sorted(map(tuple, queries.where("country is not null").groupBy("country").count().collect()))
+    groups: list[list[str]] = []
+    held = together
+    for country, size in sizes:
+        if held >= together:
+            groups.append([])
+            held = 0
+        groups[-1].append(country)
+        held += size
+    shape = {**params, "refs": refs.count(), "queries": queries.count()}
+    at = lambda name: store.at(spark, work, split, "countries", name)
+    tag = lambda value: hashlib.md5(json.dumps(value, sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:16]
+    kept = lambda df, name: spark.read.parquet(at(name)) if store.done(spark, at(name)) else _save(df, at(name))
+    frequencies = retrieval.gram_frequencies(refs, lambda df, name: kept(df, f"{name}-{tag(shape)}"))
+    n = refs.agg(F.count("*").alias("n_docs"))
+    k = {x: params[x] for x in ("w_name", "k_name", "k_addr", "k_comb", "dim")}
+    done = []
+    for group in groups:
+        mine = F.col("country").isin(group)
+        path = at(f"pairs-{tag([shape, group])}")
+        if not store.done(spark, path):
+            _save(retrieval.retrieve_sketched(refs.where(mine), queries.where(mine), n=n, frequencies=frequencies, **k), path)
+        done.append(spark.read.parquet(path))
+    return reduce(DataFrame.unionByName, done) if done else retrieval.retrieve_sketched(refs, queries, n=n, frequencies=frequencies, **k)
+
+
 def retrieve(spark: SparkSession, work: str, split: str, k_name: int = 3, k_addr: int = 3, k_comb: int = 8, w_name: float = 0.5, dim: int = 1024, exact: bool = False) -> dict | None:
     """Candidates of a split, unless they exist with the same parameters; the report on train."""
     params = {"k_name": k_name, "k_addr": k_addr, "k_comb": k_comb, "w_name": w_name, "dim": dim, "exact": exact}
@@ -87,11 +127,12 @@ def retrieve(spark: SparkSession, work: str, split: str, k_name: int = 3, k_addr
     if not (store.done(spark, path) and store.exists(spark, tag) and store.load_json(spark, tag) == params):
         slim_refs = refs.select("s1", "country", "name_key", "addr_clean")
         slim = queries.select("q", "country", "name_key", "addr_clean", "addr_empty")
-        pairs = retrieval.score_pairs(slim_refs, slim, w_name) if exact else retrieval.retrieve_sketched(slim_refs, slim, w_name, k_name, k_addr, k_comb, dim)
+        pairs = retrieval.score_pairs(slim_refs, slim, w_name) if exact else _by_countries(slim_refs, slim, work, split, params)
         pairs = _save(pairs, store.at(spark, work, split, "scored_pairs"))
         found = retrieval.candidates(pairs, k_name, k_addr, k_comb)
         _save(found.repartitionByRange("q").sortWithinPartitions("q", F.desc("comb"), "s1"), path)
         store.save_json(spark, params, tag)
+        store.delete(spark, store.at(spark, work, split, "countries"))
     truth = store.at(spark, work, split, "truth")
     if not store.done(spark, truth):
         return None

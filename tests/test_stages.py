@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from kinfold.operators import retrieval
-from kinfold.plans import cli, model
+from kinfold.plans import cli, model, stages
 from kinfold.sources import tsv
 from kinfold.streaming.scoring import link_stream
 
@@ -85,6 +85,22 @@ def test_sketched_retrieval_agrees_with_the_exact_one(spark):
     assert sum(agree) / len(agree) > 0.9
 
 
+def test_countries_that_are_done_are_taken_over(spark, tmp_path):
+    rng = random.Random(3)
+    made_up = lambda n: [(i, rng.choice("abc"), " ".join(rng.sample(WORDS, 2)), " ".join(rng.sample(WORDS, 3))) for i in range(n)]
+    ref, queries = records(spark, made_up(60), "s1"), records(spark, made_up(40), "q")
+    params = {"k_name": 3, "k_addr": 3, "k_comb": 8, "w_name": 0.5, "dim": 512, "exact": False}
+    run = lambda **k: sorted(map(tuple, stages._by_countries(ref, queries, str(tmp_path), "test", params, **k).collect()))
+    whole = sorted(tuple(r) for r in retrieval.retrieve_sketched(ref, queries, dim=512).collect())
+    assert run() == whole and run(together=1) == whole
+    folders = sorted((tmp_path / "test" / "countries").glob("pairs-*"))
+    assert len(folders) == 4
+    stamps = {f: (f / "_SUCCESS").stat().st_mtime_ns for f in folders}
+    (folders[0] / "_SUCCESS").unlink()
+    assert run(together=1) == whole and run() == whole
+    assert sum((f / "_SUCCESS").stat().st_mtime_ns != t for f, t in stamps.items()) == 1
+
+
 def test_empty_and_foreign_queries_have_no_candidates(spark):
     ref = records(spark, [(1, "a", "oak", "pine")], "s1")
     queries = records(spark, [(1, "a", "", ""), (2, "z", "oak", "pine"), (3, "a", "oak", "")], "q")
