@@ -17,7 +17,7 @@ from .plans import model
 from .sources import store, tsv
 
 #: Most rounds of the boosting in gbt_score; it stops earlier where held-out rows tell.
-GBT_ROUNDS = 60
+GBT_ROUNDS = 25
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
