@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from . import common
+
 #: Families of languages by ISO 639-1 code; a language that isn't here is a family of its own.
 FAMILIES = {
     "da": "germanic", "de": "germanic", "en": "germanic", "nl": "germanic", "no": "germanic", "sv": "germanic",
@@ -128,12 +130,20 @@ def _train(x: np.ndarray, langs: np.ndarray, dims: int, families: dict[str, str]
 
 
 def sample_rows(labelled: DataFrame, text_col: str, lang_col: str, most: int) -> DataFrame:
-    """(text, lang): for each language the ``most`` distinct texts with the smallest hashes, one row each."""
+    """(text, lang): for each language the ``most`` distinct texts with the smallest hashes, one row each.
+
+    Only hashes are shuffled, and of a language with many texts only those below a bound that about 4 * ``most``
+    texts are below come to its task.
+    """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     hashed = rows.withColumn("h", F.xxhash64("text"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    chosen = hashed.select("lang", "h").distinct().withColumn("r", rank).where(F.col("r") <= most).drop("r")
-    return hashed.join(chosen, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("text", "lang")
+    place = F.pmod("h", F.lit(1 << 48))
+    hashes = common.cut(hashed.select("lang", "h").distinct(), "hashes")
+    counts = hashes.groupBy("lang").agg(F.count("*").alias("n"))  # a row for each language
+    low = hashes.join(counts, "lang").where(place * (F.col("n") / (4.0 * most)) < float(1 << 48))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(place, "h"))
+    chosen = common.cut(low.withColumn("r", rank).where(F.col("r") <= most).select("lang", "h"), "chosen")
+    return hashed.join(common.maybe_broadcast(chosen, chosen.count()), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("text", "lang")
 
 
 def fit_language_id(
