@@ -139,8 +139,8 @@ def sample_rows(labelled: DataFrame, text_col: str, lang_col: str, most: int) ->
     hashed = rows.withColumn("h", F.xxhash64("text"))
     place = F.pmod("h", F.lit(1 << 48))
     hashes = common.cut(hashed.select("lang", "h").distinct(), "hashes")
-    counts = hashes.groupBy("lang").agg(F.count("*").alias("n"))  # a row for each language
-    low = hashes.join(counts, "lang").where(place * (F.col("n") / (4.0 * most)) < float(1 << 48))
+    counts = common.cut(hashes.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    low = hashes.join(common.maybe_broadcast(counts, counts.count()), "lang").where(place * (F.col("n") / (4.0 * most)) < float(1 << 48))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(place, "h"))
     chosen = common.cut(low.withColumn("r", rank).where(F.col("r") <= most).select("lang", "h"), "chosen")
     return hashed.join(common.maybe_broadcast(chosen, chosen.count()), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("text", "lang")
