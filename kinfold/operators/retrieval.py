@@ -1,9 +1,11 @@
 """Reverse retrieval: each noisy record looks up its best reference records in its own country.
 
-The exact path is an inverted index over character 3-grams: TF-IDF weights, an equi-join on (country,
-gram), and windows for the top of three channels (name, address, blend). The scale path multiplies blocks
-of queries with blocks of references in sketches of ``dim`` signed dimensions, takes more of the best than
-are asked for, and gives these their exact cosines from the same sparse weights.
+The weights are TF-IDF of character 3-grams, the best are those of three channels (name, address, blend).
+The plain form (``score_pairs``) is an inverted index as an equi-join on (country, gram), which lists all pairs
+that share a gram. ``retrieve_exact`` has the same best from blocks of queries and references: a block's
+inverted index is read in memory and only the best of each query leave it. The sketched path multiplies
+blocks in sketches of ``dim`` signed dimensions, takes more of the best than are asked for, and gives these
+their exact cosines from the same sparse weights.
 """
 
 from __future__ import annotations
@@ -97,7 +99,171 @@ def candidates(pairs: DataFrame, k_name: int = 3, k_addr: int = 3, k_comb: int =
     return out.withColumns(stats).where((F.col("_comb") <= k_comb) | (F.col("_sn") <= k_name) | (F.col("_sa") <= k_addr)).drop(*ranks)
 
 
-# --- scale path ---------------------------------------------------------------------------------
+# --- exact path by blocks -----------------------------------------------------------------------
+
+_NEAR = 2e-6  # scores this close can change places when they are rounded to 6 digits
+
+
+class _Index:
+    """Inverted index of the distinct texts of a block of references, and of which text each reference has."""
+
+    def __init__(self, texts, sizes, grams, weights, of):
+        sizes = np.asarray(sizes, np.int64)
+        place = {t: i for i, t in enumerate(texts)}
+        self.at = np.fromiter((place[t] for t in of), np.int64, len(of))
+        self.n = len(sizes)
+        grams, weights, rows = np.asarray(grams, np.int64), np.asarray(weights, np.float64), np.repeat(np.arange(self.n), sizes)
+        if self.n == len(self.at):  # all differ: in the order of the references, so that nothing is looked up
+            rows, self.at = np.argsort(self.at)[rows], None
+        order = np.lexsort((rows, grams))
+        known, first = np.unique(grams[order], return_index=True)
+        ends = np.append(first[1:], len(order))
+        rows, weights = rows[order], weights[order]
+        self.posts = {g: (rows[a:b], weights[a:b]) for g, a, b in zip(known.tolist(), first.tolist(), ends.tolist(), strict=True)}
+
+    def cosines(self, grams: list, weights: list) -> np.ndarray:
+        """Cosine of one text with each text of the block."""
+        out = np.zeros(self.n)
+        for g, w in zip(grams, weights, strict=True):
+            if g in self.posts:
+                rows, theirs = self.posts[g]
+                out[rows] += w * theirs
+        return out
+
+    def spread(self, cosines: np.ndarray) -> np.ndarray:
+        """From texts to references."""
+        return cosines if self.at is None else cosines[self.at]
+
+
+def _at_least(score: np.ndarray, k: int) -> np.ndarray:
+    """Places of all scores that can be among the k best: those from the k-th best of k parts' maxima on (or from the k-th best on, if that leaves many)."""
+    if len(score) > 64 * k:
+        parts = 16 * k
+        width = len(score) // parts
+        low = np.partition(score[: width * parts].reshape(parts, width).max(axis=1), parts - k)[parts - k]
+        found = np.flatnonzero(score >= low - _NEAR)
+    else:
+        found = np.arange(len(score))
+    if len(found) > 4 * k:
+        mine = score[found]
+        found = found[mine >= np.partition(mine, len(mine) - k)[len(mine) - k] - _NEAR]
+    return found
+
+
+def _best(score: np.ndarray, shares: np.ndarray, rounded: Callable[[np.ndarray], np.ndarray], k: int) -> np.ndarray:
+    """Places of the k best of the pairs that share a gram, by the rounded score; ties to the smaller place."""
+    if k < 1:
+        return np.zeros(0, np.int64)
+    found = _at_least(score, k)
+    found = found[shares[found]]
+    if len(found) < k:  # the best are followed by pairs whose score is 0
+        found = np.flatnonzero(shares)
+    mine = rounded(found)
+    if len(found) > 4 * k:
+        kept = mine >= np.partition(mine, len(mine) - k)[len(mine) - k]
+        found, mine = found[kept], mine[kept]
+    return found[np.lexsort((found, -mine))[:k]]
+
+
+def _search(row: dict, k_name: int, k_addr: int, k_comb: int) -> Iterator[pd.DataFrame]:
+    """The best references of a block for each query of another, by channel. Queries of the same texts are one."""
+    s_ids, q_ids = np.asarray(row["ss_id"]), np.asarray(row["qs_id"])
+    index = {c: _Index(*(row[f"ss_{c}_{x}"] for x in ("text", "size", "g", "w", "of"))) for c in "na"}
+    theirs = {}
+    for c in "na":
+        ends = np.cumsum(np.asarray(row[f"qs_{c}_size"], np.int64)).tolist()
+        g, w = np.asarray(row[f"qs_{c}_g"], np.int64), np.asarray(row[f"qs_{c}_w"], np.float64)
+        theirs[c] = {t: (g[a:b].tolist(), w[a:b].tolist()) for t, a, b in zip(row[f"qs_{c}_text"], [0, *ends[:-1]], ends, strict=True)}
+    groups: dict = {}
+    for i, key in enumerate(zip(row["qs_a_of"], row["qs_n_of"], np.asarray(row["qs_w_name"], float).tolist(), strict=True)):
+        groups.setdefault(key, []).append(i)
+    kept: dict = {}
+    room = max(1, (1 << 22) // (1 + index["n"].n))
+    at, found, sa_of = [], [], None
+    for address, name, w in sorted(groups):
+        if name not in kept:
+            if len(kept) >= room:
+                kept.clear()
+            kept[name] = index["n"].cosines(*theirs["n"].get(name, ((), ())))
+        if sa_of != address:
+            sa_of, sa = address, index["a"].spread(index["a"].cosines(*theirs["a"].get(address, ((), ()))))
+        sn = index["n"].spread(kept[name])
+        shares = (sn > 0) | (sa > 0)
+        comb = w * sn + (1 - w) * sa
+        blend = lambda i: w * np.round(sn[i], 6) + (1 - w) * np.round(sa[i], 6)  # noqa: B023, E731
+        tops = [_best(comb, shares, blend, max(2, k_comb)), _best(sn, shares, lambda i: np.round(sn[i], 6), max(1, k_name)), _best(sa, shares, lambda i: np.round(sa[i], 6), max(1, k_addr))]  # noqa: B023
+        j = np.unique(np.concatenate(tops))
+        at.append((groups[address, name, w], j))
+        found.append((np.round(sn[j], 6), np.round(sa[j], 6), w, blend(j)))
+        if len(at) == 2048:
+            yield _listed(at, found, q_ids, s_ids)
+            at, found = [], []
+    if at:
+        yield _listed(at, found, q_ids, s_ids)
+
+
+def _listed(at: list, found: list, q_ids: np.ndarray, s_ids: np.ndarray) -> pd.DataFrame:
+    n = [len(mine) for mine, _ in at]
+    sizes = [len(j) for _, j in at]
+    many = lambda parts: np.concatenate([np.tile(x, k) for x, k in zip(parts, n, strict=True)])
+    q = np.concatenate([np.repeat(np.asarray(mine, np.int64), k) for (mine, _), k in zip(at, sizes, strict=True)])
+    w = np.concatenate([np.full(k * m, x[2]) for x, k, m in zip(found, n, sizes, strict=True)])
+    sn, sa, comb = (many([x[c] for x in found]) for c in (0, 1, 3))
+    return pd.DataFrame({"q": q_ids[q], "s1": s_ids[many([j for _, j in at])], "sn": sn, "sa": sa, "w_name": w, "comb": comb})
+
+
+def _text_weights(ref: DataFrame, queries: DataFrame, text: str, n: DataFrame) -> DataFrame:
+    """(text, g, w): the weights of each distinct text of references and queries."""
+    texts = ref.select(text).unionByName(queries.select(text)).distinct()
+    own = ref.groupBy(text).agg(F.count("*").alias("rows"))
+    df = own.select("rows", F.explode(F.array_distinct(char_grams(text))).alias("gram")).groupBy("gram").agg(F.sum("rows").alias("df"))
+    idf = F.log((F.col("n_docs") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
+    raw = gram_counts(texts, [text], text).join(df, "gram", "left").join(F.broadcast(n)).select(text, F.xxhash64("gram").alias("g"), (F.log1p("tf") * idf).alias("w"))  # n: one row
+    listed = raw.groupBy(text).agg(F.collect_list(F.struct("g", "w")).alias("s"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return listed.select(F.col(text).alias("text"), F.col("s.g").alias("g"), F.transform("s.w", lambda w: w / F.col("norm")).alias("w"))
+
+
+def retrieve_exact(
+    ref: DataFrame, queries: DataFrame, w_name: float = 0.5, k_name: int = 3, k_addr: int = 3, k_comb: int = 8, block: int = 32768, ref_block: int = 65536
+) -> DataFrame:
+    """(q, s1, sn, sa, w_name, comb): of ``score_pairs`` each query's best by channel (at least), for ``candidates``; ties to the smaller s1.
+
+    Blocks of queries meet blocks of references of their country by an equi-join. A block holds the weights of its distinct texts
+    once; within a pair of blocks each query's cosines are sums over the posting lists of its grams.
+    """
+    n = ref.agg(F.count("*").alias("n_docs"))
+    weights = {c: store.written(_text_weights(ref, queries, text, n), f"weights_{text}") for c, text in (("n", "name_key"), ("a", "addr_clean"))}
+
+    def blocked(docs: DataFrame, key: str, name: str, size: int, extra: list[str]) -> DataFrame:
+        sizes = docs.groupBy("country").agg(F.ceil(F.count("*") / size).alias("blocks"))
+        rows = docs.join(sizes, "country").withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")))
+        texts = {"n": F.coalesce("name_key", F.lit("")).alias("n_of"), "a": F.coalesce("addr_clean", F.lit("")).alias("a_of")}
+        listed = rows.select("country", "block", F.col(key).alias("id"), *texts.values(), *extra)
+        out = listed.groupBy("country", "block").agg(F.array_sort(F.collect_list(F.struct("id", "n_of", "a_of", *extra))).alias("r"))
+        out = out.select("country", "block", *(F.col(f"r.{c}").alias(f"{name}_{c}") for c in ("id", "n_of", "a_of", *extra)))
+        for c in "na":
+            w = listed.select("country", "block", F.col(f"{c}_of").alias("text")).distinct().join(weights[c], "text", "left")
+            empty = {"g": F.array().cast("array<bigint>"), "w": F.array().cast("array<double>")}
+            w = w.withColumns({x: F.coalesce(x, e) for x, e in empty.items()})
+            w = w.groupBy("country", "block").agg(F.collect_list(F.struct("text", "g", "w")).alias("t"))
+            flat = {"text": F.col("t.text"), "size": F.transform("t", lambda x: F.size(x["g"])), "g": F.flatten("t.g"), "w": F.flatten("t.w")}
+            out = out.join(w.select("country", "block", *(v.alias(f"{name}_{c}_{x}") for x, v in flat.items())), ["country", "block"])
+        return out.withColumnRenamed("block", f"{name}_block")
+
+    qb = blocked(queries.withColumn("w_name", blend_weight(w_name)), "q", "qs", block, ["w_name"])
+    sb = blocked(ref, "s1", "ss", ref_block, [])
+    met = sb.join(qb, "country").repartition("country", "qs_block", "ss_block").drop("country", "qs_block", "ss_block")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.to_dict("records"):
+                yield from _search(row, k_name, k_addr, k_comb)
+
+    kinds = dict(queries.dtypes)["q"], dict(ref.dtypes)["s1"]
+    return met.mapInPandas(run, f"q {kinds[0]}, s1 {kinds[1]}, sn double, sa double, w_name double, comb double")
+
+
+# --- sketched path ------------------------------------------------------------------------------
 
 
 class _Side:

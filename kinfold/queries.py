@@ -178,7 +178,7 @@ def gram_idf(spark, sf_dir):
 @query
 def topk_reverse(spark, sf_dir):
     ref, queries, _ = views.linkage(spark, sf_dir)
-    return retrieval.candidates(retrieval.score_pairs(ref, queries))
+    return retrieval.candidates(retrieval.retrieve_exact(ref, queries))
 
 
 @query
