@@ -203,7 +203,7 @@ def _featured(spark, sf_dir, exact=True):
     ref, queries, truth = views.linkage(spark, sf_dir)
     more = {"name_clean": F.col("name_key"), "nums": tx.encode_numbers(tx.address_numbers(tx.words("addr_clean"))), "name_native": F.lit(False)}
     ref, queries = ref.withColumns(more), queries.withColumns(more)
-    retrieve = retrieval.score_pairs if exact else retrieval.retrieve_sketched
+    retrieve = retrieval.retrieve_exact if exact else retrieval.retrieve_sketched
     pairs = retrieve(ref.select("s1", "country", "name_key", "addr_clean"), queries.select("q", "country", "name_key", "addr_clean", "addr_empty"))
     cands = store.written(retrieval.candidates(pairs), "candidates")
     return features.pair_features(cands, ref, queries), queries, truth

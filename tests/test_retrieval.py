@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinfold.operators import retrieval
+from kinfold.queries import QUERIES
 
 WORDS = ["oak", "elm", "pine", "birch", "larch", "yew", "road", "st", "42", "no7"]
 
@@ -37,3 +38,12 @@ def test_exact_blocks_of_empty_tables_and_texts(spark):
     assert [(r["q"], r["s1"], round(r["comb"], 6)) for r in retrieval.retrieve_exact(ref, queries).collect()] == [(3, 1, 1.0)]
     assert retrieval.retrieve_exact(ref.where("false"), queries).count() == 0
     assert retrieval.retrieve_exact(ref, queries.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["pair_features"])
+def test_query_lists_no_pairs_of_a_shared_gram(spark, sf_dir, monkeypatch, name):
+    def listed(*_, **__):
+        raise AssertionError("all pairs that share a gram")
+
+    monkeypatch.setattr(retrieval, "score_pairs", listed)
+    assert QUERIES[f"q_{name}"](spark, sf_dir).count() > 0
