@@ -7,12 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from . import views
 from .functions import similarity as sim
 from .functions import text as tx
-from .operators import aliases, decision, features, metrics, numbering, quality, retrieval, sampling
+from .operators import aliases, decision, dense, features, metrics, numbering, quality, retrieval, sampling
 from .plans import model
 from .sources import store, tsv
 
@@ -238,13 +237,7 @@ def gbt_score(spark, sf_dir):
 @query
 def topk_dense(spark, sf_dir):
     """The three nearest vectors of the same label by cosine, for every vector."""
-    v = views.table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    v = v.withColumn("norm", F.sqrt(dot("x", "x")))
-    other = v.select(F.col("vec_id").alias("near_id"), "label", F.col("x").alias("y"), F.col("norm").alias("near_norm"))
-    pairs = v.join(other, "label").where("vec_id <> near_id").select("vec_id", "near_id", F.round(dot("x", "y") / (F.col("norm") * F.col("near_norm")), 6).alias("cosine"))
-    rank = F.row_number().over(W.partitionBy("vec_id").orderBy(F.desc("cosine"), "near_id"))
-    return pairs.withColumn("rank", rank).where("rank <= 3")
+    return dense.nearest_of_label(views.table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), 3)
 
 
 def _string_pairs(spark, sf_dir):
