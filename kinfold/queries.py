@@ -190,7 +190,7 @@ def topk_sketched(spark, sf_dir):
 def sketch_recall(spark, sf_dir):
     """Shares of the exact candidates, and of each query's exact best by blend, that the sketched retrieval has."""
     ref, queries, _ = views.linkage(spark, sf_dir)
-    exact = store.written(retrieval.candidates(retrieval.score_pairs(ref, queries)), "exact")
+    exact = store.written(retrieval.candidates(retrieval.retrieve_exact(ref, queries)), "exact")
     found = retrieval.candidates(retrieval.retrieve_sketched(ref, queries)).select("q", "s1", F.lit(1).alias("hit"))
     both = exact.join(found, ["q", "s1"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
     tied = F.col("comb") == F.col("q_comb1")

@@ -40,7 +40,7 @@ def test_exact_blocks_of_empty_tables_and_texts(spark):
     assert retrieval.retrieve_exact(ref, queries.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["pair_features"])
+@pytest.mark.parametrize("name", ["pair_features", "sketch_recall"])
 def test_query_lists_no_pairs_of_a_shared_gram(spark, sf_dir, monkeypatch, name):
     def listed(*_, **__):
         raise AssertionError("all pairs that share a gram")
