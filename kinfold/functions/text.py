@@ -1,17 +1,22 @@
 """Normalisation of names and addresses as column expressions.
 
-``base_clean`` is the one Arrow function: Spark has no Unicode normal forms or case folding. All else
-takes cleaned columns and stays inside code generation. Null counts as empty throughout.
+Arrow functions are ``base_clean`` and ``casefold``, as Spark has no Unicode normal forms or case folding, and the replacing
+of words by dictionaries. All else takes cleaned columns and stays inside Spark's expressions. Null counts as empty throughout.
 """
 
 from __future__ import annotations
 
 import itertools
+import operator
 import re
 import unicodedata
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,7 +50,8 @@ def casefold(text: pd.Series) -> pd.Series:
 
 
 def is_ascii(c: Column | str) -> Column:
-    return _as_column(c).rlike(r"^[\x00-\x7F]*$")
+    """As many bytes as characters."""
+    return F.octet_length(_as_column(c)) == F.length(_as_column(c))
 
 
 def has_latin_letter(c: Column | str) -> Column:
@@ -54,13 +60,14 @@ def has_latin_letter(c: Column | str) -> Column:
 
 def is_non_latin(c: Column | str) -> Column:
     """A letter above U+024F."""
-    return _as_column(c).rlike(r"[\p{L}&&[^\x{0}-\x{24F}]]")
+    return ~is_ascii(c) & _as_column(c).rlike(r"[\p{L}&&[^\x{0}-\x{24F}]]")
 
 
 def punct_to_space(c: Column | str) -> Column:
     """All but letters, numbers and U+0900 to U+0DFF (with its vowel signs) become single spaces; trimmed."""
-    spaced = F.regexp_replace(F.coalesce(_as_column(c), F.lit("")), r"[^\p{L}\p{N}\s\x{0900}-\x{0DFF}]|_", " ")
-    return F.trim(F.regexp_replace(spaced, r"\s+", " "))
+    # a lone space is no match: most gaps are left as they are
+    kept = r"\p{L}\p{N}\x{0900}-\x{0DFF}"
+    return F.trim(F.regexp_replace(F.coalesce(_as_column(c), F.lit("")), f"[^{kept}]{{2,}}|[^{kept} ]", " "))
 
 
 def join_initials(c: Column | str) -> Column:
@@ -82,17 +89,68 @@ def name_tokens(clean: Column | str) -> Column:
     return words(join_initials(punct_to_space(spelled)))
 
 
-def looked_up(records: DataFrame, column: str, key: str, table: DataFrame, form: Callable[[Column], Column] = lambda x: x) -> DataFrame:
-    """``records`` with the elements of an array column replaced by a dictionary (native, latin), where ``form`` of the element is in it.
+#: Rows, and bytes of strings, up to which a dictionary goes to all tasks; a larger one is joined.
+HELD_ROWS, HELD_BYTES = 2_000_000, 64 << 20
 
-    A join of exploded elements, so that the dictionary may be of any size; only arrays with an element that
-    isn't ASCII take part. ``key`` is unique in ``records``. Several entries of a word: the smallest value.
+
+def _relisted(like: pa.ListArray, flat: pa.Array) -> pa.ListArray:
+    """Lists of the sizes of ``like`` with other elements."""
+    sizes = pc.fill_null(pc.list_value_length(like), 0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), flat, mask=like.is_null() if like.null_count else None)
+
+
+def _replaced(known: pa.Table):
+    """The elements of an array by their keys, another array of the same sizes, in a dictionary that all tasks hold."""
+    native, latin = (known.column(i).cast(pa.string()).combine_chunks() for i in range(2))
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def replaced(elements: pa.Array, keys: pa.Array) -> pa.Array:
+        at = pc.index_in(keys.flatten(), value_set=native)
+        return _relisted(elements, pc.coalesce(latin.take(at), elements.flatten()))
+
+    return replaced
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _replaced_by_own(elements: pa.Array, keys: pa.Array, native: pa.Array, latin: pa.Array) -> pa.Array:
+    """The elements of an array by their keys, from each row's own dictionary (null: none)."""
+    out = []
+    for x, k, n, v in zip(elements, keys, native, latin, strict=True):
+        x, n = x.as_py(), n.as_py()
+        own = dict(zip(n, v.as_py(), strict=True)) if n and x else {}
+        out.append([own.get(b, a) for a, b in zip(x, k.as_py(), strict=True)] if own else x)
+    return pa.array(out, pa.list_(pa.string()))
+
+
+def looked_up(records: DataFrame, columns: str | list[str], key: str, table: DataFrame, form: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``records`` with the elements of array columns replaced by a dictionary (native, latin), where ``form`` of the element is in it.
+
+    Only arrays with an element that isn't ASCII take part. A dictionary of up to HELD_ROWS and HELD_BYTES, by its count, goes to all tasks.
+    A larger one, of any size, is joined to the distinct elements of each row, of all columns at once, and what is found
+    goes back by ``key``, which is unique in ``records``. Several entries of a word: the smallest value.
     """
-    known = table.groupBy(F.col("native").alias("_t")).agg(F.min("latin").alias("_l"))
-    parts = records.where(F.exists(column, lambda x: ~is_ascii(x))).select(F.col(key).alias("_key"), F.posexplode(column).alias("_i", "_x"))
-    found = parts.withColumn("_t", form(F.col("_x"))).join(known, "_t", "left").select("_key", F.struct("_i", F.coalesce("_l", "_x").alias("x")).alias("_s"))
-    again = found.groupBy("_key").agg(F.array_sort(F.collect_list("_s")).alias("_s")).select("_key", F.col("_s.x").alias("_new"))
-    return records.join(again, records[key] == again["_key"], "left").withColumn(column, F.coalesce("_new", column)).drop("_key", "_new")
+    columns = [columns] if isinstance(columns, str) else columns
+    known = table.where("native is not null").groupBy(F.col("native").alias("_t")).agg(F.min("latin").alias("_l"))
+    rows, size = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_t") + F.octet_length("_l")), F.lit(0))).first()
+    takes_part = lambda c: F.exists(c, lambda x: ~is_ascii(x))
+    keys = {c: F.transform(c, form) if form else F.col(c) for c in columns}
+    if rows <= HELD_ROWS and size <= HELD_BYTES:
+        # the columns' arrays as one, so that a task holds the dictionary once
+        part = lambda c, x: F.when(takes_part(c), x).otherwise(F.array().cast("array<string>"))
+        out = records.withColumn("_all", F.concat(*(part(c, F.col(c)) for c in columns)))
+        every = F.concat(*(part(c, keys[c]) for c in columns)) if form else F.col("_all")
+        out, new, start = out.withColumn("_new", _replaced(known.toArrow())("_all", every)), {}, F.lit(1)
+        for c in columns:
+            new[c] = F.when(takes_part(c), F.slice("_new", start, F.size(c))).otherwise(F.col(c))
+            start = start + F.size(part(c, F.col(c)))
+        return out.withColumns(new).drop("_all", "_new")
+    asked = F.flatten(F.array(*(F.when(takes_part(c), keys[c]).otherwise(F.array().cast("array<string>")) for c in columns)))
+    parts = records.select(F.col(key).alias("_key"), F.explode(F.array_distinct(asked)).alias("_t"))
+    own = parts.join(known, "_t").groupBy("_key").agg(F.collect_list(F.struct("_t", "_l")).alias("_s")).select("_key", F.col("_s._t").alias("_n"), F.col("_s._l").alias("_v"))
+    joined = records.join(own, records[key] == own["_key"], "left")
+    none = F.lit(None).cast("array<string>")
+    return joined.withColumns({c: _replaced_by_own(F.col(c), keys[c], F.when(takes_part(c), F.col("_n")).otherwise(none), F.col("_v")) for c in columns}).drop("_key", "_n", "_v")
 
 
 def leet_fold(c: Column | str) -> Column:
@@ -107,12 +165,11 @@ def name_key(tokens: Column | str, folded: Column | str) -> Column:
     """What identifies a name: without legal and domain words, and without a top-level domain after a dot
     in ``folded``, the case-folded raw name, unless it comes first; leet folded. A name of nothing else is kept whole."""
     tokens, folded = _as_column(tokens), F.coalesce(_as_column(folded), F.lit(""))
-    empty = F.array(*map(F.lit, [*tables.LEGAL_WORDS, *tables.DOMAIN_WORDS]))
-    domains = F.array(*map(F.lit, tables.TOP_LEVEL_DOMAINS))
+    empty, domains = [*tables.LEGAL_WORDS, *tables.DOMAIN_WORDS], [*tables.TOP_LEVEL_DOMAINS]
 
     def kept(t: Column, i: Column) -> Column:
-        after_dot = (i > 0) & F.array_contains(domains, t) & F.contains(folded, F.concat(F.lit("."), t))
-        return ~F.array_contains(empty, t) & ~after_dot
+        after_dot = (i > 0) & t.isin(domains) & F.contains(folded, F.concat(F.lit("."), t))
+        return ~t.isin(empty) & ~after_dot
 
     some = F.transform(F.filter(tokens, kept), lambda t: F.when(is_ascii(t) & ~t.rlike("^[0-9]+$"), leet_fold(t)).otherwise(t))
     every = F.transform(tokens, lambda t: F.when(is_ascii(t), leet_fold(t)).otherwise(t))
@@ -137,12 +194,16 @@ def split_glued(c: Column | str) -> Column:
 
 def state_phrases(c: Column | str) -> Column:
     """State names of several words by their codes, longest first."""
-    c = _as_column(c)
     bound = r"(?<![\p{{L}}\p{{N}}_])(?:{})(?![\p{{L}}\p{{N}}_])"
-    out = c
-    for phrase, code in tables.STATE_PHRASES.items():
-        out = F.regexp_replace(out, bound.format(phrase), code)
-    return F.when(c.rlike(bound.format("|".join(tables.STATE_PHRASES))), out).otherwise(c)
+
+    def coded(whole: Column) -> Column:
+        """``whole`` is a lambda's argument, so that it is made once; where no name is found as a plain string, nothing is matched."""
+        out = whole
+        for phrase, code in tables.STATE_PHRASES.items():
+            out = F.regexp_replace(out, bound.format(phrase), code)
+        return F.when(reduce(operator.or_, (F.contains(whole, F.lit(x)) for x in tables.STATE_PHRASES)), out).otherwise(whole)
+
+    return F.get(F.transform(F.array(_as_column(c)), coded), F.lit(0))
 
 
 def _is_number(t: Column) -> Column:
@@ -161,12 +222,11 @@ def address_words(clean: Column | str) -> Column:
 def address_tokens(tokens: Column) -> Column:
     """Normalised words of an address's words: states, abbreviations, numbers."""
     tokens = words(state_phrases(F.array_join(tokens, " ")))
-    drop = F.array(*map(F.lit, tables.ADDRESS_DROP))
-    states, short = literal_map(tables.STATE_WORDS), literal_map(tables.ADDRESS_SHORT)
-    tokens = F.transform(tokens, lambda t: F.when(_is_number(t), _number(t)).otherwise(F.regexp_replace(t, "^(.+)township$", "$1")))
-    tokens = F.filter(tokens, lambda t: ~F.array_contains(drop, t))
-    tokens = F.transform(tokens, lambda t: F.coalesce(F.try_element_at(states, t), t))
-    return F.transform(tokens, lambda t: F.coalesce(F.try_element_at(short, t), t))
+    known = lambda t, values: F.when(t.isin([*values]), F.try_element_at(literal_map(values), t)).otherwise(t)
+    tokens = F.transform(tokens, lambda t: F.when(_is_number(t), _number(t)).when(t.endswith("township"), F.regexp_replace(t, "^(.+)township$", "$1")).otherwise(t))
+    tokens = F.filter(tokens, lambda t: ~t.isin([*tables.ADDRESS_DROP]))
+    tokens = F.transform(tokens, lambda t: known(t, tables.STATE_WORDS))
+    return F.transform(tokens, lambda t: known(t, tables.ADDRESS_SHORT))
 
 
 def address_numbers(tokens: Column | str) -> Column:
@@ -193,8 +253,7 @@ def normalise(records: DataFrame, aliases: DataFrame | None = None, segments: Da
         out = looked_up(out.withColumn("_ac", F.split(F.coalesce("_ac", F.lit("")), ",", -1)), "_ac", key, segments, punct_to_space).withColumn("_ac", F.array_join("_ac", ","))
     out = out.withColumns({"_nt": name_tokens("_nc"), "_at": address_words("_ac"), "country": F.lower(F.trim("country"))})
     if aliases is not None:
-        for c in ("_nt", "_at"):
-            out = looked_up(out, c, key, aliases).withColumn(c, words(F.array_join(c, " ")))
+        out = looked_up(out, ["_nt", "_at"], key, aliases).withColumns({c: words(F.array_join(c, " ")) for c in ("_nt", "_at")})
     out = out.withColumn("_at", address_tokens(F.col("_at"))).withColumns(
         {
             "name_clean": name_clean("_nt"),

@@ -25,9 +25,15 @@ def learn_name_aliases(pairs: DataFrame, min_count: int = 2, min_share: float =
 
     Words are aligned by place, where the numbers of words agree and the match has a native word.
     """
-    aligned = pairs.where((F.size("ref_tokens") == F.size("match_tokens")) & F.exists("match_tokens", text.is_non_latin))
-    aligned = aligned.select(F.explode(F.arrays_zip("match_tokens", "ref_tokens")).alias("z")).select(F.col("z.match_tokens").alias("native"), F.col("z.ref_tokens").alias("latin"))
-    return most_common(aligned.where(text.is_non_latin("native") & text.is_ascii("latin")), "native", "latin", min_count, min_share)
+
+    def aligned(both: Column) -> Column:
+        """Pairs of one row's words; ``both`` is a lambda's argument, so that its words are made once."""
+        zipped = F.arrays_zip(both["match_tokens"].alias("native"), both["ref_tokens"].alias("latin"))
+        return F.filter(F.when(F.size(both["ref_tokens"]) == F.size(both["match_tokens"]), zipped), lambda z: ~text.is_ascii(z["native"]) & text.is_ascii(z["latin"]))
+
+    words = F.flatten(F.filter(F.transform(F.array(F.struct("ref_tokens", "match_tokens")), aligned), F.isnotnull))
+    found = pairs.select(F.inline(words)).toDF("native", "latin")
+    return most_common(found.where(text.is_non_latin("native")), "native", "latin", min_count, min_share)
 
 
 def learn_segment_aliases(pairs: DataFrame, min_count: int = 3, min_share: float = 0.3) -> DataFrame:

@@ -84,10 +84,11 @@ def segment_aliases(spark, sf_dir):
 @query
 def dictionary(spark, sf_dir):
     """Names and addresses with native words and segments, normalised with the dictionaries learned from all texts."""
-    known = [store.written(f(spark, sf_dir).select("native", "latin"), "dictionary") for f in (_name_aliases, _segment_aliases)]
+    known = [store.settled(lambda: f(spark, sf_dir).select("native", "latin"), "dictionary") for f in (_name_aliases, _segment_aliases)]  # noqa: B023
     texts = views.native_texts(spark, sf_dir)
     records = texts.select(F.col("doc_id").alias("entity_id"), F.col("native").alias("name"), F.col("mixed").alias("address"), F.col("lang").alias("country"))
-    return tx.normalise(records, *known, unicode=False).select("entity_id", "name_clean", "addr_clean")
+    out = tx.normalise(records, *known, unicode=False).select("entity_id", "name_clean", "addr_clean")
+    return store.written(out, "normalised", arrow_rows=512)  # whole texts
 
 
 @query

@@ -6,7 +6,7 @@ import json
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -121,11 +121,39 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` from a table in the shared folder, which goes when the driver's JVM ends."""
+#: For each open settled(), the tables that were written since.
+_passing: list[list[str]] = []
+
+
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
+    """``df`` from a table in the shared folder, which goes when the driver's JVM ends. arrow_rows: most rows of an Arrow batch, for wide ones."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kinfold-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    before = spark.conf.get(_ARROW_ROWS)
+    if arrow_rows:
+        spark.conf.set(_ARROW_ROWS, str(min(int(before), arrow_rows)))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ARROW_ROWS, before)
     made, fs = _path(spark, path)
     fs.deleteOnExit(made.getParent())
+    for tables in _passing:
+        tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, written; the tables that were written on the way go at once."""
+    _passing.append([])
+    try:
+        df = make()
+    finally:
+        tables = _passing.pop()
+    out = written(df, name)
+    for path in tables:
+        delete(out.sparkSession, path)
+    return out
