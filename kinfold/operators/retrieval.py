@@ -83,16 +83,19 @@ def query_stats(pairs: DataFrame) -> DataFrame:
     return top.join(pairs.groupBy("q").agg(F.max("sn").alias("q_sn1"), F.max("sa").alias("q_sa1")), "q")
 
 
-def candidates(pairs: DataFrame, k_name: int = 3, k_addr: int = 3, k_comb: int = 8) -> DataFrame:
+def candidates(pairs: DataFrame, k_name: int = 3, k_addr: int = 3, k_comb: int = 8, few: bool = False) -> DataFrame:
     """Union of the three channels' best, each pair once, with its query's statistics.
 
     Each channel is limited before anything is shuffled; what a query's statistics need is among the kept pairs
-    (the blend's first two, and the best name and address).
+    (the blend's first two, and the best name and address). few: the pairs are few and each is there once, as a retrieval
+    by blocks leaves them; then they are shuffled as they are, so that they are made once and not for each channel.
     """
     slim = pairs.select("q", "s1", "sn", "sa", "w_name", "comb")
-    kept = [best_by(slim, c, k).drop("_k") for c, k in (("comb", max(2, k_comb)), ("sn", max(1, k_name)), ("sa", max(1, k_addr)))]
     ranks = {f"_{c}": F.row_number().over(W.partitionBy("q").orderBy(F.desc(c), "s1")) for c in ("comb", "sn", "sa")}
-    out = kept[0].unionByName(kept[1]).unionByName(kept[2]).dropDuplicates(["q", "s1"]).withColumns(ranks)
+    if not few:
+        kept = [best_by(slim, c, k).drop("_k") for c, k in (("comb", max(2, k_comb)), ("sn", max(1, k_name)), ("sa", max(1, k_addr)))]
+        slim = kept[0].unionByName(kept[1]).unionByName(kept[2]).dropDuplicates(["q", "s1"])
+    out = slim.withColumns(ranks)
     by = W.partitionBy("q")
     second = F.max(F.when(F.col("_comb") == 2, F.col("comb"))).over(by)
     stats = {"q_comb1": F.max("comb").over(by), "q_comb2": F.coalesce(second, F.lit(0.0)), "q_sn1": F.max("sn").over(by), "q_sa1": F.max("sa").over(by)}
@@ -212,17 +215,36 @@ def _listed(at: list, found: list, q_ids: np.ndarray, s_ids: np.ndarray) -> pd.D
     return pd.DataFrame({"q": q_ids[q], "s1": s_ids[many([j for _, j in at])], "sn": sn, "sa": sa, "w_name": w, "comb": comb})
 
 
-def _text_weights(ref: DataFrame, queries: DataFrame, text: str, n: DataFrame) -> DataFrame:
-    """(text, g, w): the weights of each distinct text of references and queries."""
+def _text_weights(ref: DataFrame, queries: DataFrame, text: str, n: DataFrame, df: DataFrame | None = None) -> DataFrame:
+    """(text, g, w): the weights of each distinct text of references and queries. df: (gram, df) where ``ref`` isn't all references."""
     texts = ref.select(text).unionByName(queries.select(text)).distinct()
-    own = ref.groupBy(text).agg(F.count("*").alias("rows"))
-    df = own.select("rows", F.explode(F.array_distinct(char_grams(text))).alias("gram")).groupBy("gram").agg(F.sum("rows").alias("df"))
+    if df is None:
+        own = ref.groupBy(text).agg(F.count("*").alias("rows"))
+        df = own.select("rows", F.explode(F.array_distinct(char_grams(text))).alias("gram")).groupBy("gram").agg(F.sum("rows").alias("df"))
     idf = F.log((F.col("n_docs") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
     raw = gram_counts(texts, [text], text).join(df, "gram", "left").join(F.broadcast(n)).select(text, F.xxhash64("gram").alias("g"), (F.log1p("tf") * idf).alias("w"))  # n: one row
     listed = raw.groupBy(text).agg(F.collect_list(F.struct("g", "w")).alias("s"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return listed.select(F.col(text).alias("text"), F.col("s.g").alias("g"), F.transform("s.w", lambda w: w / F.col("norm")).alias("w"))
 
 
+def _blocked(docs: DataFrame, key: str, name: str, size: int, extra: list[str], weights: dict[str, DataFrame]) -> DataFrame:
+    """Blocks of about ``size`` records of a country: ids and texts of the records, and the weights of their distinct texts once, as flat arrays."""
+    sizes = docs.groupBy("country").agg(F.ceil(F.count("*") / size).alias("blocks"))
+    rows = docs.join(sizes, "country").withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")))
+    texts = {"n": F.coalesce("name_key", F.lit("")).alias("n_of"), "a": F.coalesce("addr_clean", F.lit("")).alias("a_of")}
+    listed = rows.select("country", "block", F.col(key).alias("id"), *texts.values(), *extra)
+    out = listed.groupBy("country", "block").agg(F.array_sort(F.collect_list(F.struct("id", "n_of", "a_of", *extra))).alias("r"))
+    out = out.select("country", "block", *(F.col(f"r.{c}").alias(f"{name}_{c}") for c in ("id", "n_of", "a_of", *extra)))
+    for c in "na":
+        w = listed.select("country", "block", F.col(f"{c}_of").alias("text")).distinct().join(weights[c], "text", "left")
+        empty = {"g": F.array().cast("array<bigint>"), "w": F.array().cast("array<double>")}
+        w = w.withColumns({x: F.coalesce(x, e) for x, e in empty.items()})
+        w = w.groupBy("country", "block").agg(F.collect_list(F.struct("text", "g", "w")).alias("t"))
+        flat = {"text": F.col("t.text"), "size": F.transform("t", lambda x: F.size(x["g"])), "g": F.flatten("t.g"), "w": F.flatten("t.w")}
+        out = out.join(w.select("country", "block", *(v.alias(f"{name}_{c}_{x}") for x, v in flat.items())), ["country", "block"])
+    return out.withColumnRenamed("block", f"{name}_block")
+
+
 def retrieve_exact(
     ref: DataFrame, queries: DataFrame, w_name: float = 0.5, k_name: int = 3, k_addr: int = 3, k_comb: int = 8, block: int = 32768, ref_block: int = 65536
 ) -> DataFrame:
@@ -234,24 +256,8 @@ def retrieve_exact(
     n = ref.agg(F.count("*").alias("n_docs"))
     weights = {c: store.written(_text_weights(ref, queries, text, n), f"weights_{text}") for c, text in (("n", "name_key"), ("a", "addr_clean"))}
 
-    def blocked(docs: DataFrame, key: str, name: str, size: int, extra: list[str]) -> DataFrame:
-        sizes = docs.groupBy("country").agg(F.ceil(F.count("*") / size).alias("blocks"))
-        rows = docs.join(sizes, "country").withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")))
-        texts = {"n": F.coalesce("name_key", F.lit("")).alias("n_of"), "a": F.coalesce("addr_clean", F.lit("")).alias("a_of")}
-        listed = rows.select("country", "block", F.col(key).alias("id"), *texts.values(), *extra)
-        out = listed.groupBy("country", "block").agg(F.array_sort(F.collect_list(F.struct("id", "n_of", "a_of", *extra))).alias("r"))
-        out = out.select("country", "block", *(F.col(f"r.{c}").alias(f"{name}_{c}") for c in ("id", "n_of", "a_of", *extra)))
-        for c in "na":
-            w = listed.select("country", "block", F.col(f"{c}_of").alias("text")).distinct().join(weights[c], "text", "left")
-            empty = {"g": F.array().cast("array<bigint>"), "w": F.array().cast("array<double>")}
-            w = w.withColumns({x: F.coalesce(x, e) for x, e in empty.items()})
-            w = w.groupBy("country", "block").agg(F.collect_list(F.struct("text", "g", "w")).alias("t"))
-            flat = {"text": F.col("t.text"), "size": F.transform("t", lambda x: F.size(x["g"])), "g": F.flatten("t.g"), "w": F.flatten("t.w")}
-            out = out.join(w.select("country", "block", *(v.alias(f"{name}_{c}_{x}") for x, v in flat.items())), ["country", "block"])
-        return out.withColumnRenamed("block", f"{name}_block")
-
-    qb = blocked(queries.withColumn("w_name", blend_weight(w_name)), "q", "qs", block, ["w_name"])
-    sb = blocked(ref, "s1", "ss", ref_block, [])
+    qb = _blocked(queries.withColumn("w_name", blend_weight(w_name)), "q", "qs", block, ["w_name"], weights)
+    sb = _blocked(ref, "s1", "ss", ref_block, [], weights)
     met = sb.join(qb, "country").repartition("country", "qs_block", "ss_block").drop("country", "qs_block", "ss_block")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -267,47 +273,169 @@ def retrieve_exact(
 
 
 class _Side:
-    """The sparse weights of a block's records in one channel, on numbered grams."""
-
-    def __init__(self, sizes, grams, weights):
-        self.sizes, self.grams, self.weights = np.asarray(sizes, np.int64), np.asarray(grams, np.int64), np.asarray(weights, np.float64)
-        self.ends = np.cumsum(self.sizes)
-        self.rows = np.repeat(np.arange(len(self.sizes)), self.sizes)
-
-    def sketched(self, dim: int) -> np.ndarray:
-        """Weights in ``dim`` signed dimensions, scaled to length 1 for each record."""
-        at = self.rows * dim + self.grams % dim
-        out = np.bincount(at, np.where((self.grams >> 40) & 1, -self.weights, self.weights), minlength=len(self.sizes) * dim).reshape(-1, dim)
-        norm = np.linalg.norm(out, axis=1, keepdims=True)
-        return (out / np.where(norm == 0, 1, norm)).astype(np.float32)
+    """The sparse weights of the distinct texts of a block in one channel, and which text each record has."""
+
+    def __init__(self, row: dict, name: str):
+        place = {t: i for i, t in enumerate(row[f"{name}_text"])}
+        self.of = np.fromiter((place[t] for t in row[f"{name}_of"]), np.int64, len(row[f"{name}_of"]))
+        self.sizes, self.weights = np.asarray(row[f"{name}_size"], np.int64), np.asarray(row[f"{name}_w"], np.float64)
+        self.grams = np.asarray(row[f"{name}_g"], np.int64) & np.int64(2**63 - 1)
+        self.n, self.ends = len(self.sizes), np.cumsum(self.sizes)
+        self.rows = np.repeat(np.arange(self.n), self.sizes)
+
+    def sketched(self, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, dimension, value) of weights in ``dim`` signed dimensions, scaled to length 1 for each text, in the order of the texts."""
+        cells, at = np.unique(self.rows * dim + self.grams % dim, return_inverse=True)
+        out = np.bincount(at, np.where((self.grams >> 40) & 1, -self.weights, self.weights), minlength=len(cells))
+        rows, dims = np.divmod(cells, dim)
+        norm = np.sqrt(np.bincount(rows, out * out, minlength=self.n))
+        return rows, dims, (out / np.where(norm == 0, 1, norm)[rows]).astype(np.float32)
 
     def numbered(self, known: np.ndarray) -> np.ndarray:
         """The place of each gram in ``known``, sorted; one beyond for others."""
         at = np.searchsorted(known, self.grams)
         return np.where((at < len(known)) & (known[np.minimum(at, len(known) - 1)] == self.grams), at, len(known)) if len(known) else np.zeros(len(self.grams), np.int64)
 
-    def part(self, first: int, last: int) -> slice:
-        return slice(self.ends[first] - self.sizes[first], self.ends[last - 1])
-
-
-def _exact(q: _Side, q_at: np.ndarray, first: int, last: int, s: _Side, s_at: np.ndarray, known: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Cosines of the pairs (first + i, j) of queries from ``first`` to ``last`` and references, to 6 places."""
-    mine = q.part(first, last)
-    dense = np.zeros((last - first, known + 1))
-    dense[q.rows[mine] - first, q_at[mine]] = q.weights[mine]
-    dense[:, known] = 0
-    sizes = s.sizes[j]
-    ends = np.cumsum(sizes)
-    at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes) + np.repeat(s.ends[j] - sizes, sizes)
-    terms = dense[np.repeat(i, sizes), s_at[at]] * s.weights[at]
-    return np.round(np.bincount(np.repeat(np.arange(len(i)), sizes), terms, minlength=len(i)), 6)
-
-
-def _top(score: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best of each row; equal scores (to 5 places) by place."""
+    def cells(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of ``some`` texts, place in the flat arrays) of their weights."""
+        sizes = self.sizes[some]
+        ends = np.cumsum(sizes)
+        return np.repeat(np.arange(len(some)), sizes), np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.ends[some] - ends, sizes)
+
+
+class _Channel:
+    """Sketches of two blocks' distinct texts in one channel: posting lists of the references' dimensions, and a matrix of those that many of them have."""
+
+    def __init__(self, q: _Side, s: _Side, dim: int):
+        self.q, self.s = q, s
+        self.known = np.unique(s.grams)
+        self.q_at, self.s_at = q.numbered(self.known), s.numbered(self.known)
+        rows, dims, values = s.sketched(dim)
+        order = np.argsort(dims, kind="stable")
+        rows, values, ends = rows[order], values[order], np.searchsorted(dims[order], np.arange(dim + 1))
+        many = np.flatnonzero(np.diff(ends) * 16 > s.n)[: max(1, (1 << 25) // max(1, s.n))]
+        self.column = np.full(dim, -1)
+        self.column[many] = np.arange(len(many))
+        self.matrix = np.zeros((len(many), s.n), np.float32)
+        for i, d in enumerate(many):
+            self.matrix[i, rows[ends[d] : ends[d + 1]]] = values[ends[d] : ends[d + 1]]
+        self.posts = {d: (rows[ends[d] : ends[d + 1]], values[ends[d] : ends[d + 1]]) for d in np.flatnonzero(np.diff(ends)).tolist() if self.column[d] < 0}
+        self.all_differ = s.n == len(s.of)
+        self.mine = q.sketched(dim)
+        self.first = np.searchsorted(self.mine[0], np.arange(q.n + 1))
+
+    def cosines(self, some: np.ndarray) -> np.ndarray:
+        """Cosines of sketches, 0 at least: a row for each of ``some`` texts of the queries, a column for each reference."""
+        _, dims, values = self.mine
+        left, rest = np.zeros((len(some), len(self.matrix)), np.float32), []
+        for i, t in enumerate(some.tolist()):
+            mine, w = dims[self.first[t] : self.first[t + 1]], values[self.first[t] : self.first[t + 1]]
+            at = self.column[mine]
+            left[i, at[at >= 0]] = w[at >= 0]
+            rest.append((mine[at < 0].tolist(), w[at < 0]))
+        out = left @ self.matrix
+        for row, (mine, w) in zip(out, rest, strict=True):
+            for d, x in zip(mine, w, strict=True):
+                if d in self.posts:
+                    rows, theirs = self.posts[d]
+                    row[rows] += x * theirs
+        np.maximum(out, 0, out=out)
+        return out if self.all_differ and np.array_equal(self.s.of, np.arange(self.s.n)) else np.take(out, self.s.of, axis=1)
+
+    def exact(self, some: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Cosines of the pairs of the text some[i] and the reference j, to 6 places."""
+        pairs, back = np.unique(i * (1 + self.s.n) + self.s.of[j], return_inverse=True)
+        i, j = np.divmod(pairs, 1 + self.s.n)
+        dense = np.zeros((len(some), len(self.known) + 1))
+        of, at = self.q.cells(some)
+        dense[of, self.q_at[at]] = self.q.weights[at]
+        dense[:, len(self.known)] = 0
+        of, at = self.s.cells(j)
+        return np.round(np.bincount(of, dense[i[of], self.s_at[at]] * self.s.weights[at], minlength=len(j)), 6)[back]
+
+
+def _top(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of the k best of each row; equal scores (to 5 places) by place. Scores are 0 to 1 and are rounded in place."""
     n = score.shape[1]
-    key = np.round(score * 1e5).astype(np.int64) * (1 << 21) - np.arange(n)
-    return np.argpartition(-key, k - 1, axis=1)[:, :k] if n > k else np.broadcast_to(np.arange(n), score.shape)
+    if n <= k:
+        return np.repeat(np.arange(len(score)), n), np.tile(np.arange(n), len(score))
+    np.multiply(score, 1e5, out=score)
+    np.rint(score, out=score)
+    parts = min(n, 16 * k)  # the k-th best of the parts' maxima is the k-th best of all at most
+    low = np.partition(score[:, : n // parts * parts].reshape(len(score), -1, parts).max(axis=1), parts - k, axis=1)[:, parts - k]
+    i, j = np.divmod(np.flatnonzero(score >= np.maximum(low, 1)[:, None]), n)
+    counts = np.bincount(i, minlength=len(score))
+    few = np.flatnonzero(counts < k)  # of scores of 0 the first places
+    if len(few):
+        more = [np.flatnonzero(score[r, :k] < 1)[: k - counts[r]] for r in few]
+        i, j = np.concatenate([i, np.repeat(few, [len(m) for m in more])]), np.concatenate([j, *more])
+    key = (i << 38) | ((1 << 17) - 1 - score[i, j].astype(np.int64) << 21) | j
+    key.sort()
+    i, j = key >> 38, key & ((1 << 21) - 1)
+    kept = np.arange(len(i)) - np.searchsorted(i, np.arange(len(score)))[i] < k
+    return i[kept], j[kept]
+
+
+def _first(i: np.ndarray, j: np.ndarray, sn: np.ndarray, sa: np.ndarray, comb: np.ndarray, k: tuple[int, int, int]) -> np.ndarray:
+    """Which of the pairs (i, j) are among the k best of their i by name, address or blend; ties to the smaller j. Pairs with no cosine above zero aren't."""
+    keep = np.zeros(len(i), bool)
+    for score, most in zip((sn, sa, comb), k, strict=True):
+        order = np.lexsort((j, -score, i))
+        first = np.concatenate(([True], i[order][1:] != i[order][:-1]))[: len(i)]
+        rank = np.arange(len(i)) - np.maximum.accumulate(np.where(first, np.arange(len(i)), 0))
+        keep[order[rank < most]] = True
+    return keep & ((sn > 0) | (sa > 0))
+
+
+class _Asked:
+    """The queries of a block: those of the same texts and weight are asked once."""
+
+    def __init__(self, row: dict, name: _Side, address: _Side):
+        weights, w = np.unique(np.asarray(row["qs_w_name"], float), return_inverse=True)
+        keys, at = np.unique((address.of * name.n + name.of) * len(weights) + w, return_inverse=True)
+        self.ids, self.n = np.asarray(row["qs_id"])[np.argsort(at, kind="stable")], len(keys)
+        self.ends = np.cumsum(np.bincount(at, minlength=len(keys)))
+        texts, w = np.divmod(keys, len(weights))
+        self.w, (self.address, self.name) = weights[w], np.divmod(texts, name.n)
+
+    def listed(self, i: np.ndarray, s1: np.ndarray, sn: np.ndarray, sa: np.ndarray, comb: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Rows of all queries from those of the questions."""
+        many = np.diff(self.ends, prepend=0)[i]
+        ends = np.cumsum(many)
+        for at in range(0, int(ends[-1]) if len(ends) else 0, 1 << 18):
+            flat = np.arange(at, min(at + (1 << 18), int(ends[-1])))
+            of = np.searchsorted(ends, flat, side="right")
+            q = self.ids[self.ends[i[of]] - ends[of] + flat]
+            yield pd.DataFrame({"q": q, "s1": s1[of], "sn": sn[of], "sa": sa[of], "w_name": self.w[i[of]], "comb": comb[of]})
+
+
+def _sketch_search(row: dict, asked: _Asked, sides: dict[str, _Side], dim: int, wide: int, k: tuple[int, int, int]) -> list[np.ndarray]:
+    """(question, s1, sn, sa, comb) of the best of a block of references."""
+    ids = np.asarray(row["ss_id"])
+    name, address = (_Channel(sides[c], _Side(row, f"ss_{c}"), dim) for c in "na")
+    step = max(1, min(512, (1 << 20) // len(ids), (1 << 24) // (1 + max(len(name.known), len(address.known)))))
+    found = []
+    for at in range(0, asked.n, step):
+        part, w = slice(at, at + step), asked.w[at : at + step]
+        (n_some, n_of), (a_some, a_of) = (np.unique(texts[part], return_inverse=True) for texts in (asked.name, asked.address))
+        n_cos, a_cos = name.cosines(n_some), address.cosines(a_some)
+        blend = np.empty((len(w), len(ids)), np.float32)
+        for r, x in enumerate(w.tolist()):
+            np.multiply(n_cos[n_of[r]], x, out=blend[r])
+            blend[r] += a_cos[a_of[r]] * np.float32(1 - x)
+        pairs = [np.add(*(x * y for x, y in zip(_top(blend, wide * k[2]), (len(ids), 1), strict=True)))]
+        for cosines, of, most in ((n_cos, n_of, k[0]), (a_cos, a_of, k[1])):
+            i, j = _top(cosines, wide * most)
+            size = np.bincount(i, minlength=len(cosines))
+            r, x = np.repeat(np.arange(len(of)), size[of]), np.cumsum(size) - size
+            flat = np.arange(len(r)) - np.repeat(np.cumsum(size[of]) - size[of], size[of]) + x[of][r]
+            pairs.append(r * len(ids) + j[flat])
+        i, j = np.divmod(np.unique(np.concatenate(pairs)), len(ids))
+        sn, sa = name.exact(n_some, n_of[i], j), address.exact(a_some, a_of[i], j)
+        comb = w[i] * sn + (1 - w[i]) * sa
+        keep = _first(i, j, sn, sa, comb, k)
+        found.append((at + i[keep], ids[j[keep]], sn[keep], sa[keep], comb[keep]))
+    return [np.concatenate(x) for x in zip(*found, strict=True)]
 
 
 def gram_frequencies(ref: DataFrame, written: Callable[[DataFrame, str], DataFrame]) -> dict[str, DataFrame]:
@@ -316,68 +444,44 @@ def gram_frequencies(ref: DataFrame, written: Callable[[DataFrame, str], DataFra
 
 
 def retrieve_sketched(
-    ref: DataFrame, queries: DataFrame, w_name: float = 0.5, k_name: int = 3, k_addr: int = 3, k_comb: int = 8, dim: int = 1024, block: int = 4096, ref_block: int = 16384, wide: int = 8,
+    ref: DataFrame, queries: DataFrame, w_name: float = 0.5, k_name: int = 3, k_addr: int = 3, k_comb: int = 8, dim: int = 1024, block: int = 32768, ref_block: int = 16384, wide: int = 8,
     n: DataFrame | None = None, frequencies: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
     """(q, s1, sn, sa, w_name, comb) of each query's best by channel; ties to the smaller s1.
 
-    Blocks of queries meet blocks of references of their country by an equi-join. Within a pair of blocks, the
-    ``wide`` * k best of each channel by cosines of sketches (noise about 1 / sqrt(dim)) get their exact cosines, and
-    the k best by these go on; a window then takes the best of all. Pairs without any cosine above zero are left out.
+    Blocks of queries meet blocks of references of their country by an equi-join; one task takes a block of queries through all
+    references of its country. Within a pair of blocks, the ``wide`` * k best of each channel by cosines of sketches (noise about
+    1 / sqrt(dim)) get their exact cosines, and the k best by these go on. Sketches of short texts are mostly zeros, so they are
+    multiplied by posting lists of dimensions, and texts that are equal are looked up once. Pairs without any cosine above zero are left out.
     n (n_docs) and ``frequencies``: of all references, where ``ref`` is of some countries only.
     """
     n = ref.agg(F.count("*").alias("n_docs")) if n is None else n
-    df = gram_frequencies(ref, store.written) if frequencies is None else frequencies
-
+    df = frequencies or {}
+    weights = {c: store.written(_text_weights(ref, queries, text, n, df.get(text)), f"weights_{text}") for c, text in (("n", "name_key"), ("a", "addr_clean"))}
     # blocks for each country by its own number of records, so that a large country has more of them
-    def blocked(docs: DataFrame, key: str, name: str, size: int, extra: list[str]) -> DataFrame:
-        out = docs
-        for text, short in (("name_key", "n"), ("addr_clean", "a")):
-            w = weighted(gram_counts(docs, [key], text), df[text], n, [key]).withColumn("g", F.xxhash64("gram").bitwiseAND(F.lit(2**63 - 1)))
-            listed = w.groupBy(key).agg(F.collect_list(F.struct("g", "w")).alias("s"))
-            out = out.join(listed.select(key, F.col("s.g").alias(f"{short}_g"), F.col("s.w").alias(f"{short}_w")), key, "left")
-        sizes = docs.groupBy("country").agg(F.ceil(F.count("*") / size).alias(f"{name}_blocks"))
-        rows = out.join(sizes, "country").withColumn(f"{name}_block", F.pmod(F.xxhash64(key), F.col(f"{name}_blocks")))
-        listed = rows.groupBy("country", f"{name}_block").agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("id"), "n_g", "n_w", "a_g", "a_w", *extra))).alias("r"))
-        # flat arrays, so that no record becomes an object of its own
-        sizes = {f"{name}_{c}n": F.transform("r", lambda x: F.coalesce(F.size(x[f"{c}_g"]), F.lit(0))) for c in "na"}  # noqa: B023
-        flat = {f"{name}_{c}": F.flatten(F.transform("r", lambda x: F.coalesce(x[c], F.array().cast("array<bigint>" if c.endswith("g") else "array<double>")))) for c in ("n_g", "n_w", "a_g", "a_w")}  # noqa: B023
-        more = {f"{name}_id": F.col("r.id"), **{f"{name}_{c}": F.col(f"r.{c}") for c in extra}}
-        return listed.select("country", f"{name}_block", *(v.alias(k) for k, v in (sizes | flat | more).items()))
-
-    qb = blocked(queries.withColumn("w_name", blend_weight(w_name)), "q", "qs", block, ["w_name"])
-    sb = blocked(ref, "s1", "ss", ref_block, [])
-    q_blocks = queries.select("country", F.col("q")).join(queries.groupBy("country").agg(F.ceil(F.count("*") / block).alias("b")), "country").select("country", F.pmod(F.xxhash64("q"), F.col("b")).alias("qs_block")).distinct()
-    met = sb.join(q_blocks, "country").join(qb, ["country", "qs_block"]).repartition("country", "qs_block", "ss_block")
-    met = met.drop("country", "qs_block", "ss_block")
+    qb = _blocked(queries.withColumn("w_name", blend_weight(w_name)), "q", "qs", block, ["w_name"], weights)
+    sb = _blocked(ref, "s1", "ss", ref_block, [], weights)
+    met = sb.join(qb, "country").repartition("country", "qs_block").sortWithinPartitions("country", "qs_block", "ss_block")
+    k = max(1, k_name), max(1, k_addr), max(2, k_comb)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine = best = asked = None
         for frame in frames:
             for row in frame.to_dict("records"):
-                s_ids, q_ids, weight = np.asarray(row["ss_id"]), np.asarray(row["qs_id"]), np.asarray(row["qs_w_name"], float)
-                s, q = ({c: _Side(row[f"{x}_{c}n"], row[f"{x}_{c}_g"], row[f"{x}_{c}_w"]) for c in "na"} for x in ("ss", "qs"))
-                known = {c: np.unique(s[c].grams) for c in "na"}
-                s_at, q_at = ({c: side[c].numbered(known[c]) for c in "na"} for side in (s, q))
-                small = {c: s[c].sketched(dim).T for c in "na"}
-                large = {c: q[c].sketched(dim) for c in "na"}
-                step = max(1, min(512, (1 << 24) // (1 + max(map(len, known.values())))))
-                for at in range(0, len(q_ids), step):
-                    end, w = min(at + step, len(q_ids)), weight[at : at + step, None]
-                    n_cos, a_cos = (np.maximum(large[c][at:end] @ small[c], 0) for c in "na")
-                    tops = [_top(score, wide * k) for score, k in ((n_cos, max(1, k_name)), (a_cos, max(1, k_addr)), (w * n_cos + (1 - w) * a_cos, max(2, k_comb)))]
-                    flat = [np.repeat(np.arange(end - at), t.shape[1]) * len(s_ids) + t.ravel() for t in tops]
-                    i, j = np.divmod(np.unique(np.concatenate(flat)), len(s_ids))
-                    sn, sa = (_exact(q[c], q_at[c], at, end, s[c], s_at[c], len(known[c]), i, j) for c in "na")
-                    comb = w[i, 0] * sn + (1 - w[i, 0]) * sa
-                    keep = np.zeros(len(i), bool)
-                    for score, k in ((sn, max(1, k_name)), (sa, max(1, k_addr)), (comb, max(2, k_comb))):
-                        order = np.lexsort((j, -score, i))
-                        first = np.concatenate(([True], i[order][1:] != i[order][:-1]))
-                        rank = np.arange(len(i)) - np.maximum.accumulate(np.where(first, np.arange(len(i)), 0))
-                        keep[order[rank < k]] = True
-                    keep &= (sn > 0) | (sa > 0)
-                    i, j = i[keep], j[keep]
-                    yield pd.DataFrame({"q": q_ids[at + i], "s1": s_ids[j], "sn": sn[keep], "sa": sa[keep], "w_name": weight[at + i], "comb": comb[keep]})
+                if mine != (row["country"], row["qs_block"]):
+                    if best:
+                        yield from asked.listed(*best)
+                    mine, best = (row["country"], row["qs_block"]), None
+                    sides = {c: _Side(row, f"qs_{c}") for c in "na"}
+                    asked = _Asked(row, sides["n"], sides["a"])
+                found = _sketch_search(row, asked, sides, dim, wide, k)
+                if best:
+                    found = [np.concatenate(x) for x in zip(best, found, strict=True)]
+                    keep = _first(found[0], np.unique(found[1], return_inverse=True)[1], *found[2:], k)
+                    found = [x[keep] for x in found]
+                best = found
+        if best:
+            yield from asked.listed(*best)
 
     kinds = dict(queries.dtypes)["q"], dict(ref.dtypes)["s1"]
     return met.mapInPandas(run, f"q {kinds[0]}, s1 {kinds[1]}, sn double, sa double, w_name double, comb double")

@@ -129,7 +129,7 @@ def retrieve(spark: SparkSession, work: str, split: str, k_name: int = 3, k_addr
         slim = queries.select("q", "country", "name_key", "addr_clean", "addr_empty")
         pairs = retrieval.score_pairs(slim_refs, slim, w_name) if exact else _by_countries(slim_refs, slim, work, split, params)
         pairs = _save(pairs, store.at(spark, work, split, "scored_pairs"))
-        found = retrieval.candidates(pairs, k_name, k_addr, k_comb)
+        found = retrieval.candidates(pairs, k_name, k_addr, k_comb, few=not exact)
         _save(found.repartitionByRange("q").sortWithinPartitions("q", F.desc("comb"), "s1"), path)
         store.save_json(spark, params, tag)
         store.delete(spark, store.at(spark, work, split, "countries"))

@@ -184,7 +184,7 @@ def topk_reverse(spark, sf_dir):
 @query
 def topk_sketched(spark, sf_dir):
     ref, queries, _ = views.linkage(spark, sf_dir)
-    return retrieval.candidates(retrieval.retrieve_sketched(ref, queries))
+    return retrieval.candidates(retrieval.retrieve_sketched(ref, queries), few=True)
 
 
 @query
@@ -192,7 +192,7 @@ def sketch_recall(spark, sf_dir):
     """Shares of the exact candidates, and of each query's exact best by blend, that the sketched retrieval has."""
     ref, queries, _ = views.linkage(spark, sf_dir)
     exact = store.written(retrieval.candidates(retrieval.retrieve_exact(ref, queries)), "exact")
-    found = retrieval.candidates(retrieval.retrieve_sketched(ref, queries)).select("q", "s1", F.lit(1).alias("hit"))
+    found = retrieval.candidates(retrieval.retrieve_sketched(ref, queries), few=True).select("q", "s1", F.lit(1).alias("hit"))
     both = exact.join(found, ["q", "s1"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
     tied = F.col("comb") == F.col("q_comb1")
     return both.agg(F.count("*").alias("candidates"), F.avg("hit").alias("recall"), F.avg(F.when(tied, F.col("hit"))).alias("recall_of_best"))
@@ -205,7 +205,7 @@ def _featured(spark, sf_dir, exact=True):
     ref, queries = ref.withColumns(more), queries.withColumns(more)
     retrieve = retrieval.retrieve_exact if exact else retrieval.retrieve_sketched
     pairs = retrieve(ref.select("s1", "country", "name_key", "addr_clean"), queries.select("q", "country", "name_key", "addr_clean", "addr_empty"))
-    cands = store.written(retrieval.candidates(pairs), "candidates")
+    cands = store.written(retrieval.candidates(pairs, few=not exact), "candidates")
     return features.pair_features(cands, ref, queries), queries, truth
 
 

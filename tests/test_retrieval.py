@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,3 +48,33 @@ def test_query_lists_no_pairs_of_a_shared_gram(spark, sf_dir, monkeypatch, name)
 
     monkeypatch.setattr(retrieval, "score_pairs", listed)
     assert QUERIES[f"q_{name}"](spark, sf_dir).count() > 0
+
+
+def test_sketched_blocks_leave_each_query_its_best_once(spark):
+    """Many blocks of references: a query's rows are the best of all blocks, and those of the exact path where sketches have room."""
+    rng = random.Random(11)
+    text = lambda n: " ".join(rng.sample(WORDS, rng.randrange(n + 1)))
+    ref = records(spark, [(i * 7 % 300, rng.choice("ab"), text(2), text(3)) for i in range(300)], "s1")
+    queries = records(spark, [(i, rng.choice("abz"), text(2), text(3)) for i in range(120)], "q")
+    found = retrieval.retrieve_sketched(ref, queries, dim=1 << 16, block=50, ref_block=20).collect()
+    of = [r["q"] for r in found]
+    assert len({(r["q"], r["s1"]) for r in found}) == len(found) and max(map(of.count, set(of))) <= 14
+    plain = lambda df: sorted((r["q"], r["s1"], *(round(r[c], 6) for c in ("sn", "sa", "w_name", "comb", "q_comb1", "q_comb2", "q_sn1", "q_sa1"))) for r in df.collect())
+    want = plain(retrieval.candidates(retrieval.score_pairs(ref, queries)))
+    for few in (False, True):
+        assert plain(retrieval.candidates(retrieval.retrieve_sketched(ref, queries, dim=1 << 16, block=50, ref_block=20), few=few)) == want
+
+
+def test_sketched_candidates_are_made_once(spark, sf_dir):
+    plan = QUERIES["q_topk_sketched"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1
+
+
+def test_best_of_sketches_by_plain_sorting():
+    rng = np.random.default_rng(3)
+    for n, k in ((5, 8), (200, 8), (3000, 24)):
+        score = np.where(rng.random((40, n)) < 0.6, 0, rng.integers(0, 400, (40, n)) / 400).astype(np.float32)
+        score[0], score[1, 2:] = 0, 0
+        want = {(i, j) for i in range(40) for j in sorted(range(n), key=lambda j: (-round(float(score[i, j]), 5), j))[:k]}  # noqa: B023
+        i, j = retrieval._top(score.copy(), k)
+        assert len(i) == len(want) and set(zip(i.tolist(), j.tolist(), strict=True)) == want
