@@ -311,6 +311,9 @@ class _Channel:
         self.known = np.unique(s.grams)
         self.q_at, self.s_at = q.numbered(self.known), s.numbered(self.known)
         rows, dims, values = s.sketched(dim)
+        self.spread = None if s.n == len(s.of) else s.of
+        if self.spread is None:  # all differ: in the order of the references, so that nothing is looked up
+            rows = np.argsort(s.of)[rows]
         order = np.argsort(dims, kind="stable")
         rows, values, ends = rows[order], values[order], np.searchsorted(dims[order], np.arange(dim + 1))
         many = np.flatnonzero(np.diff(ends) * 16 > s.n)[: max(1, (1 << 25) // max(1, s.n))]
@@ -320,7 +323,6 @@ class _Channel:
         for i, d in enumerate(many):
             self.matrix[i, rows[ends[d] : ends[d + 1]]] = values[ends[d] : ends[d + 1]]
         self.posts = {d: (rows[ends[d] : ends[d + 1]], values[ends[d] : ends[d + 1]]) for d in np.flatnonzero(np.diff(ends)).tolist() if self.column[d] < 0}
-        self.all_differ = s.n == len(s.of)
         self.mine = q.sketched(dim)
         self.first = np.searchsorted(self.mine[0], np.arange(q.n + 1))
 
@@ -340,7 +342,7 @@ class _Channel:
                     rows, theirs = self.posts[d]
                     row[rows] += x * theirs
         np.maximum(out, 0, out=out)
-        return out if self.all_differ and np.array_equal(self.s.of, np.arange(self.s.n)) else np.take(out, self.s.of, axis=1)
+        return out if self.spread is None else np.take(out, self.spread, axis=1)
 
     def exact(self, some: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Cosines of the pairs of the text some[i] and the reference j, to 6 places."""
@@ -355,35 +357,41 @@ class _Channel:
 
 
 def _top(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, place) of the k best of each row; equal scores (to 5 places) by place. Scores are 0 to 1 and are rounded in place."""
+    """(row, place) of the k best of each row; equal scores (to 5 places) by place. Scores are 0 to 1."""
     n = score.shape[1]
     if n <= k:
         return np.repeat(np.arange(len(score)), n), np.tile(np.arange(n), len(score))
-    np.multiply(score, 1e5, out=score)
-    np.rint(score, out=score)
     parts = min(n, 16 * k)  # the k-th best of the parts' maxima is the k-th best of all at most
     low = np.partition(score[:, : n // parts * parts].reshape(len(score), -1, parts).max(axis=1), parts - k, axis=1)[:, parts - k]
-    i, j = np.divmod(np.flatnonzero(score >= np.maximum(low, 1)[:, None]), n)
+    low = np.maximum(np.rint(low * 1e5), 1) - 0.6  # what rounds to it or more is at least here
+    i, j = np.divmod(np.flatnonzero(score >= (low / 1e5).astype(np.float32)[:, None]), n)
+    value = np.rint(score[i, j] * np.float32(1e5)).astype(np.int64)
+    i, j, value = i[value > 0], j[value > 0], value[value > 0]
     counts = np.bincount(i, minlength=len(score))
     few = np.flatnonzero(counts < k)  # of scores of 0 the first places
     if len(few):
-        more = [np.flatnonzero(score[r, :k] < 1)[: k - counts[r]] for r in few]
+        more = [np.flatnonzero(np.rint(score[r, :k] * np.float32(1e5)) < 1)[: k - counts[r]] for r in few]
         i, j = np.concatenate([i, np.repeat(few, [len(m) for m in more])]), np.concatenate([j, *more])
-    key = (i << 38) | ((1 << 17) - 1 - score[i, j].astype(np.int64) << 21) | j
+        value = np.concatenate([value, np.zeros(len(i) - len(value), np.int64)])
+    key = (i << 38) | ((1 << 17) - 1 - value << 21) | j
     key.sort()
     i, j = key >> 38, key & ((1 << 21) - 1)
     kept = np.arange(len(i)) - np.searchsorted(i, np.arange(len(score)))[i] < k
     return i[kept], j[kept]
 
 
-def _first(i: np.ndarray, j: np.ndarray, sn: np.ndarray, sa: np.ndarray, comb: np.ndarray, k: tuple[int, int, int]) -> np.ndarray:
-    """Which of the pairs (i, j) are among the k best of their i by name, address or blend; ties to the smaller j. Pairs with no cosine above zero aren't."""
+def _first(i: np.ndarray, sn: np.ndarray, sa: np.ndarray, comb: np.ndarray, k: tuple[int, int, int]) -> np.ndarray:
+    """Which of the pairs of i, in the order of i and reference, are among the k best of their i by name, address or blend; ties to the first. Pairs with no cosine above zero aren't."""
     keep = np.zeros(len(i), bool)
+    if not len(i):
+        return keep
+    rows, first, sizes = np.unique(i, return_index=True, return_counts=True)
+    cells = np.repeat(np.arange(len(rows)), sizes), np.arange(len(i)) - np.repeat(first, sizes)
     for score, most in zip((sn, sa, comb), k, strict=True):
-        order = np.lexsort((j, -score, i))
-        first = np.concatenate(([True], i[order][1:] != i[order][:-1]))[: len(i)]
-        rank = np.arange(len(i)) - np.maximum.accumulate(np.where(first, np.arange(len(i)), 0))
-        keep[order[rank < most]] = True
+        table = np.full((len(rows), int(sizes.max())), np.inf)
+        table[cells] = -score
+        best = np.argsort(table, axis=1, kind="stable")[:, :most]
+        keep[(first[:, None] + best)[best < sizes[:, None]]] = True
     return keep & ((sn > 0) | (sa > 0))
 
 
@@ -420,9 +428,10 @@ def _sketch_search(row: dict, asked: _Asked, sides: dict[str, _Side], dim: int,
         (n_some, n_of), (a_some, a_of) = (np.unique(texts[part], return_inverse=True) for texts in (asked.name, asked.address))
         n_cos, a_cos = name.cosines(n_some), address.cosines(a_some)
         blend = np.empty((len(w), len(ids)), np.float32)
-        for r, x in enumerate(w.tolist()):
-            np.multiply(n_cos[n_of[r]], x, out=blend[r])
-            blend[r] += a_cos[a_of[r]] * np.float32(1 - x)
+        for x in np.unique(w).tolist():
+            n_part, a_part = n_cos * np.float32(x), a_cos * np.float32(1 - x)
+            for r in np.flatnonzero(w == x).tolist():
+                np.add(n_part[n_of[r]], a_part[a_of[r]], out=blend[r])
         pairs = [np.add(*(x * y for x, y in zip(_top(blend, wide * k[2]), (len(ids), 1), strict=True)))]
         for cosines, of, most in ((n_cos, n_of, k[0]), (a_cos, a_of, k[1])):
             i, j = _top(cosines, wide * most)
@@ -433,7 +442,7 @@ def _sketch_search(row: dict, asked: _Asked, sides: dict[str, _Side], dim: int,
         i, j = np.divmod(np.unique(np.concatenate(pairs)), len(ids))
         sn, sa = name.exact(n_some, n_of[i], j), address.exact(a_some, a_of[i], j)
         comb = w[i] * sn + (1 - w[i]) * sa
-        keep = _first(i, j, sn, sa, comb, k)
+        keep = _first(i, sn, sa, comb, k)
         found.append((at + i[keep], ids[j[keep]], sn[keep], sa[keep], comb[keep]))
     return [np.concatenate(x) for x in zip(*found, strict=True)]
 
@@ -477,7 +486,9 @@ def retrieve_sketched(
                 found = _sketch_search(row, asked, sides, dim, wide, k)
                 if best:
                     found = [np.concatenate(x) for x in zip(best, found, strict=True)]
-                    keep = _first(found[0], np.unique(found[1], return_inverse=True)[1], *found[2:], k)
+                    order = np.lexsort((np.unique(found[1], return_inverse=True)[1], found[0]))
+                    found = [x[order] for x in found]
+                    keep = _first(found[0], *found[2:], k)
                     found = [x[keep] for x in found]
                 best = found
         if best:
