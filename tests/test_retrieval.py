@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kinfold.operators import retrieval
 from kinfold.queries import QUERIES
+from kinfold.sources import store
 
 WORDS = ["oak", "elm", "pine", "birch", "larch", "yew", "road", "st", "42", "no7"]
 
@@ -78,3 +79,23 @@ def test_best_of_sketches_by_plain_sorting():
         want = {(i, j) for i in range(40) for j in sorted(range(n), key=lambda j: (-round(float(score[i, j]), 5), j))[:k]}  # noqa: B023
         i, j = retrieval._top(score.copy(), k)
         assert len(i) == len(want) and set(zip(i.tolist(), j.tolist(), strict=True)) == want
+
+
+@pytest.mark.parametrize("name", ["address_scores", "gbt_score"])
+def test_query_looks_up_its_candidates_once(spark, sf_dir, monkeypatch, name):
+    """The search runs once, not for each channel."""
+    plans = {}
+
+    class Enough(Exception):
+        pass
+
+    def written(df, table, **_):
+        plans[table] = df._jdf.queryExecution().executedPlan().toString()
+        if table == "candidates":
+            raise Enough
+        return df
+
+    monkeypatch.setattr(store, "written", written)
+    with pytest.raises(Enough):
+        QUERIES[f"q_{name}"](spark, sf_dir)
+    assert plans["candidates"].count("MapInPandas") == 1
