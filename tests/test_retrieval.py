@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinfold.operators import retrieval
+from kinfold.plans import model
 from kinfold.queries import QUERIES
 from kinfold.sources import store
 
@@ -99,3 +100,25 @@ def test_query_looks_up_its_candidates_once(spark, sf_dir, monkeypatch, name):
     with pytest.raises(Enough):
         QUERIES[f"q_{name}"](spark, sf_dir)
     assert plans["candidates"].count("MapInPandas") == 1
+
+
+def test_boosting_begins_without_the_tables_of_the_retrieval(spark, sf_dir, monkeypatch):
+    made = []
+    write = store.written
+
+    class Enough(Exception):
+        pass
+
+    def written(df, table, **more):
+        out = write(df, table, **more)
+        made.append((table, out.inputFiles()[0].rsplit("/", 1)[0]))
+        return out
+
+    def stop(*_):
+        raise Enough
+
+    monkeypatch.setattr(store, "written", written)
+    monkeypatch.setattr(model, "fit", stop)
+    with pytest.raises(Enough):
+        QUERIES["q_gbt_score"](spark, sf_dir)
+    assert [table for table, path in made if store.exists(spark, path)] == ["labelled"] and len(made) > 2
