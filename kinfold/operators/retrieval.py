@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as tx
+from ..functions.similarity import text_scores
 from ..sources import store
 
 
@@ -271,6 +272,16 @@ def retrieve_exact(
 
 # --- sketched path ------------------------------------------------------------------------------
 
+#: Scores of a pair's addresses that the search can add.
+ADDRESS_SCORES = ["ad_ratio", "ad_tset", "ad_tsort", "ad_partial"]
+
+
+def _spans(first: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which span, place) of all places of spans of a flat array."""
+    sizes = ends - first
+    upto = np.cumsum(sizes)
+    return np.repeat(np.arange(len(sizes)), sizes), np.arange(upto[-1] if len(upto) else 0) + np.repeat(ends - upto, sizes)
+
 
 class _Side:
     """The sparse weights of the distinct texts of a block in one channel, and which text each record has."""
@@ -298,62 +309,99 @@ class _Side:
 
     def cells(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which of ``some`` texts, place in the flat arrays) of their weights."""
-        sizes = self.sizes[some]
-        ends = np.cumsum(sizes)
-        return np.repeat(np.arange(len(some)), sizes), np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.ends[some] - ends, sizes)
+        return _spans(self.ends[some] - self.sizes[some], self.ends[some])
 
 
 class _Channel:
-    """Sketches of two blocks' distinct texts in one channel: posting lists of the references' dimensions, and a matrix of those that many of them have."""
+    """Sketches of two blocks' distinct texts in one channel: posting lists of the references' dimensions, and a matrix of those that many of them have.
+
+    places: (column of each reference, number of columns), where they aren't in their own order.
+    """
 
-    def __init__(self, q: _Side, s: _Side, dim: int):
+    def __init__(self, q: _Side, s: _Side, dim: int, places: tuple[np.ndarray, int] | None = None):
         self.q, self.s = q, s
         self.known = np.unique(s.grams)
         self.q_at, self.s_at = q.numbered(self.known), s.numbered(self.known)
+        self.table, most = None, int(s.sizes.max(initial=0))
+        if most * s.n <= 4 * len(s.grams):  # of like sizes: a row for each text, filled up by a gram of no text
+            self.table = np.full((s.n, most), len(self.known)), np.zeros((s.n, most))
+            cells = s.rows, np.arange(len(s.grams)) - np.repeat(s.ends - s.sizes, s.sizes)
+            self.table[0][cells], self.table[1][cells] = self.s_at, s.weights
         rows, dims, values = s.sketched(dim)
-        self.spread = None if s.n == len(s.of) else s.of
-        if self.spread is None:  # all differ: in the order of the references, so that nothing is looked up
-            rows = np.argsort(s.of)[rows]
+        self.spread, width = None if places or s.n == len(s.of) else s.of, s.n
+        if self.spread is None:  # a column for each reference, so that nothing is looked up
+            column, width = places or (np.arange(s.n), s.n)
+            first = np.searchsorted(rows, np.arange(s.n + 1))
+            of, at = _spans(first[s.of], first[s.of + 1])
+            rows, dims, values = column[of], dims[at], values[at]
         order = np.argsort(dims, kind="stable")
         rows, values, ends = rows[order], values[order], np.searchsorted(dims[order], np.arange(dim + 1))
-        many = np.flatnonzero(np.diff(ends) * 16 > s.n)[: max(1, (1 << 25) // max(1, s.n))]
+        sizes = np.diff(ends)
+        many = np.argsort(-sizes, kind="stable")[: int((sizes * 24 > width).sum())][: max(1, (1 << 24) // max(1, width))]
         self.column = np.full(dim, -1)
         self.column[many] = np.arange(len(many))
-        self.matrix = np.zeros((len(many), s.n), np.float32)
+        self.matrix = np.zeros((len(many), width), np.float32)
         for i, d in enumerate(many):
             self.matrix[i, rows[ends[d] : ends[d + 1]]] = values[ends[d] : ends[d + 1]]
-        self.posts = {d: (rows[ends[d] : ends[d + 1]], values[ends[d] : ends[d + 1]]) for d in np.flatnonzero(np.diff(ends)).tolist() if self.column[d] < 0}
+        self.posts = {d: (rows[ends[d] : ends[d + 1]], values[ends[d] : ends[d + 1]]) for d in np.flatnonzero(sizes).tolist()}
+        self.gain = 1500 + 11 * sizes[many]  # ns of a posting list, measured; a cell of a matrix product takes about 0.05
         self.mine = q.sketched(dim)
         self.first = np.searchsorted(self.mine[0], np.arange(q.n + 1))
 
+    def order(self) -> np.ndarray:
+        """The rank of each text of the queries by its dimensions in the matrix, so that a batch of neighbours needs few of them."""
+        rows, dims, _ = self.mine
+        at = self.column[dims]
+        has = np.zeros((self.q.n, len(self.matrix) + 1), bool)
+        has[rows[at >= 0], at[at >= 0]] = True
+        rank = np.empty(self.q.n, np.int64)
+        rank[np.lexsort(np.packbits(has, axis=1).T[::-1])] = np.arange(self.q.n)
+        return rank
+
+    def products(self, some: np.ndarray) -> np.ndarray:
+        """Products of sketches: a row for each of ``some`` texts of the queries, a column for each column of the matrix."""
+        of, at = _spans(self.first[some], self.first[some + 1])
+        dims, w = self.mine[1][at], self.mine[2][at]
+        at = self.column[dims]
+        used = np.flatnonzero(np.bincount(at[at >= 0], minlength=len(self.gain)) * self.gain > 0.05 * len(some) * self.matrix.shape[1])
+        place = np.full(len(self.gain) + 1, -1)
+        place[used] = np.arange(len(used))
+        at = place[at]
+        dense = at >= 0
+        left = np.zeros((len(some), len(used)), np.float32)
+        left[of[dense], at[dense]] = w[dense]
+        out = left @ self.matrix[used]
+        for i, d, x in zip(of[~dense].tolist(), dims[~dense].tolist(), w[~dense].tolist(), strict=True):
+            if d in self.posts:
+                rows, theirs = self.posts[d]
+                out[i][rows] += x * theirs
+        return out
+
     def cosines(self, some: np.ndarray) -> np.ndarray:
         """Cosines of sketches, 0 at least: a row for each of ``some`` texts of the queries, a column for each reference."""
-        _, dims, values = self.mine
-        left, rest = np.zeros((len(some), len(self.matrix)), np.float32), []
-        for i, t in enumerate(some.tolist()):
-            mine, w = dims[self.first[t] : self.first[t + 1]], values[self.first[t] : self.first[t + 1]]
-            at = self.column[mine]
-            left[i, at[at >= 0]] = w[at >= 0]
-            rest.append((mine[at < 0].tolist(), w[at < 0]))
-        out = left @ self.matrix
-        for row, (mine, w) in zip(out, rest, strict=True):
-            for d, x in zip(mine, w, strict=True):
-                if d in self.posts:
-                    rows, theirs = self.posts[d]
-                    row[rows] += x * theirs
+        out = self.products(some)
         np.maximum(out, 0, out=out)
         return out if self.spread is None else np.take(out, self.spread, axis=1)
 
     def exact(self, some: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Cosines of the pairs of the text some[i] and the reference j, to 6 places."""
+        if self.s.n == len(self.s.of):
+            return self.exact_texts(some, i, self.s.of[j])
         pairs, back = np.unique(i * (1 + self.s.n) + self.s.of[j], return_inverse=True)
-        i, j = np.divmod(pairs, 1 + self.s.n)
-        dense = np.zeros((len(some), len(self.known) + 1))
+        return self.exact_texts(some, *np.divmod(pairs, 1 + self.s.n))[back]
+
+    def exact_texts(self, some: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Cosines of the pairs of the text some[i] and the references' text j, to 6 places."""
+        width = len(self.known) + 1
+        dense = np.zeros(len(some) * width)
         of, at = self.q.cells(some)
-        dense[of, self.q_at[at]] = self.q.weights[at]
-        dense[:, len(self.known)] = 0
+        dense[of * width + self.q_at[at]] = self.q.weights[at]
+        dense[width - 1 :: width] = 0
+        if self.table:
+            at, weights = self.table
+            return np.round(np.einsum("ij,ij->i", np.take(dense, at[j] + (i * width)[:, None]), weights[j]), 6)
         of, at = self.s.cells(j)
-        return np.round(np.bincount(of, dense[i[of], self.s_at[at]] * self.s.weights[at], minlength=len(j)), 6)[back]
+        return np.round(np.bincount(of, dense[(i * width)[of] + self.s_at[at]] * self.s.weights[at], minlength=len(j)), 6)
 
 
 def _top(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -373,10 +421,15 @@ def _top(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         more = [np.flatnonzero(np.rint(score[r, :k] * np.float32(1e5)) < 1)[: k - counts[r]] for r in few]
         i, j = np.concatenate([i, np.repeat(few, [len(m) for m in more])]), np.concatenate([j, *more])
         value = np.concatenate([value, np.zeros(len(i) - len(value), np.int64)])
+    return _ranked(i, j, value, len(score), k)
+
+
+def _ranked(i: np.ndarray, j: np.ndarray, value: np.ndarray, rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of the k best of each row by value; ties by place."""
     key = (i << 38) | ((1 << 17) - 1 - value << 21) | j
     key.sort()
     i, j = key >> 38, key & ((1 << 21) - 1)
-    kept = np.arange(len(i)) - np.searchsorted(i, np.arange(len(score)))[i] < k
+    kept = np.arange(len(i)) - np.searchsorted(i, np.arange(rows))[i] < k
     return i[kept], j[kept]
 
 
@@ -406,7 +459,7 @@ class _Asked:
         texts, w = np.divmod(keys, len(weights))
         self.w, (self.address, self.name) = weights[w], np.divmod(texts, name.n)
 
-    def listed(self, i: np.ndarray, s1: np.ndarray, sn: np.ndarray, sa: np.ndarray, comb: np.ndarray) -> Iterator[pd.DataFrame]:
+    def listed(self, i: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
         """Rows of all queries from those of the questions."""
         many = np.diff(self.ends, prepend=0)[i]
         ends = np.cumsum(many)
@@ -414,39 +467,124 @@ class _Asked:
             flat = np.arange(at, min(at + (1 << 18), int(ends[-1])))
             of = np.searchsorted(ends, flat, side="right")
             q = self.ids[self.ends[i[of]] - ends[of] + flat]
-            yield pd.DataFrame({"q": q, "s1": s1[of], "sn": sn[of], "sa": sa[of], "w_name": self.w[i[of]], "comb": comb[of]})
+            yield pd.DataFrame({"q": q} | {c: x[of] for c, x in columns.items()})
+
+
+class _Shared:
+    """A block of references whose names have many references each.
+
+    Columns are parts of references of one name, so that the best blend of a part follows from its best address;
+    names are compared once for the block, and only the best parts are looked into.
+    """
+
+    def __init__(self, q: dict[str, _Side], s: dict[str, _Side], dim: int):
+        self.n = len(s["n"].of)
+        by_name = np.argsort(s["n"].of, kind="stable")
+        counts = np.bincount(s["n"].of, minlength=s["n"].n)
+        self.depth = max(1, min(self.n // 1024, self.n // (4 * s["n"].n)))
+        parts = -(-counts // self.depth)
+        self.name_of = np.repeat(np.arange(s["n"].n), parts)
+        self.parts = len(self.name_of)
+        of, at = _spans(np.cumsum(counts) - counts, np.cumsum(counts))
+        place = at - (np.cumsum(counts) - counts)[of]
+        self.column = np.empty(self.n, np.int64)
+        self.column[by_name] = place % self.depth * self.parts + (np.cumsum(parts) - parts)[of] + place // self.depth
+        self.ref = np.full(self.depth * self.parts, -1)
+        self.ref[self.column] = np.arange(self.n)
+        self.ref = self.ref.reshape(self.depth, self.parts)
+        self.name, self.address = _Channel(q["n"], s["n"], dim), _Channel(q["a"], s["a"], dim, (self.column, self.depth * self.parts))
+
+    @staticmethod
+    def fits(q: dict[str, _Side], s: dict[str, _Side], most: int) -> bool:
+        """Whether names are shared enough, and enough references there, for ``most`` of the best."""
+        return s["n"].n * 16 <= len(s["n"].of) and q["n"].n * s["n"].n <= 1 << 20 and len(s["n"].of) > 16 * most
+
+    def names(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each name of the queries: cosines of sketches and exact cosines with each name of the references, and the k best references."""
+        sketched, exact, best = [], [], []
+        for at in range(0, self.name.q.n, 64):
+            some = np.arange(at, min(at + 64, self.name.q.n))
+            cosines = np.maximum(self.name.products(some), 0)
+            sketched.append(cosines)
+            i, j = np.divmod(np.arange(cosines.size), cosines.shape[1])
+            exact.append(self.name.exact_texts(some, i, j).reshape(cosines.shape))
+            best.append(_top(np.take(cosines, self.name.s.of, axis=1), k)[1].reshape(len(some), k))
+        return np.concatenate(sketched), np.concatenate(exact), np.concatenate(best)
+
+    def top(self, cosines: np.ndarray, best: np.ndarray, of: np.ndarray, times: np.ndarray, plus: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, reference) as of ``_top`` for the scores max(0, cosines[of]) * times + plus (by part). best: the cosines' maxima by part, 0 at least."""
+        most = best[of] * times[:, None] + plus
+        low = np.partition(most, self.parts - k, axis=1)[:, self.parts - k]
+        low = ((np.maximum(np.rint(low * 1e5), 1) - 0.6) / 1e5).astype(np.float32)
+        r, p = np.divmod(np.flatnonzero(most >= low[:, None]), self.parts)
+        cells = np.take(cosines.ravel(), (of[r] * cosines.shape[1] + p)[:, None] + np.arange(0, cosines.shape[1], self.parts))
+        score = np.maximum(cells, 0) * times[r][:, None] + plus[r, p][:, None]
+        x, level = np.divmod(np.flatnonzero(score >= low[r][:, None]), self.depth)
+        i, j = r[x], self.ref[level, p[x]]
+        value = np.rint(score[x, level] * np.float32(1e5)).astype(np.int64)
+        there = (j >= 0) & (value > 0)
+        i, j, value = i[there], j[there], value[there]
+        few = np.flatnonzero(np.bincount(i, minlength=len(of)) < k)
+        if len(few):  # of scores of 0 the first places
+            level, part = np.divmod(self.column[:k], self.parts)
+            score = np.maximum(cosines[of[few]][:, self.column[:k]], 0) * times[few][:, None] + plus[few][:, part]
+            x, more = np.nonzero(np.rint(score * np.float32(1e5)) < 1)
+            i, j, value = np.concatenate([i, few[x]]), np.concatenate([j, more]), np.concatenate([value, np.zeros(len(x), np.int64)])
+        return _ranked(i, j, value, len(of), k)
 
 
 def _sketch_search(row: dict, asked: _Asked, sides: dict[str, _Side], dim: int, wide: int, k: tuple[int, int, int]) -> list[np.ndarray]:
-    """(question, s1, sn, sa, comb) of the best of a block of references."""
-    ids = np.asarray(row["ss_id"])
-    name, address = (_Channel(sides[c], _Side(row, f"ss_{c}"), dim) for c in "na")
-    step = max(1, min(512, (1 << 20) // len(ids), (1 << 24) // (1 + max(len(name.known), len(address.known)))))
-    found = []
+    """(question, s1, sn, sa, comb, the reference's address) of the best of a block of references."""
+    addresses = np.asarray(row["ss_a_of"], object)
+    ids, theirs = np.asarray(row["ss_id"]), {c: _Side(row, f"ss_{c}") for c in "na"}
+    if shared := _Shared(sides, theirs, dim) if _Shared.fits(sides, theirs, wide * max(k)) else None:
+        name, address, width = shared.name, shared.address, shared.depth * shared.parts
+        n_table, n_exact, n_best = shared.names(wide * k[0])
+    else:
+        name, address, width = *(_Channel(sides[c], theirs[c], dim) for c in "na"), len(ids)
+    step = max(1, min(512, (1 << 20) // width, (1 << 24) // (1 + max(len(name.known), len(address.known)))))
+    found, order = [], np.argsort(address.order()[asked.address], kind="stable")
     for at in range(0, asked.n, step):
-        part, w = slice(at, at + step), asked.w[at : at + step]
-        (n_some, n_of), (a_some, a_of) = (np.unique(texts[part], return_inverse=True) for texts in (asked.name, asked.address))
-        n_cos, a_cos = name.cosines(n_some), address.cosines(a_some)
-        blend = np.empty((len(w), len(ids)), np.float32)
-        for x in np.unique(w).tolist():
-            n_part, a_part = n_cos * np.float32(x), a_cos * np.float32(1 - x)
-            for r in np.flatnonzero(w == x).tolist():
-                np.add(n_part[n_of[r]], a_part[a_of[r]], out=blend[r])
-        pairs = [np.add(*(x * y for x, y in zip(_top(blend, wide * k[2]), (len(ids), 1), strict=True)))]
-        for cosines, of, most in ((n_cos, n_of, k[0]), (a_cos, a_of, k[1])):
-            i, j = _top(cosines, wide * most)
-            size = np.bincount(i, minlength=len(cosines))
-            r, x = np.repeat(np.arange(len(of)), size[of]), np.cumsum(size) - size
-            flat = np.arange(len(r)) - np.repeat(np.cumsum(size[of]) - size[of], size[of]) + x[of][r]
-            pairs.append(r * len(ids) + j[flat])
-        i, j = np.divmod(np.unique(np.concatenate(pairs)), len(ids))
-        sn, sa = name.exact(n_some, n_of[i], j), address.exact(a_some, a_of[i], j)
+        part = order[at : at + step]
+        w, n_text, a_text = asked.w[part], asked.name[part], asked.address[part]
+        a_some, a_of = np.unique(a_text, return_inverse=True)
+        if shared:
+            a_cos = address.products(a_some)
+            best = np.maximum(a_cos.reshape(len(a_some), shared.depth, shared.parts).max(axis=1), 0)
+            plus = (n_table[n_text] * w.astype(np.float32)[:, None])[:, shared.name_of]
+            i, j = shared.top(a_cos, best, a_of, (1 - w).astype(np.float32), plus, wide * k[2])
+            pairs = [i * len(ids) + j, (np.arange(len(part))[:, None] * len(ids) + n_best[n_text]).ravel()]
+            some = np.arange(len(a_some))
+            i, j = shared.top(a_cos, best, some, np.ones(len(some), np.float32), np.zeros_like(best), wide * k[1])
+            pairs.append(_for_each(i, j, a_of, len(some), len(ids)))
+        else:
+            n_some, n_of = np.unique(n_text, return_inverse=True)
+            n_cos, a_cos = name.cosines(n_some), address.cosines(a_some)
+            blend = np.empty((len(w), len(ids)), np.float32)
+            for x in np.unique(w).tolist():
+                n_part, a_part = n_cos * np.float32(x), a_cos * np.float32(1 - x)
+                for r in np.flatnonzero(w == x).tolist():
+                    np.add(n_part[n_of[r]], a_part[a_of[r]], out=blend[r])
+            pairs = [np.add(*(x * y for x, y in zip(_top(blend, wide * k[2]), (len(ids), 1), strict=True)))]
+            for cosines, of, most in ((n_cos, n_of, k[0]), (a_cos, a_of, k[1])):
+                pairs.append(_for_each(*_top(cosines, wide * most), of, len(cosines), len(ids)))
+        pairs = np.sort(np.concatenate(pairs))
+        i, j = np.divmod(pairs[np.diff(pairs, prepend=-1) > 0], len(ids))
+        sn = n_exact[n_text[i], name.s.of[j]] if shared else name.exact(n_some, n_of[i], j)
+        sa = address.exact(a_some, a_of[i], j)
         comb = w[i] * sn + (1 - w[i]) * sa
         keep = _first(i, sn, sa, comb, k)
-        found.append((at + i[keep], ids[j[keep]], sn[keep], sa[keep], comb[keep]))
+        found.append((part[i[keep]], ids[j[keep]], sn[keep], sa[keep], comb[keep], addresses[j[keep]]))
     return [np.concatenate(x) for x in zip(*found, strict=True)]
 
 
+def _for_each(i: np.ndarray, j: np.ndarray, of: np.ndarray, rows: int, n: int) -> np.ndarray:
+    """row * n + place of the places j of each text i, in the order of the texts, for rows of the texts ``of``."""
+    ends = np.cumsum(np.bincount(i, minlength=rows))
+    r, at = _spans(np.append(0, ends)[of], ends[of])
+    return r * n + j[at]
+
+
 def gram_frequencies(ref: DataFrame, written: Callable[[DataFrame, str], DataFrame]) -> dict[str, DataFrame]:
     """Document frequencies of the grams of both text columns of ``ref``, as tables that ``written`` keeps."""
     return {c: written(document_frequency(gram_counts(ref, ["s1", "country"], c)), f"frequencies_{c}") for c in ("name_key", "addr_clean")}
@@ -454,7 +592,7 @@ def gram_frequencies(ref: DataFrame, written: Callable[[DataFrame, str], DataFra
 
 def retrieve_sketched(
     ref: DataFrame, queries: DataFrame, w_name: float = 0.5, k_name: int = 3, k_addr: int = 3, k_comb: int = 8, dim: int = 1024, block: int = 32768, ref_block: int = 16384, wide: int = 8,
-    n: DataFrame | None = None, frequencies: dict[str, DataFrame] | None = None,
+    n: DataFrame | None = None, frequencies: dict[str, DataFrame] | None = None, address_scores: bool = False,
 ) -> DataFrame:
     """(q, s1, sn, sa, w_name, comb) of each query's best by channel; ties to the smaller s1.
 
@@ -463,6 +601,7 @@ def retrieve_sketched(
     1 / sqrt(dim)) get their exact cosines, and the k best by these go on. Sketches of short texts are mostly zeros, so they are
     multiplied by posting lists of dimensions, and texts that are equal are looked up once. Pairs without any cosine above zero are left out.
     n (n_docs) and ``frequencies``: of all references, where ``ref`` is of some countries only.
+    address_scores: with ADDRESS_SCORES of the kept pairs; the texts are at hand here, and each pair of texts is scored once a block.
     """
     n = ref.agg(F.count("*").alias("n_docs")) if n is None else n
     df = frequencies or {}
@@ -473,14 +612,24 @@ def retrieve_sketched(
     met = sb.join(qb, "country").repartition("country", "qs_block").sortWithinPartitions("country", "qs_block", "ss_block")
     k = max(1, k_name), max(1, k_addr), max(2, k_comb)
 
+    def rows(asked: _Asked, texts: list, best: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        i, s1, sn, sa, comb, theirs = best
+        columns = {"s1": s1, "sn": sn, "sa": sa, "w_name": asked.w[i], "comb": comb}
+        if address_scores:
+            at, more = pd.factorize(theirs)
+            texts = [*texts, *more.tolist()]
+            pairs, back = np.unique(asked.address[i] * len(texts) + len(texts) - len(more) + at, return_inverse=True)
+            columns |= {f"ad_{c}": x[back] for c, x in text_scores(texts, *np.divmod(pairs, len(texts))).items()}
+        yield from asked.listed(i, columns)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mine = best = asked = None
+        mine = best = asked = texts = None
         for frame in frames:
             for row in frame.to_dict("records"):
                 if mine != (row["country"], row["qs_block"]):
                     if best:
-                        yield from asked.listed(*best)
-                    mine, best = (row["country"], row["qs_block"]), None
+                        yield from rows(asked, texts, best)
+                    mine, best, texts = (row["country"], row["qs_block"]), None, list(row["qs_a_text"])
                     sides = {c: _Side(row, f"qs_{c}") for c in "na"}
                     asked = _Asked(row, sides["n"], sides["a"])
                 found = _sketch_search(row, asked, sides, dim, wide, k)
@@ -488,11 +637,12 @@ def retrieve_sketched(
                     found = [np.concatenate(x) for x in zip(best, found, strict=True)]
                     order = np.lexsort((np.unique(found[1], return_inverse=True)[1], found[0]))
                     found = [x[order] for x in found]
-                    keep = _first(found[0], *found[2:], k)
+                    keep = _first(found[0], *found[2:5], k)
                     found = [x[keep] for x in found]
                 best = found
         if best:
-            yield from asked.listed(*best)
+            yield from rows(asked, texts, best)
 
     kinds = dict(queries.dtypes)["q"], dict(ref.dtypes)["s1"]
-    return met.mapInPandas(run, f"q {kinds[0]}, s1 {kinds[1]}, sn double, sa double, w_name double, comb double")
+    scores = "".join(f", {c} double" for c in ADDRESS_SCORES) if address_scores else ""
+    return met.mapInPandas(run, f"q {kinds[0]}, s1 {kinds[1]}, sn double, sa double, w_name double, comb double{scores}")

@@ -209,19 +209,17 @@ def _featured(spark, sf_dir, exact=True):
     return features.pair_features(cands, ref, queries), queries, truth
 
 
-#: Pair features without SQL: scorers of long strings.
-ADDRESS_SCORES = ["ad_ratio", "ad_tset", "ad_tsort", "ad_partial"]
-
-
 @query
 def pair_features(spark, sf_dir):
-    out = _featured(spark, sf_dir)[0].drop(*ADDRESS_SCORES)
+    out = _featured(spark, sf_dir)[0].drop(*retrieval.ADDRESS_SCORES)
     return out.withColumns({c: F.round(c, 6) for c in out.columns if c[:3] in ("nk_", "nc_", "sq_")})
 
 
 @query
 def address_scores(spark, sf_dir):
-    return _featured(spark, sf_dir, exact=False)[0].select("q", "s1", *ADDRESS_SCORES)
+    """The pair features that have no SQL, scorers of long strings, of the sketched candidates: each query's best by channel, as the search leaves them."""
+    ref, queries, _ = views.linkage(spark, sf_dir)
+    return store.written(retrieval.retrieve_sketched(ref, queries, address_scores=True).select("q", "s1", *retrieval.ADDRESS_SCORES), "candidates")
 
 
 @query

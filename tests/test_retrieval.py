@@ -82,6 +82,61 @@ def test_best_of_sketches_by_plain_sorting():
         assert len(i) == len(want) and set(zip(i.tolist(), j.tolist(), strict=True)) == want
 
 
+def block(rng, name, ids, names, addresses):
+    """A block of records as ``_blocked`` makes it, its texts made of two-letter grams."""
+    out = {f"{name}_id": np.arange(ids)}
+    for c, most in (("n", names), ("a", addresses)):
+        texts = sorted({" ".join(sorted(rng.sample(WORDS, rng.randrange(4)))) + (f" {i}" if i % 5 else "") for i in range(most)})
+        of = [texts[i] if i < len(texts) else rng.choice(texts) for i in range(ids)]
+        rng.shuffle(of)
+        grams = [[hash_of(t[i : i + 2]) for i in range(len(t) - 1)] for t in texts]
+        grams = [sorted(set(g)) for g in grams]
+        weights = [[len(g) ** -0.5] * len(g) for g in grams if g]
+        out |= {f"{name}_{c}_of": of, f"{name}_{c}_text": texts, f"{name}_{c}_size": [len(g) for g in grams], f"{name}_{c}_g": sum(grams, []), f"{name}_{c}_w": sum(weights, [])}
+    return out
+
+
+def hash_of(gram):
+    return (ord(gram[0]) * 1_000_003 + ord(gram[1]) * 7919) * 2_654_435_761 % 2**63
+
+
+@pytest.mark.parametrize("refs, names, addresses, k", [(3000, 20, 2500, (3, 3, 8)), (3000, 30, 200, (3, 3, 8)), (1100, 5, 1100, (1, 2, 4))])
+def test_references_of_shared_names_are_found_as_others_are(monkeypatch, refs, names, addresses, k):
+    """Names that many references have are compared once for the block; the best are the same."""
+    rng = random.Random(refs + names)
+    row = block(rng, "qs", 150, 25, 140) | block(rng, "ss", refs, names, addresses)
+    row["qs_w_name"] = [rng.choice((0.0, 0.3, 0.5, 1.0)) for _ in range(150)]
+    found = {}
+    for shared in (True, False):
+        sides = {c: retrieval._Side(row, f"qs_{c}") for c in "na"}
+        theirs = {c: retrieval._Side(row, f"ss_{c}") for c in "na"}
+        assert retrieval._Shared.fits(sides, theirs, 8 * max(k))
+        with monkeypatch.context() as patch:
+            if not shared:
+                patch.setattr(retrieval._Shared, "fits", staticmethod(lambda *_: False))
+            i, s1, *rest = retrieval._sketch_search(row, retrieval._Asked(row, sides["n"], sides["a"]), sides, 256, 8, k)
+        found[shared] = {(q, s): tuple(x) for q, s, *x in zip(i.tolist(), s1.tolist(), *(x.tolist() for x in rest), strict=True)}
+        assert len(found[shared]) == len(i)
+    assert len(found[True]) >= 140 * k[2] and found[True].keys() == found[False].keys()
+    for pair, (sn, sa, comb, address) in found[True].items():
+        assert np.allclose((sn, sa, comb), found[False][pair][:3], atol=2e-6) and address == found[False][pair][3]
+
+
+def test_address_scores_are_made_by_the_search(spark, sf_dir, monkeypatch):
+    """No join of records to the candidates and no pass for each score: they come with the pairs."""
+    plans = {}
+
+    def written(df, table, **_):
+        plans[table] = df._jdf.queryExecution().executedPlan().toString()
+        return df
+
+    monkeypatch.setattr(store, "written", written)
+    out = QUERIES["q_address_scores"](spark, sf_dir)
+    after = plans["candidates"].split("MapInPandas")[0]
+    assert out.columns == ["q", "s1", "ad_ratio", "ad_tset", "ad_tsort", "ad_partial"]
+    assert not any(x in after for x in ("Join", "Window", "ArrowEvalPython", "Exchange"))
+
+
 @pytest.mark.parametrize("name", ["address_scores", "gbt_score"])
 def test_query_looks_up_its_candidates_once(spark, sf_dir, monkeypatch, name):
     """The search runs once, not for each channel."""

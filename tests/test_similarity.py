@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from kinfold.functions import similarity as s
@@ -80,3 +81,16 @@ def test_partial_of_equal_lengths_takes_the_better_direction():
         a, b = ("".join(rng.choice("abc") for _ in range(6)) for _ in "ab")
         windows = lambda x, y: max(s.ratio(x, y[max(0, i) : i + 6]) for i in range(-5, 6))
         assert s.partial_ratio(a, b) == pytest.approx(max(windows(a, b), windows(b, a)))
+
+
+def test_scores_of_texts_by_the_definitions():
+    """Pairs of places, short texts (at most 64 characters) and longer ones."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("ab1\u00e9 ") for _ in range(rng.randrange(7)))
+    short = ["", " ", "a", "aa", "b a", "a b", "a  b\t", "a" * 64, "a" * 33 + "b" * 31, "x\0", "\0", "ab ab"] + [" ".join(word() for _ in range(rng.randrange(6))) for _ in range(40)]
+    for texts in (short, [*short[:20], "ab 1" * 17, "b1 a" * 40], [chr(0x4E00 + i) for i in range(30)]):
+        i, j = (x.ravel() for x in np.meshgrid(*[np.arange(len(texts))] * 2))
+        got = s.text_scores(texts, i, j)
+        for name, f in (("ratio", s.ratio), ("tset", s.token_set_ratio), ("tsort", s.token_sort_ratio), ("partial", s.partial_ratio)):
+            assert np.allclose(got[name], [f(texts[a], texts[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)], atol=1e-9, rtol=0)
+    assert all(len(x) == 0 for x in s.text_scores([], np.zeros(0, int), np.zeros(0, int)).values())
