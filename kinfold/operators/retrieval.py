@@ -216,12 +216,19 @@ def _listed(at: list, found: list, q_ids: np.ndarray, s_ids: np.ndarray) -> pd.D
     return pd.DataFrame({"q": q_ids[q], "s1": s_ids[many([j for _, j in at])], "sn": sn, "sa": sa, "w_name": w, "comb": comb})
 
 
+#: Most grams whose frequencies are broadcast.
+HELD_GRAMS = 1 << 18
+
+
 def _text_weights(ref: DataFrame, queries: DataFrame, text: str, n: DataFrame, df: DataFrame | None = None) -> DataFrame:
     """(text, g, w): the weights of each distinct text of references and queries. df: (gram, df) where ``ref`` isn't all references."""
     texts = ref.select(text).unionByName(queries.select(text)).distinct()
     if df is None:
         own = ref.groupBy(text).agg(F.count("*").alias("rows"))
         df = own.select("rows", F.explode(F.array_distinct(char_grams(text))).alias("gram")).groupBy("gram").agg(F.sum("rows").alias("df"))
+        df = store.written(df, f"frequencies_{text}")
+    if df.count() <= HELD_GRAMS:  # then the grams of a text stay together
+        df = F.broadcast(df)
     idf = F.log((F.col("n_docs") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
     raw = gram_counts(texts, [text], text).join(df, "gram", "left").join(F.broadcast(n)).select(text, F.xxhash64("gram").alias("g"), (F.log1p("tf") * idf).alias("w"))  # n: one row
     listed = raw.groupBy(text).agg(F.collect_list(F.struct("g", "w")).alias("s"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -609,7 +616,9 @@ def retrieve_sketched(
     # blocks for each country by its own number of records, so that a large country has more of them
     qb = _blocked(queries.withColumn("w_name", blend_weight(w_name)), "q", "qs", block, ["w_name"], weights)
     sb = _blocked(ref, "s1", "ss", ref_block, [], weights)
-    met = sb.join(qb, "country").repartition("country", "qs_block").sortWithinPartitions("country", "qs_block", "ss_block")
+    parts = int(ref.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(parts, min(4 * parts, 256))  # few blocks in each, as they are long tasks
+    met = sb.join(qb, "country").repartition(parts, "country", "qs_block").sortWithinPartitions("country", "qs_block", "ss_block")
     k = max(1, k_name), max(1, k_addr), max(2, k_comb)
 
     def rows(asked: _Asked, texts: list, best: list[np.ndarray]) -> Iterator[pd.DataFrame]:
