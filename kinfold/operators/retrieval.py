@@ -331,7 +331,7 @@ class _Channel:
         self.q_at, self.s_at = q.numbered(self.known), s.numbered(self.known)
         self.table, most = None, int(s.sizes.max(initial=0))
         if most * s.n <= 4 * len(s.grams):  # of like sizes: a row for each text, filled up by a gram of no text
-            self.table = np.full((s.n, most), len(self.known)), np.zeros((s.n, most))
+            self.table = np.full((s.n, most), len(self.known), np.int32), np.zeros((s.n, most))
             cells = s.rows, np.arange(len(s.grams)) - np.repeat(s.ends - s.sizes, s.sizes)
             self.table[0][cells], self.table[1][cells] = self.s_at, s.weights
         rows, dims, values = s.sketched(dim)
@@ -406,7 +406,7 @@ class _Channel:
         dense[width - 1 :: width] = 0
         if self.table:
             at, weights = self.table
-            return np.round(np.einsum("ij,ij->i", np.take(dense, at[j] + (i * width)[:, None]), weights[j]), 6)
+            return np.round(np.einsum("ij,ij->i", np.take(dense, at[j] + (i * width).astype(np.int32)[:, None]), weights[j]), 6)
         of, at = self.s.cells(j)
         return np.round(np.bincount(of, dense[(i * width)[of] + self.s_at[at]] * self.s.weights[at], minlength=len(j)), 6)
 
@@ -450,8 +450,9 @@ def _first(i: np.ndarray, sn: np.ndarray, sa: np.ndarray, comb: np.ndarray, k: t
     for score, most in zip((sn, sa, comb), k, strict=True):
         table = np.full((len(rows), int(sizes.max())), np.inf)
         table[cells] = -score
-        best = np.argsort(table, axis=1, kind="stable")[:, :most]
-        keep[(first[:, None] + best)[best < sizes[:, None]]] = True
+        last = np.partition(table, min(most, table.shape[1]) - 1, axis=1)[:, min(most, table.shape[1]) - 1, None]
+        better, tied = table < last, table == last
+        keep |= (better | (tied & (np.cumsum(tied, axis=1) <= most - better.sum(axis=1, keepdims=True))))[cells]
     return keep & ((sn > 0) | (sa > 0))
 
 
