@@ -82,14 +82,12 @@ def number_features(pairs: DataFrame) -> DataFrame:
 
 def string_features(pairs: DataFrame) -> DataFrame:
     nk, nc, ad = ("q_name_key", "s_name_key"), ("q_name_clean", "s_name_clean"), ("q_addr_clean", "s_addr_clean")
-    return pairs.withColumns(
-        {
-            "nk_ratio": sim.col_ratio(*nk), "nk_tset": sim.col_token_set(*nk), "nk_tsort": sim.col_token_sort(*nk), "nk_partial": sim.col_partial(*nk),
-            "nk_jw": sim.col_jaro_winkler(*nk), "nc_ratio": sim.col_ratio(*nc), "nc_tset": sim.col_token_set(*nc),
-            "sq_ratio": sim.col_ratio(*map(tx.squashed, nk)), "ad_ratio": sim.col_ratio(*ad), "ad_tset": sim.col_token_set(*ad),
-            "ad_tsort": sim.col_token_sort(*ad), "ad_partial": sim.col_partial(*ad),
-        }
-    )
+    made = {
+        "nk": sim.col_scores(*nk, "ratio", "tset", "tsort", "partial", "jw"), "nc": sim.col_scores(*nc, "ratio", "tset"),
+        "sq": sim.col_scores(*map(tx.squashed, nk), "ratio"), "ad": sim.col_scores(*ad, "ratio", "tset", "tsort", "partial"),
+    }
+    scores = ("nk_ratio", "nk_tset", "nk_tsort", "nk_partial", "nk_jw", "nc_ratio", "nc_tset", "sq_ratio", "ad_ratio", "ad_tset", "ad_tsort", "ad_partial")
+    return pairs.withColumns({f"_{k}": v for k, v in made.items()}).withColumns({c: F.col(f"_{c[:2]}")[c[3:]] for c in scores}).drop(*(f"_{k}" for k in made))
 
 
 def pair_features(cands: DataFrame, ref: DataFrame, queries: DataFrame) -> DataFrame:

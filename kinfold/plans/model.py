@@ -6,14 +6,14 @@ import time
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tables import DENSITY_FEATURES
-from ..operators import decision, features, metrics
+from ..operators import boosting, decision, features, metrics
 from ..operators.sampling import query_fold, validation_split
 from ..sources import store
 
@@ -52,36 +52,29 @@ class Meta:
     matches_per_ref: float = 3.4613
 
 
-def _classifier(s: Settings) -> GBTClassifier:
-    return GBTClassifier(
-        featuresCol="_x", labelCol="label", maxDepth=s.depth, maxIter=s.rounds, stepSize=s.step, maxBins=s.bins, minInstancesPerNode=s.min_child,
-        subsamplingRate=s.subsample, featureSubsetStrategy="0.8", seed=s.seed, validationIndicatorCol="held", validationTol=0.0001,
-    )
-
-
 def _vectors(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="_x", handleInvalid="keep").transform(df)
 
 
-def fit(df: DataFrame, columns: list[str], settings: Settings) -> GBTClassificationModel:
-    """df: ``columns``, label and held; rows of held only stop the boosting."""
-    return _classifier(settings).fit(_vectors(df, columns).select("_x", "label", "held"))
+def fit(df: DataFrame, columns: list[str], settings: Settings, learns: list[Column]) -> list[GBTClassificationModel]:
+    """A model for each condition of ``learns``. df: ``columns``, label and held; rows of held only stop the boosting."""
+    s = settings
+    return boosting.fit(df, columns, learns, boosting.Boosting(s.depth, s.rounds, s.step, s.bins, s.min_child, s.subsample, 0.8, 0.0001, s.seed))
 
 
 def score(models: list[GBTClassificationModel], df: DataFrame, columns: list[str], by_fold: bool = False) -> DataFrame:
-    """Adds p: the mean of the models; with ``by_fold``, rows of part train only from models of the other folds."""
+    """Adds p: the mean of the models; with ``by_fold``, rows of part train only from models of the other folds, and only these are asked."""
+    if by_fold and len(models) > 1:
+        fold = F.when(F.col("part") == "train", F.col("fold"))
+        parts = [score([m for i, m in enumerate(models) if i != k], df.where(fold == k), columns) for k in range(len(models))]
+        return reduce(DataFrame.unionByName, parts, score(models, df.where(~F.coalesce(fold.between(0, len(models) - 1), F.lit(False))), columns))
     out = _vectors(df, columns)
     names = []
     for k, model in enumerate(models):
         drawn = model.setFeaturesCol("_x").setRawPredictionCol(f"_r{k}").setProbabilityCol(f"_v{k}").setPredictionCol(f"_l{k}").transform(out)
         out = drawn.withColumn(f"_p{k}", vector_to_array(f"_v{k}")[1]).drop(f"_r{k}", f"_v{k}", f"_l{k}")
         names.append(f"_p{k}")
-    mean = lambda cs: reduce(lambda a, b: a + b, map(F.col, cs)) / len(cs)
-    p = mean(names)
-    if by_fold and len(models) > 1:
-        for k in range(len(models)):
-            p = F.when((F.col("part") == "train") & (F.col("fold") == k), mean([n for i, n in enumerate(names) if i != k])).otherwise(p)
-    return out.withColumn("p", p).drop("_x", *names)
+    return out.withColumn("p", reduce(lambda a, b: a + b, map(F.col, names)) / len(names)).drop("_x", *names)
 
 
 def best_rule(scored: DataFrame, refs: DataFrame, truth: DataFrame) -> dict:
@@ -114,17 +107,18 @@ def train(pairs: DataFrame, refs: DataFrame, queries: DataFrame, truth: DataFram
     labelled.write.mode("overwrite").parquet(base)
     labelled = spark.read.parquet(base)
 
-    def saved(df: DataFrame, columns: list[str], name: str, inside) -> GBTClassificationModel:
-        model = fit(df.where(inside | F.col("held")), columns, settings)
-        model.write().overwrite().save(f"{path}/{name}")
-        return model
+    def saved(df: DataFrame, columns: list[str], learns: dict[str, Column]) -> list[GBTClassificationModel]:
+        models = fit(df, columns, settings, list(learns.values()))
+        for name, model in zip(learns, models, strict=True):
+            model.write().overwrite().save(f"{path}/{name}")
+        return models
 
     trained = F.col("part") == "train"
     old = load_meta(spark, save_meta) if save_meta and store.exists(spark, save_meta) else None
     if old and _first_stage(old.settings) == _first_stage(asdict(settings)):
         stage1 = [GBTClassificationModel.load(f"{path}/stage1_fold{k}") for k in range(settings.folds)]
     else:  # fold k's model learns from queries of fold k; train rows are then scored by the others
-        stage1 = [saved(labelled, settings.columns, f"stage1_fold{k}", trained & (F.col("fold") == k)) for k in range(settings.folds)]
+        stage1 = saved(labelled, settings.columns, {f"stage1_fold{k}": trained & (F.col("fold") == k) for k in range(settings.folds)})
     p1 = score(stage1, labelled, settings.columns, by_fold=True).join(queries.select("q", F.col("is_s3").alias("s3")), "q")
     choose = (F.col("part") == "val") & ~F.col("held")
     val_refs = refs.join(labelled.where(choose).select("s1").distinct(), "s1", "left_semi")
@@ -137,8 +131,7 @@ def train(pairs: DataFrame, refs: DataFrame, queries: DataFrame, truth: DataFram
         both = p1.drop("p", "s3", "is_s3").join(grouped, ["q", "s1"])
         both = both.select(*(F.col(c).cast("double").alias(c) if t == "boolean" and c != "held" else F.col(c) for c, t in both.dtypes))
         columns2 = settings.columns + features.GROUP_FEATURES
-        model = saved(both, columns2, "stage2", trained)
-        p2 = score([model], both, columns2).withColumn("s3", F.col("is_s3") == 1)
+        p2 = score(saved(both, columns2, {"stage2": trained}), both, columns2).withColumn("s3", F.col("is_s3") == 1)
         stages["stage2"] = best_rule(plain(p2), val_refs, val_truth)
         use2 = stages["stage2"]["f05"] > stages["stage1"]["f05"]
     chosen = stages["stage2" if use2 else "stage1"]

@@ -231,9 +231,9 @@ def gbt_score(spark, sf_dir):
         labelled = pairs.join(truth.withColumn("label", F.lit(1.0)), ["q", "s1"], "left").withColumn("label", F.coalesce("label", F.lit(0.0)))
         return labelled.withColumns({"fold": sampling.query_fold("q", 2), "part": F.lit("train"), "held": F.pmod(F.xxhash64("q"), F.lit(10)) == 0})
 
-    labelled = store.settled(labelled_pairs, "labelled")  # the retrieval's tables go before anything is fitted
+    labelled = store.settled(labelled_pairs, "labelled", arrow_least=1 << 16)  # the retrieval's tables go before anything is fitted
     settings = model.Settings(rounds=GBT_ROUNDS)
-    fitted = [model.fit(labelled.where((F.col("fold") == k) | F.col("held")), settings.columns, settings) for k in range(2)]
+    fitted = model.fit(labelled, settings.columns, settings, [F.col("fold") == k for k in range(2)])
     return model.score(fitted, labelled, settings.columns, by_fold=True).select("q", "s1", "label", F.round("p", 6).alias("p"))
 
 

@@ -128,13 +128,14 @@ _passing: list[list[str]] = []
 _ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def written(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
-    """``df`` from a table in the shared folder, which goes when the driver's JVM ends. arrow_rows: most rows of an Arrow batch, for wide ones."""
+def written(df: DataFrame, name: str, arrow_rows: int | None = None, arrow_least: int = 0) -> DataFrame:
+    """``df`` from a table in the shared folder, which goes when the driver's JVM ends. arrow_rows: most rows of an Arrow batch, for wide ones;
+    arrow_least: a limit that isn't less than this, for narrow ones whose values recur."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kinfold-{uuid.uuid4().hex}/{name}"
     before = spark.conf.get(_ARROW_ROWS)
-    if arrow_rows:
-        spark.conf.set(_ARROW_ROWS, str(min(int(before), arrow_rows)))
+    if arrow_rows or arrow_least:
+        spark.conf.set(_ARROW_ROWS, str(max(min(int(before), arrow_rows or int(before)), arrow_least)))
     try:
         df.write.parquet(path)
     finally:
@@ -146,14 +147,14 @@ def written(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
-def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+def settled(make: Callable[[], DataFrame], name: str, arrow_least: int = 0) -> DataFrame:
     """What ``make`` returns, written; the tables that were written on the way go at once."""
     _passing.append([])
     try:
         df = make()
     finally:
         tables = _passing.pop()
-    out = written(df, name)
+    out = written(df, name, arrow_least=arrow_least)
     for path in tables:
         delete(out.sparkSession, path)
     return out
