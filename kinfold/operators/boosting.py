@@ -70,12 +70,14 @@ def _merged(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _cuts(values: np.ndarray, counts: np.ndarray, bins: int) -> np.ndarray:
     """At most bins - 1 thresholds midway between neighbouring values, in steps of about equal counts."""
-    if len(values) > bins:
-        upto = np.cumsum(counts)
-        last = np.unique(np.searchsorted(upto, upto[-1] * np.arange(1, bins) / bins))
-        last = last[last < len(values) - 1]
-    else:
-        last = np.arange(len(values) - 1)
+    last = np.arange(len(values) - 1)
+    if len(values) > bins:  # as Spark does: the steps that a frequent value takes at once go to the values after it
+        upto, kept, target = np.cumsum(counts).tolist(), [], counts.sum() / bins
+        for i in range(len(upto) - 1):
+            if len(kept) < bins - 1 and abs(upto[i] - target) < abs(upto[i + 1] - target):
+                kept.append(i)
+                target += upto[-1] / bins
+        last = np.array(kept, np.int64)
     return (values[last] + values[last + 1]) / 2
 
 
